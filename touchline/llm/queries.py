@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact, licenses, quality, toxicity
-from touchline.llm.common import documents
+from touchline.llm import decontam, exact, licenses, packing, quality, repair, toxicity
+from touchline.llm.common import documents, shared_dir
 from touchline.llm.labelled import held_out
 
 
@@ -26,6 +29,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_clauses")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    repair.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).write.parquet(files)
+    return repair.documents(repair.read(spark, files))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.summary(decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
     return found.select(
@@ -65,11 +74,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_packing": op9_packing,
 }
 ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
