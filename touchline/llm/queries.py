@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact, licenses, packing, quality, repair, toxicity
+from touchline.llm import decontam, exact, licenses, packing, quality, repair, substrings, toxicity
 from touchline.llm.common import documents, shared_dir
 from touchline.llm.labelled import held_out
 
@@ -23,6 +23,23 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+w AS (SELECT doc_id, i AS pos, array_to_string(w[i + 1 : i + 20], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 20)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS k FROM w),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(generate_series(pos, pos + 19)) AS p FROM r WHERE k > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(generate_series(0, len(w) - 1)) AS i FROM d WHERE len(w) > 0)
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS g_doc, unnest(gone) AS p FROM g) WHERE g_doc = doc_id AND p = i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +97,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
@@ -87,4 +105,4 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL = {"op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
