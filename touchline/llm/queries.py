@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact, licenses, packing, quality, repair, substrings, toxicity
+from touchline.llm import decontam, exact, jaccard, licenses, packing, quality, repair, substrings, toxicity
 from touchline.llm.common import documents, shared_dir
 from touchline.llm.labelled import held_out
 
@@ -95,6 +95,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 4, 0))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+r(doc_id, k) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.k FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, k AS component_id FROM (SELECT doc_id, min(k) AS k FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -104,5 +119,6 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
