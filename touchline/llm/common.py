@@ -45,6 +45,12 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, limit: int = B
     return df.join(F.broadcast(ids) if n_ids <= limit else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of df whose key isn't among ids (one column): up to limit ids are broadcast, so df doesn't move; else both shuffle."""
+    ids = stored(ids.toDF("__id").distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("merge"), F.col(key) == F.col("__id"), "left_anti")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each piece have at most size bytes, or are one document. Nulls become empty."""
     for batch in batches:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import without_ids
 from touchline.llm.exact import normalised
 
 WINDOW = 13
@@ -101,8 +102,7 @@ def summary(hits: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without contaminated documents; all columns stay."""
-    bad = summary(contamination(docs, benchmark, id_col=id_col, **how)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("__bad"), "left_anti")
+    return without_ids(docs, summary(contamination(docs, benchmark, id_col=id_col, **how)).where("contaminated").select("doc_id"), id_col)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import shared_dir
+from touchline.llm.common import shared_dir, without_ids
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Directory entries are 2**MAX_DEPTH at most; keys of one bucket before it splits.
@@ -89,5 +89,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() doesn't keep; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import only_ids, slices, stored
+from touchline.llm.common import only_ids, slices, stored, without_ids
 from touchline.llm.graph import components
 from touchline.llm.text import grams, mix, white_space_words, words
 
@@ -201,5 +201,5 @@ def similar_groups(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the documents that aren't the least of their component; all columns stay."""
-    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, gone, id_col)

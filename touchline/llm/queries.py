@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact, jaccard, licenses, packing, quality, repair, substrings, toxicity
+from touchline.llm import decontam, exact, jaccard, licenses, packing, quality, repair, substrings, toxicity, warc
 from touchline.llm.common import documents, shared_dir
 from touchline.llm.labelled import held_out
 
@@ -40,6 +40,27 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica is the pages as a failing disk would return them: some bytes changed, cut short, or lost."""
+    pages = table(spark, sf_dir, "pages")
+    page, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    rotten = F.when(page % 97 == 13, F.concat(F.lit("?"), F.expr("substr(html, 2)"))).when(page % 389 == 7, F.expr("substr(html, 1, length(html) - 1)")).otherwise(html)
+    ours = pages.select("page_id", warc.record_text(page, F.col("url"), html).alias("record"))
+    theirs = pages.where(page % 193 != 5).withColumn("html", rotten).select("page_id", warc.record_text(page, F.col("url"), F.col("html")).alias("record"))
+    return warc.audit(ours, theirs).select(F.col("id").alias("page_id"), "file", "offset", "length", "digest", "status")
+
+
+OP3_SQL = """
+WITH r AS (SELECT page_id, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages))
+SELECT page_id, page_id // 4096 AS file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  strlen(record) AS length, sha256(record) AS digest,
+  CASE WHEN page_id % 193 = 5 THEN 'missing' WHEN page_id % 97 = 13 THEN CASE WHEN html[1] = '?' THEN 'ok' ELSE 'corrupt' END WHEN page_id % 389 = 7 AND html <> '' THEN 'corrupt' ELSE 'ok' END AS status
+FROM r
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -113,6 +134,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, k AS component_id FROM (SELECT doc_
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_toxicity": op4_toxicity,
     "op5_token_ids": op5_token_ids,
     "op6_decontamination": op6_decontamination,
@@ -121,4 +143,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op3_warc_fixity": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
