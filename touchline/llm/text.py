@@ -68,7 +68,7 @@ def words(texts: pa.LargeStringArray, word: np.ndarray, lower: bool, hashed: boo
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    cut = offsets[:-1][offsets[:-1] < len(data)] if n else offsets
+    cut = offsets[:-1][offsets[:-1] < len(data)]
     begins[cut] = inside[cut]
     cut = cut[cut > 0] - 1
     ends[cut] = inside[cut]
