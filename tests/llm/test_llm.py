@@ -85,7 +85,9 @@ def test_rules_learn_a_conjunction():
     y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.4)).astype(float)
     model = quality.fit_rules(x, y, ["a", "b", "c"])
     total = model.intercept + sum(r.weight * r.applies(x, ["a", "b", "c"]) for r in model.rules)
-    assert ((total > 0) == (y > 0.5)).mean() > 0.97 and not any(c == "c" for r in model.rules[:3] for c, _, _ in r.conditions)
+    assert ((total > 0) == (y > 0.5)).mean() > 0.97
+    heaviest = max(model.rules, key=lambda r: abs(r.weight))
+    assert {"a", "b"} <= {c for c, _, _ in heaviest.conditions}
     assert quality.fit_rules(x[:0], y[:0], ["a", "b", "c"]).rules == ()
 
 
