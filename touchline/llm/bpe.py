@@ -14,9 +14,11 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers (some 200 bytes each) before it forgets them all.
-MEMO = 400_000
+#: Chunks, and pieces, that a worker remembers (some 200 bytes each) before it forgets them all.
+MEMO = 700_000
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
+#: Words with closing signs, the lines of a chunk: the pre-tokenizer cuts them after the letters, and around each line end.
+_PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?*&%$#|;:]*)")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,23 +38,43 @@ class Encoder:
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        step, every = self.dtype.itemsize, np.arange(self.vocabulary, dtype=self.dtype).tobytes()
+        self.id_bytes = [every[i : i + step] for i in range(0, len(every), step)]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        self.letters = dict(zip(range(256), (chr(b) if b in visible else "" for b in range(256)), strict=True))
+        for k, b in enumerate(b for b in range(256) if b not in visible):
+            self.letters[b] = chr(256 + k)
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return b"".join(map(self.id_bytes.__getitem__, ids))
 
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = self._bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        pieces, model, out = self.pieces, self.tokenizer.model, []
-        for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = pieces[piece] = self._bytes([t.id for t in model.tokenize(piece)])
-            out.append(ids)
-        return b"".join(out)
+        out = []
+        for k, line in enumerate(chunk.split("\n")):
+            m = _PLAIN.fullmatch(line)
+            if not m or not m[1].lstrip(" ").isalpha() or k and line[0] == " ":
+                break
+            if k:
+                out.append(self._piece("\n"))
+            out.append(self._piece(m[1]))
+            if m[2]:
+                out.append(self._piece(m[2]))
+        else:
+            return b"".join(out)
+        cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)
+        return b"".join(self._piece(chunk[a:b]) for _, (a, b) in cuts)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; no special tokens are added."""
@@ -60,17 +82,16 @@ class Encoder:
             return np.empty(0, self.dtype)
         if not self.by_chunk or _ODD_SPACE.search(text):
             return np.frombuffer(self._whole(text), self.dtype)
-        parts = (" " + text).split(" ")
-        parts[0:2] = [parts[1]]
-        parts[1:] = [" " + p for p in parts[1:]]
-        known = self.chunks
+        head, *parts = text.split(" ")
+        known = self.chunks  # by chunk without its leading space
         if len(known) > MEMO or len(self.pieces) > MEMO:
             known.clear()
             self.pieces.clear()
+        first = self._chunk(head) if head else b""
         try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype)
+            return np.frombuffer(first + b"".join(map(known.__getitem__, parts)), self.dtype)
         except KeyError:
             for p in parts:
                 if p not in known:
-                    known[p] = self._chunk(p)
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), self.dtype)
+                    known[p] = self._chunk(" " + p)
+            return np.frombuffer(first + b"".join(map(known.__getitem__, parts)), self.dtype)

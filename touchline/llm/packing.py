@@ -10,6 +10,7 @@ Terms are words lower-cased A-Z, hashed into 2**TERM_BITS slots: statistics have
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -155,6 +156,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, sequence = encoder(path), TaskContext.get().partitionId() << 33
+        gc.disable()  # its passes over the encoder's memory find nothing
         end = np.array([END], code.dtype)
         for batch in shards(batches):
             doc_ids = batch.column(0).to_pylist()
