@@ -12,6 +12,7 @@ ids and nonterminals fit in 16 bits, else uint32); all little-endian. Symbols fr
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ END = 0
 #: Ids of a shard (one longer document has a shard of its own).
 SHARD_TOKENS = 1 << 20
 #: Rounds, new rules of a round, and how often a pair must occur.
-ROUNDS, ROUND_RULES, LEAST = 8, 1500, 6
+ROUNDS, ROUND_RULES, LEAST = 4, 3800, 6
 SCHEMA = "part int, shard int, base int, n_tokens bigint, doc_ids binary, doc_tokens binary, doc_symbols binary, rules binary, rule_lengths binary, symbols binary"
 
 
@@ -121,6 +122,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, shard = encoder(path), TaskContext.get().partitionId(), 0
+        gc.disable()  # its passes over the encoder's memory find nothing
         doc_ids, ids, size = [], [], 0
         end = np.array([END], code.dtype)
 
