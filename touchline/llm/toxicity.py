@@ -40,7 +40,7 @@ STEM, SUPPORT, SHARE = range(3, 8), 4, 0.6
 #: Stems kept at most, by evidence: a limit of the model's size.
 MAX_STEMS = 2000
 #: Words whose class a worker remembers before it forgets them all.
-MEMO = 300_000
+MEMO = 100_000
 
 
 @dataclass
@@ -200,7 +200,13 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [grammar.probability(*grammar.features(t)) < threshold for piece in slices([batch], text_col) for t in piece.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            first = 0
+            for piece in slices([batch], text_col):
+                keep = [grammar.probability(*grammar.features(t)) < threshold for t in piece.column(at).to_pylist()]
+                yield batch.slice(first, len(keep)).filter(pa.array(keep, pa.bool_()))
+                first += len(keep)
+        # the process stays for later stages, its memory should not
+        grammar.memo.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
