@@ -31,10 +31,16 @@ from touchline.llm.text import grams, mix, white_space_words, words
 
 #: Threshold in hundredths, words of a shingle.
 THRESHOLD, SHINGLE = 85, 4
-#: Members of a region that are compared directly; pivots drawn from a larger one.
+#: Members of a root region that are compared directly; pivots drawn from a larger one.
 LEAF, PIVOTS = 48, 8
+#: From level to level the first number grows so many times, up to the second; larger regions are always parted by pivots.
+LEAF_GROWTH, LEAF_MOST = 4, 1024
+#: Cells are taken for regions if their members are at most this many times those of the region.
+SPREAD = 1.5
 #: A shingle is common from so many documents on, at least; no more common ones are listed (8 bytes each).
 COMMON, COMMON_LIST = 32, 1_000_000
+#: Shingles that a task counts together (8 bytes each).
+COUNTED = 2_000_000
 _WORD = white_space_words()
 
 
@@ -53,16 +59,27 @@ def shingle_keys(texts: pa.LargeStringArray, k: int = SHINGLE) -> list[np.ndarra
 
 
 def common_shingles(docs: DataFrame, k: int, least: int = COMMON, most: int = COMMON_LIST) -> np.ndarray:
-    """Shingles that many documents hold, by counts over all documents; those that occur once in a batch aren't counted.
+    """Shingles that many documents hold, by counts over all documents; of those that a task holds at once, ones that
+    occur once aren't counted.
 
     The list only orders shingles, so its bound costs no link.
     """
 
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=16 << 20):
+        held, size = [], 0
+        for batch in slices(batches):
             found = shingle_keys(batch.column(1), k)
-            key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
+            held += found
+            size += sum(map(len, found))
+            if size > COUNTED:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
 
     counted = docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.col("n").desc(), "key").limit(most)
@@ -142,41 +159,72 @@ def join_classes(docs: DataFrame, classes: DataFrame, roots: DataFrame, k: int,
         return members.drop("comp").join(of.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
 
     comp = stored(components(links), "components")
-    tokens = labelled(roots.select(F.col("rep").alias("x"), "n", "root"), comp).select("x", "n", "comp", F.explode("root").alias("key"))
+    marks = roots.select(F.col("rep").alias("x"), "n", F.size("root").alias("size_of_root"), F.element_at("root", -1).alias("last"), "root")
+    tokens = labelled(marks, comp).select("x", "n", "size_of_root", "last", "comp", F.explode("root").alias("key"))
     # region: the root shingle and, further down, the path of pivots
     mixed = stored(tokens.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed-regions")
-    members = only_ids(tokens, mixed, "key", mixed.count()).withColumn("path", F.lit(""))
-    members = stored(members, "regions")
+    members = stored(only_ids(tokens, mixed, "key", mixed.count()).withColumn("path", F.lit("")), "regions")
+    own = ["x", "n", "size_of_root", "last"]
+    root = True
     while True:
         members = stored(_several(members, ["key", "path"]), "regions")
         if members.isEmpty():
             return links
-        small = members.where(F.col("size") <= leaf)
-        other = small.select("key", "path", F.col("x").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        direct = small.join(other.hint("merge"), ["key", "path"]).where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("other")) & near_in_size(F.col("n"), F.col("m"), threshold)).select("x", "y").distinct()
-        large = members.where(F.col("size") > leaf)
-        # pivots: members of the smallest components first, so a region of one large group and strays settles at once
+        small, large = members.where(F.col("size") <= leaf), members.where(F.col("size") > leaf)
+        many = large.groupBy("x").agg(F.count("*").alias("in_large"))
+        side = small.join(many.hint("merge"), "x", "left").withColumn("in_large", F.coalesce("in_large", F.lit(0)))
+        other = side.select("key", "path", *(F.col(c).alias(f"{c}_y") for c in (*own, "comp", "in_large"))).withColumnRenamed("x_y", "y")
+        met = side.join(other.hint("merge"), ["key", "path"]).where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")) & near_in_size(F.col("n"), F.col("n_y"), threshold))
+        met = met.groupBy("x", "y").agg(F.countDistinct("key").alias("met"), *(F.first(c).alias(c) for c in ("n", "size_of_root", "last", "in_large", "n_y", "size_of_root_y", "last_y", "in_large_y")))
+        # at the root all shared shingles are seen, so their number can rule a link out; further down some regions are gone
+        direct = (met.where(may_link(threshold)) if root else met).select("x", "y")
+        root = False
+        # pivots: members of the smallest components first, so a region of one large group and strays settles at once;
+        # a pivot of one region is one in all its regions, so a pair of them is compared once, in the least region of both
+        leaf = max(leaf, min(leaf * LEAF_GROWTH, LEAF_MOST))
+        large = large.withColumn("region", F.hash("key", "path"))
         share = large.groupBy("key", "path", "comp").agg(F.count("*").alias("c"))
         rank = F.struct("c", F.xxhash64("x").alias("h"), "x")
         ranked = large.join(share.hint("merge"), ["key", "path", "comp"]).select("key", "path", "x", rank.alias("rank"))
         slot = F.pmod(F.xxhash64("x"), F.lit(pivots))
         drawn = ranked.groupBy("key", "path").agg(F.min("rank").alias("p0"), *(F.min(F.when(slot == i, F.col("rank"))).alias(f"p{i + 1}") for i in range(pivots)))
-        drawn = drawn.select("key", "path", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.x") for i in range(pivots + 1))))).alias("y")).where("y IS NOT NULL")
-        to_pivots = large.join(drawn.hint("merge"), ["key", "path"]).select("key", "path", "x", "n", "comp", "y")
-        to_pivots = stored(to_pivots, "to-pivots")
-        pairs = stored(direct.unionByName(to_pivots.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "pairs")
+        drawn = drawn.select(F.explode(F.array(*(F.col(f"p{i}.x") for i in range(pivots + 1)))).alias("x")).where("x IS NOT NULL").distinct()
+        regions = large.groupBy("x").agg(F.collect_set("region").alias("regions"))
+        members = stored(large.join(regions.hint("merge"), "x").join(drawn.withColumn("pivot", F.lit(True)).hint("merge"), "x", "left"), "large-regions")
+        of_region = members.where("pivot").select("key", "path", F.col("x").alias("y"), F.col("regions").alias("regions_y"))
+        least_common = F.array_min(F.array_intersect("regions", "regions_y"))
+        to_pivots = members.join(of_region.hint("merge"), ["key", "path"]).where((F.col("x") != F.col("y")) & (F.col("region") == least_common))
+        pairs = stored(direct.unionByName(to_pivots.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "pairs")
         found = stored(distances(docs, pairs, k), "distances")
         links = stored(links.unionByName(found.where(linked(found, threshold)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "links-so-far")
         comp = stored(components(links), "components")
+        # cells: each member against the pivots of its region, as one row of arrays
         gap = F.lit(1.0) - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
         both = found.select("x", "y", gap.alias("d")).unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), gap.alias("d")))
-        placed = to_pivots.join(both.hint("merge"), ["x", "y"], "left").withColumn("d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d")))
-        nearest = placed.groupBy("key", "path", "x").agg(F.min("d").alias("nearest"))
-        cells = placed.join(nearest.hint("merge"), ["key", "path", "x"]).where(F.col("d") <= F.col("nearest") + 2 * r + 1e-9)
-        # a pivot has met every member of its region, so it leaves it
-        done = drawn.select("key", "path", F.col("y").alias("x"))
-        cells = cells.join(done.hint("merge"), ["key", "path", "x"], "left_anti")
-        members = labelled(cells.select("key", F.concat_ws("/", "path", F.col("y").cast("string")).alias("path"), "x", "n", "comp"), comp)
+        both = both.join(drawn.withColumnRenamed("x", "y").hint("merge"), "y", "left_semi")
+        known = both.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("d"))
+        heads = of_region.groupBy("key", "path").agg(F.collect_set("y").alias("heads"))
+        # a pivot has met every member of its regions, so it leaves them
+        rest = members.where("pivot IS NULL").drop("pivot", "regions", "region").join(heads.hint("merge"), ["key", "path"]).join(known.hint("merge"), "x")
+        gaps = F.transform("heads", lambda y: F.struct(F.col("d")[y].alias("d"), y.alias("y")))
+        rest = rest.withColumn("gaps", gaps).withColumn("cells", F.filter("gaps", lambda g: g["d"] <= F.array_min("gaps")["d"] + 2 * r + 1e-9))
+        # cells that would hold most members several times over separate nothing: such a region stays whole
+        spread = rest.groupBy("key", "path").agg((F.sum(F.size("cells")) > F.lit(SPREAD) * F.count("*")).alias("whole"))
+        rest = rest.join(spread.hint("merge"), ["key", "path"])
+        path = F.when(F.col("whole"), F.array("path")).otherwise(F.transform("cells", lambda g: F.concat_ws("/", "path", g["y"].cast("string"))))
+        members = labelled(rest.select("key", F.explode(path).alias("path"), *own, "comp"), comp)
+
+
+def may_link(threshold: int) -> Column:
+    """Whether the shared root shingles of x and y still allow a link.
+
+    Of the two, take the one whose root ends first in the order of shingles: those of its root that the other's root lacks
+    are not in the other at all. Shared ones in large regions aren't counted by pair, so all of them are granted.
+    """
+    met = F.col("met") + F.least("in_large", "in_large_y")
+    most = F.when(F.col("last") <= F.col("last_y"), F.col("n") - F.greatest(F.col("size_of_root") - met, F.lit(0))).otherwise(F.col("n_y") - F.greatest(F.col("size_of_root_y") - met, F.lit(0)))
+    most = F.least(most, "n", "n_y")
+    return 100 * most >= threshold * (F.col("n") + F.col("n_y") - most)
 
 
 def similar_groups(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
