@@ -439,6 +439,18 @@ def test_components_match_brute_force(spark, threshold, leaf, pivots, seed):
     assert got == brute_components(texts, threshold)
 
 
+def test_regions_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """Two hash values for all regions: own regions of a pair (a filler each) fall on the value below their common ones."""
+    monkeypatch.setattr(jaccard.F, "hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(2)))
+    texts = {}
+    for i in range(60):
+        common, mine, other = ([f"{c}{i}x{j}" for j in range(4)] for c in "cab")
+        for t in (" ".join(common + mine), " ".join(common + other), *mine, *other):
+            texts[len(texts)] = t
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, texts), 30, 1, leaf=1, pivots=1).collect()}
+    assert got == brute_components(texts, 30, 1)
+
+
 def test_keep_one_and_empty(spark):
     df = docs(spark, {5: "a b c d e", 2: "A b c d  e", 9: None, 8: ""})
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [2, 8, 9]

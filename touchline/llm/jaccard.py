@@ -182,7 +182,7 @@ def join_classes(docs: DataFrame, classes: DataFrame, roots: DataFrame, k: int,
         # pivots: members of the smallest components first, so a region of one large group and strays settles at once;
         # a pivot of one region is one in all its regions, so a pair of them is compared once, in the least region of both
         leaf = max(leaf, min(leaf * LEAF_GROWTH, LEAF_MOST))
-        large = large.withColumn("region", F.hash("key", "path"))
+        large = large.withColumn("region", F.concat_ws(":", F.col("key").cast("string"), "path"))
         share = large.groupBy("key", "path", "comp").agg(F.count("*").alias("c"))
         rank = F.struct("c", F.xxhash64("x").alias("h"), "x")
         ranked = large.join(share.hint("merge"), ["key", "path", "comp"]).select("key", "path", "x", rank.alias("rank"))
@@ -204,9 +204,9 @@ def join_classes(docs: DataFrame, classes: DataFrame, roots: DataFrame, k: int,
         both = both.join(drawn.withColumnRenamed("x", "y").hint("merge"), "y", "left_semi")
         known = both.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("d"))
         heads = of_region.groupBy("key", "path").agg(F.collect_set("y").alias("heads"))
-        # a pivot has met every member of its regions, so it leaves them
-        rest = members.where("pivot IS NULL").drop("pivot", "regions", "region").join(heads.hint("merge"), ["key", "path"]).join(known.hint("merge"), "x")
-        gaps = F.transform("heads", lambda y: F.struct(F.col("d")[y].alias("d"), y.alias("y")))
+        # a pivot has met every member of its regions, so it leaves them; a member that has not met one is an error
+        rest = members.where("pivot IS NULL").drop("pivot", "regions", "region").join(heads.hint("merge"), ["key", "path"]).join(known.hint("merge"), "x", "left")
+        gaps = F.transform("heads", lambda y: F.struct(F.coalesce(F.col("d")[y], F.raise_error(F.lit("no distance to a pivot"))).alias("d"), y.alias("y")))
         rest = rest.withColumn("gaps", gaps).withColumn("cells", F.filter("gaps", lambda g: g["d"] <= F.array_min("gaps")["d"] + 2 * r + 1e-9))
         # cells that would hold most members several times over separate nothing: such a region stays whole
         spread = rest.groupBy("key", "path").agg((F.sum(F.size("cells")) > F.lit(SPREAD) * F.count("*")).alias("whole"))
