@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from touchline.llm import decontam, exact, jaccard, packing, toxicity
 from touchline.llm.common import documents, stored
 
+#: Of the n-gram Jaccard stage: threshold in hundredths, words of a shingle. op10_jaccard_join has its own (85, 4).
+STAGE_THRESHOLD, STAGE_SHINGLE = 80, 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, threshold=STAGE_THRESHOLD, k=STAGE_SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -495,3 +495,12 @@ def test_pipeline_stages(spark):
         left = df.where(F.col("doc_id").isin(*kept))
     toxic = corpus_pipeline.STAGES[0][1](spark, df, SMALL)
     assert toxic.columns == df.columns and 0 < toxic.count() <= df.count()
+
+
+def test_jaccard_stage_takes_five_words_and_four_fifths(spark):
+    """Of 50 words, one replaced inside: 41 of 51 shingles of five words are common (0.80), 43 of 51 of four (0.84)."""
+    base = [f"w{i}" for i in range(50)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:25], "other", *base[26:]]), 3: " ".join([*base[:10], *["x", "y", "z"] * 5])}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_similar(spark, docs(spark, texts), SMALL).collect()}
+    assert kept == {c for _, c in brute_components(texts, 80, 5).values()} == {1, 3}
+    assert {c for _, c in brute_components(texts, 85).values()} == {1, 2, 3}
