@@ -266,13 +266,13 @@ def brute_contamination(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 1])
-def test_contamination_matches_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "blocks"), [(10**6, 10**6), (1, 1)])
+def test_contamination_matches_brute_force(spark, limit, blocks):
     texts = dict(enumerate(soup(7, 50)))
     rng = random.Random(9)
     items = {0: None, 1: "", 2: "w1 w2", 3: "É ß", 10: "w1-W2.w3", 11: texts[20], 12: texts[21], 2000: " ".join(ws_words(texts[22])[:5])} | {20 + i: " ".join(rng.choices(ws_words(texts[30]) or ["q"], k=20)) for i in range(5)}
     bench = spark.createDataFrame([(k, t, "clash") for k, t in items.items()], "item_id bigint, text string, doc_id string")
-    found = decontam.summary(decontam.contamination(docs(spark, texts), bench, broadcast_limit=limit)).collect()
+    found = decontam.summary(decontam.contamination(docs(spark, texts), bench, broadcast_limit=limit, block_set=blocks)).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found}
     assert got == brute_contamination(texts, items, 13)
 
@@ -284,6 +284,9 @@ def test_contaminated_documents_and_spans_go(spark):
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()) == [2, 3, 4]
     clean = {r["doc_id"]: r["clean_text"] for r in decontam.remove_spans(df, bench).collect()}
     assert clean[1] == "a b c" and clean[2] == "a b c" and clean[3] == ""
+    twice = spark.createDataFrame([(1, item, 0), (1, "x y", 1), (None, item, 2), (5, item, 3), (5, item, 4)], "doc_id bigint, text string, words int")
+    assert [tuple(r) for r in decontam.drop_contaminated(twice, bench).collect()] == [(1, "x y", 1)]
+    assert decontam.contamination(twice, bench).count() == 5 and sorted(r["clean_text"] for r in decontam.remove_spans(twice, bench).collect()) == ["", "", "", "", "x y"]
     none = bench.limit(0)
     assert decontam.contamination(df, none).where("size(hits) > 0").count() == 0 and decontam.contamination(df.limit(0), bench).count() == 0
 
@@ -294,7 +297,7 @@ def test_contaminated_documents_and_spans_go(spark):
 @pytest.mark.parametrize("capacity", [1, 10_000])
 def test_exact_groups_match_brute_force(spark, capacity):
     texts = dict(enumerate(soup(11, 60))) | {900: "ÄB", 901: "äb", 902: "Äb"}
-    got = {r["doc_id"]: tuple(r)[1:] for r in exact.exact_groups(docs(spark, texts), capacity=capacity, max_depth=6).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in exact.exact_groups(docs(spark, texts), capacity=capacity).collect()}
     groups = {}
     for k, t in texts.items():
         groups.setdefault(lower(t), []).append(k)
@@ -303,13 +306,28 @@ def test_exact_groups_match_brute_force(spark, capacity):
 
 def test_directory_splits_overfull_buckets_only():
     counts = {0: 9, 1: 1, 2: 1, 7: 1}
-    assert exact.directory(counts, capacity=3, max_depth=3) == [(3, 0), (3, 1), (2, 1), (1, 1)]
+    assert exact.directory(counts, capacity=3, depth=3) == [(3, 0), (3, 1), (2, 1), (1, 1)]
     assert exact.directory({}, 3, 3) == [(0, 0)]
+    assert [exact.depth_for(n, 8) for n in (0, 8, 9, 64, 1 << 60)] == [3, 3, 4, 6, exact.MOST_DEPTH]
+
+
+def test_buckets_own_their_keys(spark, monkeypatch):
+    """Each bucket lies in one task's files; a directory that names wrong buckets loses documents."""
+    df = docs(spark, soup(12, 80)).select("doc_id", exact.text_key(F.col("text")).alias("text_key"), exact.normalised(F.col("text")).alias("norm"))
+    index, slots, depth = exact.build_index(df, capacity=4)
+    assert slots.count() == 1 << depth and index.select("bucket").distinct().count() > 4
+    assert index.select("bucket", F.input_file_name().alias("f")).distinct().count() == index.select("bucket").distinct().count()
+    assert index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 4").count() <= 1
+    whole = exact.exact_groups(docs(spark, soup(12, 80)), capacity=4).count()
+    right = exact.slots_of
+    monkeypatch.setattr(exact, "in_bucket", lambda rows, slots, depth: rows.withColumn("bucket", F.lit(0) if "norm" not in rows.columns and "keep_id" not in rows.columns else F.pmod(F.col("key"), F.lit(5)).cast("int")))
+    assert exact.exact_groups(docs(spark, soup(12, 80)), capacity=4).count() < whole and right
 
 
 def test_chained_keys_are_told_apart(spark, monkeypatch):
+    df = docs(spark, ["aa", "bb", "AA", "c"])
     monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.length(*c).cast("long") * (1 << 40))
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_groups(docs(spark, ["aa", "bb", "AA", "c"])).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_groups(df).collect()}
     assert got == {0: (2, 2), 2: (2, 2), 1: (1, 1), 3: (3, 1)}
 
 
@@ -319,6 +337,15 @@ def test_drop_copies(spark):
     assert exact.exact_groups(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_drop_copies_decides_on_rows(spark):
+    rows = [(1, "a"), (7, "A"), (7, "B"), (2, "b"), (9, "b"), (None, "n"), (None, "N"), (4, "z"), (4, "z"), (4, "z"), (None, "b")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, __id int").repartition(3)
+    left = exact.drop_copies(df)
+    assert left.columns == df.columns
+    got = sorted((r["doc_id"] or -1, r["text"].lower()) for r in left.collect())
+    assert got == [(-1, "n"), (4, "z"), (7, "a"), (9, "b")]
+
+
 # ---- 8 licences
 
 
@@ -432,23 +459,86 @@ def near_copies(seed):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize(("threshold", "leaf", "pivots", "seed"), [(85, 48, 8, 1), (70, 2, 2, 2), (60, 1, 1, 3)])
-def test_components_match_brute_force(spark, threshold, leaf, pivots, seed):
+@pytest.mark.parametrize(
+    ("threshold", "seed", "how"),
+    [(85, 1, {}), (70, 2, {"leaf": 2, "pivots": 2, "first_pairs": 1}), (60, 3, {"leaf": 2, "pivots": 3, "task_members": 6}), (80, 4, {"leaf": 1, "task_members": 4, "first_pairs": 1, "extra": 0})],
+)
+def test_components_match_brute_force(spark, threshold, seed, how):
     texts = near_copies(seed)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, texts), threshold, leaf=leaf, pivots=pivots).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, texts), threshold, **how).collect()}
     assert got == brute_components(texts, threshold)
 
 
-def test_regions_of_equal_hash_are_told_apart(spark, monkeypatch):
-    """Two hash values for all regions: own regions of a pair (a filler each) fall on the value below their common ones."""
-    monkeypatch.setattr(jaccard.F, "hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(2)))
-    texts = {}
-    for i in range(60):
-        common, mine, other = ([f"{c}{i}x{j}" for j in range(4)] for c in "cab")
-        for t in (" ".join(common + mine), " ".join(common + other), *mine, *other):
-            texts[len(texts)] = t
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(docs(spark, texts), 30, 1, leaf=1, pivots=1).collect()}
-    assert got == brute_components(texts, 30, 1)
+def random_sets(seed, groups=12, members=40):
+    """Shingle sets of groups around a centre each, at many distances."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        centre = rng.integers(0, 1 << 62, 300)
+        for _ in range(members):
+            kept = centre[rng.random(300) > rng.choice([0.0, 0.02, 0.05, 0.2])]
+            out.append(np.unique(np.concatenate((kept, rng.integers(0, 1 << 62, rng.integers(0, 20))))))
+    return out
+
+
+@pytest.mark.parametrize(("leaf", "pivots"), [(2, 2), (4, 3), (8, 8)])
+def test_cells_keep_every_link(leaf, pivots):
+    """Several levels of cells, against all pairs; the cells part the table, and no pair is missing."""
+    sets = random_sets(leaf)
+    ring = max(jaccard.ring_of(len(s)) for s in sets)
+    sketches = np.stack([wide(s, ring) for s in sets])
+    n = np.array([len(s) for s in sets])
+    reach = 15 * 2 * int(n.max()) // 185
+    found = jaccard.cells(sketches, reach, leaf, pivots)
+    assert len(found) > pivots and max(map(len, found)) < len(sets) / 2
+    together = {(int(i), int(j)) for c in found for i in c for j in c if j < i}
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)}
+    assert links and links <= together
+    order = np.arange(len(sets))
+    pairs, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), 85, 10**6, leaf, pivots)
+    assert done and links <= set(map(tuple, pairs.tolist())) and len(pairs) < 3 * len(links)
+    few, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), 85, 1, leaf, pivots)
+    assert not done and set(map(tuple, few.tolist())) <= set(map(tuple, pairs.tolist()))
+
+
+def wide(keys, ring):
+    odd = np.bincount(keys & ((1 << ring) - 1), minlength=1 << ring).astype(np.uint8) & 1
+    return np.frombuffer(np.packbits(odd, bitorder="little").tobytes(), np.uint64)
+
+
+def test_folded_sketches_are_sketches_of_fewer_slots():
+    rng = np.random.default_rng(3)
+    x, y = (np.unique(rng.integers(0, 1 << 62, n)) for n in (700, 300))
+    for ring in (6, 8, 10):
+        assert jaccard.folded(jaccard.sketch(x), ring).tolist() == wide(x, ring).tolist()
+        apart = int(np.bitwise_count(jaccard.folded(jaccard.sketch(x), ring) ^ jaccard.folded(jaccard.sketch(y), ring)).sum())
+        assert apart <= len(np.setxor1d(x, y))
+
+
+def test_large_regions_are_parted_by_spark(spark):
+    """Regions above task_members become cells or blocks; no two documents that may link lose their common region."""
+    sets = random_sets(9, groups=4, members=30)
+    rows = [(1, 10, "", i, len(s), i % 7, jaccard.sketch(s)) for i, s in enumerate(sets) if jaccard.ring_of(len(s)) == 10]
+    table = spark.createDataFrame(rows, "key bigint, ring int, path string, x bigint, n bigint, score int, sketch binary")
+    got = jaccard.parted(table, 85, 20, 4).collect()
+    by_path = {}
+    for r in got:
+        by_path.setdefault(r["path"], set()).add(r["x"])
+    assert len(by_path) > 4 and max(map(len, by_path.values())) < len(rows)
+    ids = [r[3] for r in rows]
+    for i in ids:
+        for j in ids:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if j < i and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                assert any({i, j} <= p for p in by_path.values())
+
+
+def test_repeated_and_null_ids_of_the_join(spark):
+    df = spark.createDataFrame([(5, "a b c d e"), (5, "x y z u v"), (3, "X y z u v"), (None, "a b c d e"), (7, "A b c d e"), (7, "A b c d e")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.similar_groups(df).collect())
+    assert got == [(-1, -1), (3, 3), (5, 3), (5, 5), (7, 5), (7, 5)]
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in jaccard.keep_one(df).collect())
+    assert kept == [(-1, "a b c d e"), (3, "X y z u v"), (5, "a b c d e")]
 
 
 def test_keep_one_and_empty(spark):
@@ -487,7 +577,7 @@ def test_pipeline_stages(spark):
                 last[lower(t)] = max(k, last.get(lower(t), k))
             want = set(last.values())
         elif name == "n-gram Jaccard join":
-            want = {c for _, c in brute_components(before, 85).values()}
+            want = {c for _, c in brute_components(before, 80, 5).values()}
         else:
             bench = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
             want = {k for k, v in brute_contamination(before, bench, 13).items() if not v[3]}

@@ -8,13 +8,15 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once (one longer document is worked on alone).
-SLICE_BYTES = 2 << 20
-#: Rows of 8-byte ids that may be broadcast (16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+SLICE_BYTES = 1 << 20
+#: Rows of up to 16 bytes that may be broadcast (some 64 MB as a hash table); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+#: Bytes of a Parquet row group: what a writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -36,19 +40,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int, limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is in ids (one column, the same name): ids are broadcast up to limit rows, else both sides shuffle."""
-    return df.join(F.broadcast(ids) if n_ids <= limit else ids.hint("shuffle_hash"), key, "left_semi")
+    return df.join(F.broadcast(ids) if n_ids <= limit else ids.hint("merge"), key, "left_semi")
+
+
+def text_key(text: Column) -> Column:
+    """A number for a text, null as empty: with the id it names a row, so rows that repeat an id are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def by_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the rows named in rows, a stored table of two columns: id, text_key.
+
+    Up to limit rows are broadcast, so docs doesn't move; else both sides shuffle. A null id matches null; all columns
+    of docs stay, whatever their names.
+    """
+    names = [f"__{i}_{uuid.uuid4().hex}" for i in range(2)]
+    same = F.col(id_col).eqNullSafe(F.col(names[0])) & (text_key(F.col(text_col)) == F.col(names[1]))
+    n, rows = rows.count(), rows.toDF(*names)
+    return docs.join(F.broadcast(rows) if n <= limit else rows.hint("merge"), same, how)
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of df whose key isn't among ids (one column): up to limit ids are broadcast, so df doesn't move; else both shuffle."""
-    ids = stored(ids.toDF("__id").distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids.hint("merge"), F.col(key) == F.col("__id"), "left_anti")
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return by_rows(docs, stored(gone.distinct(), "gone"), id_col, text_col, "left_anti")
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

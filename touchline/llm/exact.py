@@ -1,24 +1,27 @@
-"""Exact dedup by an extendible-hash index (native: DataFrame functions only).
-
-Every text has a 64-bit key hash. A directory of hash prefixes starts with one bucket and doubles while a bucket holds
-more keys than its capacity, splitting only overfull buckets. Index entries lie in the shared folder, a folder per
-bucket; one entry is one distinct text of a key, and texts that share a key hash are chained by slot number and told
-apart by comparing their bytes (they are grouping keys, not hashes). Copies are counted before the shuffle, so a text
-that a third of all rows hold reaches its owner as one row per task.
+"""Exact dedup by an extendible-hash index on shared files (native: DataFrame functions only).
+
+Every text has a 64-bit key hash. Equal texts are put together by their bytes (they are grouping keys), counted by task
+before the shuffle, so a text that a third of all rows hold reaches its place as one row per task. Each distinct text is
+an index entry. A directory of hash prefixes starts with one bucket and doubles while a bucket holds more entries than
+its capacity; only overfull buckets split, so a bucket is a range of keys. Entries are dealt to their buckets' owner
+tasks, which chain the entries of one key hash by slots and write the bucket's files. A document is looked up in the
+bucket that the directory names for its key, along the chain, by the digest of its bytes.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import shared_dir, without_ids
+from touchline.llm.common import by_rows, discard, stored, text_key, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Directory entries are 2**MAX_DEPTH at most; keys of one bucket before it splits.
-MAX_DEPTH, CAPACITY = 12, 8192
+#: Entries of one bucket before it splits; the directory's slots that the driver holds and broadcasts at most (16 MB).
+#: A corpus that fills 2**MOST_DEPTH buckets gets a proportionally larger capacity, not deeper prefixes.
+CAPACITY, MOST_DEPTH = 8192, 20
 
 
 def normalised(text: Column) -> Column:
@@ -31,62 +34,86 @@ def prefix_bits(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
-    """Buckets (depth, prefix) after splitting every overfull one; counts: keys by prefix of max_depth bits."""
-    level = {(max_depth, p): n for p, n in counts.items()}
-    sums = [dict[int, int]() for _ in range(max_depth + 1)]
-    for (_, p), n in level.items():
-        for depth in range(max_depth + 1):
-            q = p >> (max_depth - depth)
-            sums[depth][q] = sums[depth].get(q, 0) + n
+def depth_for(entries: int, capacity: int) -> int:
+    """Bits of prefix by which entries are counted: three more than even buckets would need."""
+    return min(MOST_DEPTH, max(1, math.ceil(math.log2(max(entries / capacity, 1))) + 3))
+
+
+def directory(counts: Mapping[int, int], capacity: int, depth: int) -> list[tuple[int, int]]:
+    """Buckets (depth, prefix) after splitting every overfull one; counts: entries by prefix of depth bits."""
+    sums: list[dict[int, int]] = [dict(counts)]
+    for _ in range(depth):
+        up: dict[int, int] = {}
+        for p, n in sums[-1].items():
+            up[p >> 1] = up.get(p >> 1, 0) + n
+        sums.append(up)
+    sums.reverse()
     done, todo = [], [(0, 0)]
     while todo:
-        depth, p = todo.pop()
-        if depth < max_depth and sums[depth].get(p, 0) > capacity:
-            todo += [(depth + 1, 2 * p), (depth + 1, 2 * p + 1)]
+        d, p = todo.pop()
+        if d < depth and sums[d].get(p, 0) > capacity:
+            todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
         else:
-            done.append((depth, p))
-    return sorted(done, key=lambda b: b[1] << (max_depth - b[0]))
+            done.append((d, p))
+    return sorted(done, key=lambda b: b[1] << (depth - b[0]))
+
+
+def slots_of(spark: SparkSession, buckets: list[tuple[int, int]]) -> tuple[DataFrame, int]:
+    """The directory as a table (slot, bucket) of 2**depth rows, and its depth: several slots may name one bucket."""
+    depth = max(d for d, _ in buckets)
+    rows = [i for i, (d, _) in enumerate(buckets) for _ in range(1 << (depth - d))]
+    return spark.createDataFrame(list(enumerate(rows)), "slot bigint, bucket int"), depth
 
 
-def bucket_of(key: Column, buckets: list[tuple[int, int]], max_depth: int = MAX_DEPTH) -> Column:
-    """Number of the bucket that owns a key: one look-up in the directory of 2**depth slots."""
-    depth = max((d for d, _ in buckets), default=0)
-    slots = [i for i, (d, _) in enumerate(buckets) for _ in range(1 << (depth - d))]
-    return F.element_at(F.array(*map(F.lit, slots)), (prefix_bits(key, depth) + 1).cast("int")) if len(slots) > 1 else F.lit(0)
+def in_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """rows (with key) and the bucket that the directory names; the directory's size is checked (MOST_DEPTH)."""
+    return rows.withColumn("slot", prefix_bits(F.col("key"), depth)).join(F.broadcast(slots), "slot").drop("slot")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def build_index(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index (bucket, key, chain, text_sha256, keep_id, keep_key, group_size) and its directory. rows: doc_id, text_key, norm."""
+    entries = rows.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.max(F.struct("doc_id", "text_key")).alias("keep"), F.count("*").alias("group_size"))
+    entries = stored(entries.select("key", F.sha2("norm", 256).alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), "group_size"), "entries")
+    n = entries.count()
+    depth = depth_for(n, capacity)
+    capacity = max(capacity, math.ceil(n / (1 << MOST_DEPTH)))
+    counts = {r["p"]: r["n"] for r in entries.groupBy(prefix_bits(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+    slots, depth = slots_of(rows.sparkSession, directory(counts, capacity, depth))
+    owned = in_bucket(entries, slots, depth).repartition("bucket")
+    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")))
+    index = stored(chained.sortWithinPartitions("bucket", "key"), "exact-index")
+    discard(entries)
+    return index, slots, depth
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_key: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id (largest doc_id of its group), group_size, kept, text_sha256.
 
     Texts are equal when their bytes are after lower-casing A-Z; null counts as empty, so nulls and empty texts form one
-    group. Rows with an equal doc_id each count. A null doc_id never wins against another id; a group of null ids keeps
-    none (kept is false, keep_id null). Other columns of docs are not used. An empty table gives an empty result.
+    group. Every row counts, also one that repeats an id. Of rows with the largest id, the one with the greatest
+    text_key (a hash of the text as it is) is kept; a null id is less than any other, so a group of null ids keeps one
+    text too. Rows equal in id and text are all marked kept. Other columns of docs are not used, whatever their names.
+    Very long texts are taken whole. An empty table gives an empty result. with_key adds text_key.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    counts = {r["p"]: r["n"] for r in rows.groupBy(prefix_bits(F.col("key"), max_depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-    buckets = directory(counts, capacity, max_depth)
-    entries = (
-        rows.groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size", bucket_of(F.col("key"), buckets, max_depth).alias("bucket"))
-    )
-    path = f"{shared_dir(spark)}/exact-index-{uuid.uuid4().hex}"
-    entries.write.partitionBy("bucket").parquet(path)
-    index = spark.read.schema(entries.schema).parquet(path).drop("bucket")
-    chained = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # where a key hash has one text, it settles the entry; in a chain, the digest of the text picks the slot
-    members = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
-    n_chained = chained.count()
-    if n_chained:
-        index = index.withColumnRenamed("sha", "text_sha256")
-        joined = members.join(index.hint("merge"), ["key", "text_sha256"])
-    else:
-        joined = members.join(index.drop("sha").hint("merge"), "key")
-    return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), normalised(F.col(text_col)).alias("norm"))
+    index, slots, depth = build_index(rows, capacity)
+    members = rows.select("doc_id", "text_key", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
+    found = in_bucket(members, slots, depth).join(index.hint("merge"), ["bucket", "key", "text_sha256"])
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["text_key"] if with_key else []))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep; all columns stay."""
-    return without_ids(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
+    """docs with one row of each group of exact_groups(); all columns stay.
+
+    Decisions are on rows, not on ids: an id that one group drops may stay in another. Of rows equal in id and text one
+    stays, whichever.
+    """
+    found = stored(exact_groups(docs, id_col, text_col, with_key=True), "exact-groups")
+    left = without_rows(docs, found.where(~F.col("kept")).select("doc_id", "text_key"), id_col, text_col)
+    twice = found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    twice = stored(twice, "repeated-rows")
+    if twice.isEmpty():
+        return left
+    again = by_rows(left, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col])
+    return by_rows(left, twice, id_col, text_col, "left_anti").unionByName(again)

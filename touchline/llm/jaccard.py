@@ -1,19 +1,24 @@
 """N-gram Jaccard join in metric space.
 
-Jaccard distance d = 1 - J is a metric; two documents link when d <= r = 1 - threshold. Documents of unequal topic share
-no shingle and lie at distance 1 from each other, so pivots drawn from the whole corpus separate nothing. The regions at
-the root are therefore those of single shingles: in a fixed order of all shingles, a link needs a common one among the
-first floor(r n) + 1 of each document (n its shingles), so a document belongs to the region of its first shingle and is
-replicated as a boundary document to those of the next floor(r n) ones.
-
-1. Equal shingle sets are one class. In the region of its least shingle every class is compared with one pivot; this
-   joins most near copies by a link each to their pivot, whatever the size of a group.
-2. In the regions of all root shingles, only those that hold more than one component are left. Small ones are compared
-   directly, across components. In a large region pivots are drawn, exact distances to them give links and Voronoi cells:
-   a document lies in the cell of its nearest pivot and is replicated to a cell whose pivot is at most 2 r further off
-   (triangle inequality); cells are regions again, until none holds more than one component.
-
-The order of shingles puts those of many documents last, so common passages found no regions. It affects speed only.
+Two sets link when 100 |x & y| >= t |x | y|, that is when their symmetric difference is at most
+D = (100 - t) (|x| + |y|) / (100 + t). The size of the symmetric difference is a metric, and so is the Hamming distance of parity
+sketches (bit i: parity of the shingles that fall into slot i), which never exceeds it. Distances to pivots are taken on
+the sketches; links are decided on the shingles of the texts themselves.
+
+1. Equal shingle sets are one class (128-bit digests); only one document of a class goes on.
+2. Unrelated documents all lie equally far apart, so pivots part nothing among them. In the order of shingle hashes take
+   the first floor((100 - t + e) n / 100) + 1 shingles of each document (n: its shingles). A link shares at least
+   floor(e n / 100) + 1 of them, from either side, so a document with fewer that any other document has leaves.
+3. The documents that stay meet in root regions, one for a shingle: of the shared ones, a document goes to the regions
+   of its rarest, as many as a link can't avoid. The empty set is the first pivot of each region: its distances are sizes,
+   which cut rings that overlap by what a link allows. Regions of equal members are one.
+4. Regions are parted by pivots: a document lies in the Voronoi cell of its nearest pivot and is replicated to each cell
+   whose pivot is at most 2 D further off (triangle inequality); cells are parted in turn. Regions of more than
+   TASK_MEMBERS are parted by Spark, smaller ones within a task. Where pivots part nothing, a region is compared
+   block by block, in a task of its own for every two blocks.
+5. Pairs of different components whose sketches allow a link are compared on their texts. A region with many such pairs
+   first sends each member with its foremost neighbour (one that shares most with others), and goes on, with more pairs, only
+   while it holds several components.
 """
 
 from __future__ import annotations
@@ -22,26 +27,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import only_ids, slices, stored, without_ids
+from touchline.llm.common import discard, only_ids, slices, stored, text_key, without_rows
 from touchline.llm.graph import components
 from touchline.llm.text import grams, mix, white_space_words, words
 
 #: Threshold in hundredths, words of a shingle.
 THRESHOLD, SHINGLE = 85, 4
-#: Members of a root region that are compared directly; pivots drawn from a larger one.
-LEAF, PIVOTS = 48, 8
-#: From level to level the first number grows so many times, up to the second; larger regions are always parted by pivots.
-LEAF_GROWTH, LEAF_MOST = 4, 1024
-#: Cells are taken for regions if their members are at most this many times those of the region.
-SPREAD = 1.5
-#: A shingle is common from so many documents on, at least; no more common ones are listed (8 bytes each).
-COMMON, COMMON_LIST = 32, 1_000_000
-#: Shingles that a task counts together (8 bytes each).
-COUNTED = 2_000_000
+#: Hundredths of a document's shingles that are looked at besides the prefix a link can't avoid.
+EXTRA = 10
+#: Members of a cell that are compared directly, pivots drawn from a larger one.
+LEAF, PIVOTS = 8, 8
+#: Distance, in reaches, from which on a member lies in no pivot's cell but in the outer one.
+OUTER = 3
+#: Members of a region that a task takes as a whole (a sketch is some 100 bytes to 8 kB); larger ones are parted first.
+TASK_MEMBERS = 4096
+#: Cells are taken if they hold at most this many times the members of their region.
+SPREAD = 2.0
+#: Pairs by member that a region may send in the first round; from round to round four times as many.
+PAIRS, PAIRS_GROWTH = 2, 4
+#: Pairs of one document that are compared in one place.
+SALT = 256
+REGION = ["key", "ring", "path"]
 _WORD = white_space_words()
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingle_keys(texts: pa.LargeStringArray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -58,196 +69,347 @@ def shingle_keys(texts: pa.LargeStringArray, k: int = SHINGLE) -> list[np.ndarra
     return out
 
 
-def common_shingles(docs: DataFrame, k: int, least: int = COMMON, most: int = COMMON_LIST) -> np.ndarray:
-    """Shingles that many documents hold, by counts over all documents; of those that a task holds at once, ones that
-    occur once aren't counted.
+def ring_of(n: int) -> int:
+    """A document of n shingles has a sketch of 2**ring bits: two bits a shingle or more."""
+    return max(6, (2 * n - 1).bit_length()) if n else 6
 
-    The list only orders shingles, so its bound costs no link.
-    """
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
+def sketch(keys: np.ndarray) -> bytes:
+    bits = 1 << ring_of(len(keys))
+    odd = np.bincount(keys & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in slices(batches):
-            found = shingle_keys(batch.column(1), k)
-            held += found
-            size += sum(map(len, found))
-            if size > COUNTED:
-                yield counts(held)
-                held, size = [], 0
-        if held:
-            yield counts(held)
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.col("n").desc(), "key").limit(most)
-    return np.sort(top.select("key").toPandas()["key"].to_numpy(np.int64))
+def folded(raw: bytes, ring: int) -> np.ndarray:
+    """A sketch as 64-bit words, folded to 2**ring bits: parities of slots that fall together add up."""
+    s = np.frombuffer(raw, np.uint64)
+    while len(s) > 1 << (ring - 6):
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
 
 
-def profiles(docs: DataFrame, k: int, threshold: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n (shingles), a and b (128-bit digest of the set), pivot_key and root (keys of the root regions, in order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def digests(keys: np.ndarray) -> tuple[int, int]:
+    u = keys.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        a = mix(u).sum(dtype=np.uint64).astype(np.int64)
+        b = mix(mix(u ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64).astype(np.int64)
+    return int(a), int(b)
+
+
+def profiles(docs: DataFrame, k: int, threshold: int, extra: int = EXTRA) -> DataFrame:
+    """doc_id, text_key, n (shingles), a and b (128-bit digest of the set), sketch, root (first shingles by hash), row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
         for batch in slices(batches):
-            n, a, b, least, root = [], [], [], [], []
-            for keys in shingle_keys(batch.column(1), k):
-                u = keys.astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    a.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
-                    b.append(int(mix(mix(u ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64).astype(np.int64)))
-                n.append(len(keys))
-                if len(late) and len(keys):
-                    at = np.searchsorted(late, keys)
-                    at[at == len(late)] = 0
-                    is_late = late[at] == keys
-                    keys = np.concatenate((keys[~is_late], keys[is_late] | np.int64(1 << 62)))
-                first = keys[: (100 - threshold) * len(keys) // 100 + 1]
-                root.append(first)
-                least.append(int(first[0]) if len(first) else None)
+            sets = shingle_keys(batch.column(1), k)
+            two = [digests(s) for s in sets]
+            root = [s[: (100 - threshold + extra) * len(s) // 100 + 1] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(least, pa.int64()), pa.array(root, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "a", "b", "pivot_key", "root"],
-            )
+                [
+                    batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in two], pa.int64()), pa.array([x for _, x in two], pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.binary()), pa.array(root, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text_key", "n", "a", "b", "sketch", "root"],
+            )
+
+    read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    found = read.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, a bigint, b bigint, sketch binary, root array<bigint>")
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+def close_pairs(root: DataFrame, sizes: DataFrame, extra: int) -> DataFrame:
+    """key, x: root regions of the documents that may have a link. root: x, key; sizes: x, n."""
+    need = F.floor(F.lit(extra) * F.col("n") / 100) + 1
+    # one exchange serves both sides: the largest and least document of a region tell whether it has several
+    dealt = root.repartition("key")
+    several = dealt.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("key")
+    shared = stored(dealt.join(several.hint("shuffle_hash"), "key", "left_semi"), "shared-shingles")
+    may = shared.groupBy("x").agg(F.count("*").alias("c")).join(sizes.hint("merge"), "x").where(F.col("c") >= need).select("x", "n")
+    left = shared.join(may.hint("merge"), "x")
+    several = left.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    left = left.join(several.hint("merge"), "key").groupBy("x").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    # those that a document has alone are its rarest; a link may lack all but need - 1 of the others
+    left = left.where(F.size("own") >= need).withColumn("own", F.slice("own", F.lit(1), (F.size("own") - need + 1).cast("int")))
+    out = stored(left.select("x", "n", F.explode("own.key").alias("key")), "root-regions")
+    discard(shared)
+    return out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, pivot_key bigint, root array<bigint>")
 
+def rings(members: DataFrame, threshold: int) -> DataFrame:
+    """members (key, x, n) by size: the ring of a document's own sketch, and the one below where a link can reach into it."""
+    own = F.greatest(F.lit(6), F.ceil(F.log2(F.col("n") * 2.0))).cast("int")
+    own = F.when(F.pow(F.lit(2.0), own) >= 2 * F.col("n"), own).otherwise(own + 1)
+    reaches = (own > 6) & (threshold * F.col("n") <= 100 * F.pow(F.lit(2.0), own - 2))
+    both = F.when(reaches, F.array(own, own - 1)).otherwise(F.array(own))
+    return members.select("key", "x", F.explode(both).alias("ring"), F.lit("").alias("path"))
 
-def near_in_size(n: Column, m: Column, threshold: int) -> Column:
-    """J is at most the ratio of the sizes."""
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
+def distinct_regions(members: DataFrame) -> DataFrame:
+    """members of regions that hold several documents; of regions with equal members one stays."""
+    marks = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    found = members.groupBy(*REGION).agg(F.count("*").alias("size"), *marks).where("size > 1")
+    kept = found.groupBy("ring", "size", "h0", "h1").agg(F.min(F.struct("key", "path")).alias("r")).select("r.key", "ring", "r.path", "size")
+    return members.join(kept.hint("merge"), REGION)
 
-def distances(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """x, y, common (shared shingles), nx, ny for each distinct pair (x, y): full sets, read from the whole texts."""
-    ids = stored(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "compared")
-    needed = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_keys(batch.column(1), k), pa.list_(pa.int64()))], names=["doc_id", "keys"])
+def gaps(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Hamming distances of sketches (rows of 64-bit words) to one."""
+    return np.bitwise_count(sketches ^ one).sum(1, dtype=np.int64)
 
-    sets = stored(needed.mapInArrow(run, "doc_id bigint, keys array<bigint>"), "compared-sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("keys").alias("kx")).hint("merge"), "x")
-    joined = joined.join(sets.select(F.col("doc_id").alias("y"), F.col("keys").alias("ky")).hint("merge"), "y")
-    return joined.select("x", "y", F.size(F.array_intersect("kx", "ky")).alias("common"), F.size("kx").alias("nx"), F.size("ky").alias("ny"))
 
+def within(away: np.ndarray, reach: int) -> np.ndarray:
+    """Which cells (rows) a member (column) belongs to, by its distances to the pivots; the last row is the outer cell.
+
+    A constant changes no faster than a distance does, so the outer cell is one more Voronoi cell, of those that lie OUTER *
+    reach or more from every pivot; the window of 2 * reach holds for it too.
+    """
+    away = np.concatenate((away, np.full((1, away.shape[1]), OUTER * reach)))
+    return away <= away.min(0) + 2 * reach
+
+
+def cells(sketches: np.ndarray, reach: int, leaf: int = LEAF, pivots: int = PIVOTS) -> list[np.ndarray]:
+    """Members (row numbers, ascending) of the cells that pivots make, recursively; two at most reach apart share a cell."""
+    out, todo = [], [np.arange(len(sketches))]
+    while todo:
+        mine = todo.pop()
+        if len(mine) <= leaf:
+            out.append(mine)
+            continue
+        # pivots: the foremost member, then the one farthest from all pivots so far
+        held = sketches[mine]
+        away = [gaps(held, held[0])]
+        nearest = away[0]
+        while len(away) < pivots and nearest.max() > 2 * reach:
+            away.append(gaps(held, held[int(nearest.argmax())]))
+            nearest = np.minimum(nearest, away[-1])
+        inside = within(np.stack(away), reach)
+        sizes = inside.sum(1)
+        if len(away) == 1 or sizes.max() == len(mine) or sizes.sum() > SPREAD * len(mine):
+            out.append(mine)
+        else:
+            todo += [mine[row] for row in inside]
+    return out
 
-def linked(compared: DataFrame, threshold: int) -> Column:
-    """100 * intersection >= threshold * union."""
-    return 100 * F.col("common") >= threshold * (F.col("nx") + F.col("ny") - F.col("common"))
 
+def candidates(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, native: np.ndarray, threshold: int, budget: int, leaf: int, pivots: int) -> tuple[np.ndarray, bool]:
+    """Pairs (member, foremore member) whose sketches allow a link, and whether they are all.
 
-def _several(members: DataFrame, region: list[str]) -> DataFrame:
-    """Members of regions that hold more than one component; counted before rows move."""
-    mixed = members.groupBy(*region).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").drop("lo", "hi")
-    return members.join(mixed.hint("merge"), region)
+    Members come in order of rank. Beyond budget pairs by member, each is paired with its foremost neighbour only.
+    """
+    m = len(n)
+    reach = (100 - threshold) * 2 * int(n.max()) // (100 + threshold)
+    found, count, first = [], 0, np.full(m, m)
+    for cell in cells(sketches, reach, leaf, pivots):
+        step = max(1, (1 << 21) // max(1, len(cell) * sketches.shape[1]))
+        for at in range(0, len(cell), step):
+            rows, cols = cell[at : at + step], cell[: at + step]
+            apart = np.bitwise_count(sketches[rows][:, None, :] ^ sketches[cols][None, :, :]).sum(2, dtype=np.int64)
+            a, b = n[rows][:, None], n[cols][None, :]
+            near = ((100 + threshold) * apart <= (100 - threshold) * (a + b)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
+            near &= (cols[None, :] < rows[:, None]) & (comp[rows][:, None] != comp[cols][None, :]) & (native[rows][:, None] | native[cols][None, :])
+            hit = near.any(1)
+            first[rows[hit]] = np.minimum(first[rows[hit]], cols[near[hit].argmax(1)])
+            count += int(near.sum())
+            if count <= budget * m:
+                i, j = np.nonzero(near)
+                found.append(np.stack((rows[i], cols[j]), 1))
+    if count <= budget * m:
+        return (np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)), True
+    who = np.flatnonzero(first < m)
+    return np.stack((who, first[who]), 1), False
+
+
+def region_pairs(members: DataFrame, threshold: int, budget: int, leaf: int, pivots: int) -> DataFrame:
+    """REGION, x, y, done: pairs to compare; regions that have not sent all have done false. members: with x, n, comp, score, sketch."""
+
+    def work(rows: list[tuple]) -> Iterator[tuple]:
+        ring = rows[0][1]
+        rows.sort(key=lambda r: (-r[6], r[3]))
+        n = np.array([r[4] for r in rows])
+        native = np.array([ring_of(r[4]) == ring for r in rows])
+        comp = np.array([r[5] for r in rows])
+        pairs, done = candidates(np.stack([folded(r[7], ring) for r in rows]), n, comp, native, threshold, budget, leaf, pivots)
+        for i, j in pairs.tolist():
+            yield *rows[0][:3], rows[i][3], rows[j][3], done
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*REGION, "x", "y", "done"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out += work(held)
+                    held = []
+                    if len(out) > 50_000:
+                        yield flush()
+                held.append(row)
+        if held:
+            out += work(held)
+        if out:
+            yield flush()
 
-def join_classes(docs: DataFrame, classes: DataFrame, roots: DataFrame, k: int, threshold: int, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
-    """Links (a, b) between classes that join what is connected: every link is real; the components are those of all links."""
-    r = (100 - threshold) / 100
-    star = classes.where("pivot_key IS NOT NULL").groupBy("pivot_key").agg(F.min("rep").alias("y"), F.min_by("n", "rep").alias("m"), F.count("*").alias("size")).where("size > 1")
-    pairs = classes.join(star.hint("merge"), "pivot_key").where((F.col("rep") != F.col("y")) & near_in_size(F.col("n"), F.col("m"), threshold))
-    found = distances(docs, stored(pairs.select(F.col("rep").alias("x"), "y").distinct(), "pairs"), k)
-    links = stored(found.where(linked(found, threshold)).select(F.col("x").alias("a"), F.col("y").alias("b")), "star-links")
+    sent = members.select(*REGION, "x", "n", "comp", "score", "sketch").repartition(*REGION).sortWithinPartitions(*REGION)
+    return sent.mapInArrow(run, "key bigint, ring int, path string, x bigint, y bigint, done boolean")
 
-    def labelled(members: DataFrame, of: DataFrame) -> DataFrame:
-        return members.drop("comp").join(of.select(F.col("node").alias("x"), "component").hint("merge"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
 
-    comp = stored(components(links), "components")
-    marks = roots.select(F.col("rep").alias("x"), "n", F.size("root").alias("size_of_root"), F.element_at("root", -1).alias("last"), "root")
-    tokens = labelled(marks, comp).select("x", "n", "size_of_root", "last", "comp", F.explode("root").alias("key"))
-    # region: the root shingle and, further down, the path of pivots
-    mixed = stored(tokens.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed-regions")
-    members = stored(only_ids(tokens, mixed, "key", mixed.count()).withColumn("path", F.lit("")), "regions")
-    own = ["x", "n", "size_of_root", "last"]
-    root = True
+def parted(members: DataFrame, threshold: int, most: int, pivots: int) -> DataFrame:
+    """members (REGION, x, n, score, sketch) in regions that a task can take: larger ones become cells, or blocks by twos."""
+    done = None
     while True:
-        members = stored(_several(members, ["key", "path"]), "regions")
-        if members.isEmpty():
-            return links
-        small, large = members.where(F.col("size") <= leaf), members.where(F.col("size") > leaf)
-        many = large.groupBy("x").agg(F.count("*").alias("in_large"))
-        side = small.join(many.hint("merge"), "x", "left").withColumn("in_large", F.coalesce("in_large", F.lit(0)))
-        other = side.select("key", "path", *(F.col(c).alias(f"{c}_y") for c in (*own, "comp", "in_large"))).withColumnRenamed("x_y", "y")
-        met = side.join(other.hint("merge"), ["key", "path"]).where((F.col("x") < F.col("y")) & (F.col("comp") != F.col("comp_y")) & near_in_size(F.col("n"), F.col("n_y"), threshold))
-        met = met.groupBy("x", "y").agg(F.countDistinct("key").alias("met"), *(F.first(c).alias(c) for c in ("n", "size_of_root", "last", "in_large", "n_y", "size_of_root_y", "last_y", "in_large_y")))
-        # at the root all shared shingles are seen, so their number can rule a link out; further down some regions are gone
-        direct = (met.where(may_link(threshold)) if root else met).select("x", "y")
-        root = False
-        # pivots: members of the smallest components first, so a region of one large group and strays settles at once;
-        # a pivot of one region is one in all its regions, so a pair of them is compared once, in the least region of both
-        leaf = max(leaf, min(leaf * LEAF_GROWTH, LEAF_MOST))
-        large = large.withColumn("region", F.concat_ws(":", F.col("key").cast("string"), "path"))
-        share = large.groupBy("key", "path", "comp").agg(F.count("*").alias("c"))
-        rank = F.struct("c", F.xxhash64("x").alias("h"), "x")
-        ranked = large.join(share.hint("merge"), ["key", "path", "comp"]).select("key", "path", "x", rank.alias("rank"))
+        sizes = stored(members.groupBy(*REGION).agg(F.count("*").alias("size"), F.max("n").alias("most_n")).where(F.col("size") > most), "large-regions")
+        if sizes.isEmpty():
+            return members if done is None else members.unionByName(done)
+        small = members.join(sizes.select(*REGION).hint("merge"), REGION, "left_anti")
+        large = members.join(sizes.hint("merge"), REGION)
         slot = F.pmod(F.xxhash64("x"), F.lit(pivots))
-        drawn = ranked.groupBy("key", "path").agg(F.min("rank").alias("p0"), *(F.min(F.when(slot == i, F.col("rank"))).alias(f"p{i + 1}") for i in range(pivots)))
-        drawn = drawn.select(F.explode(F.array(*(F.col(f"p{i}.x") for i in range(pivots + 1)))).alias("x")).where("x IS NOT NULL").distinct()
-        regions = large.groupBy("x").agg(F.collect_set("region").alias("regions"))
-        members = stored(large.join(regions.hint("merge"), "x").join(drawn.withColumn("pivot", F.lit(True)).hint("merge"), "x", "left"), "large-regions")
-        of_region = members.where("pivot").select("key", "path", F.col("x").alias("y"), F.col("regions").alias("regions_y"))
-        least_common = F.array_min(F.array_intersect("regions", "regions_y"))
-        to_pivots = members.join(of_region.hint("merge"), ["key", "path"]).where((F.col("x") != F.col("y")) & (F.col("region") == least_common))
-        pairs = stored(direct.unionByName(to_pivots.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "pairs")
-        found = stored(distances(docs, pairs, k), "distances")
-        links = stored(links.unionByName(found.where(linked(found, threshold)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "links-so-far")
-        comp = stored(components(links), "components")
-        # cells: each member against the pivots of its region, as one row of arrays
-        gap = F.lit(1.0) - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
-        both = found.select("x", "y", gap.alias("d")).unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), gap.alias("d")))
-        both = both.join(drawn.withColumnRenamed("x", "y").hint("merge"), "y", "left_semi")
-        known = both.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", "d"))).alias("d"))
-        heads = of_region.groupBy("key", "path").agg(F.collect_set("y").alias("heads"))
-        # a pivot has met every member of its regions, so it leaves them; a member that has not met one is an error
-        rest = members.where("pivot IS NULL").drop("pivot", "regions", "region").join(heads.hint("merge"), ["key", "path"]).join(known.hint("merge"), "x", "left")
-        gaps = F.transform("heads", lambda y: F.struct(F.coalesce(F.col("d")[y], F.raise_error(F.lit("no distance to a pivot"))).alias("d"), y.alias("y")))
-        rest = rest.withColumn("gaps", gaps).withColumn("cells", F.filter("gaps", lambda g: g["d"] <= F.array_min("gaps")["d"] + 2 * r + 1e-9))
-        # cells that would hold most members several times over separate nothing: such a region stays whole
-        spread = rest.groupBy("key", "path").agg((F.sum(F.size("cells")) > F.lit(SPREAD) * F.count("*")).alias("whole"))
-        rest = rest.join(spread.hint("merge"), ["key", "path"])
-        path = F.when(F.col("whole"), F.array("path")).otherwise(F.transform("cells", lambda g: F.concat_ws("/", "path", g["y"].cast("string"))))
-        members = labelled(rest.select("key", F.explode(path).alias("path"), *own, "comp"), comp)
-
-
-def may_link(threshold: int) -> Column:
-    """Whether the shared root shingles of x and y still allow a link.
-
-    Of the two, take the one whose root ends first in the order of shingles: those of its root that the other's root lacks
-    are not in the other at all. Shared ones in large regions aren't counted by pair, so all of them are granted.
+        foremost = F.struct((-F.col("score")).alias("s"), "x", "sketch")
+        drawn = large.groupBy(*REGION).agg(*(F.min(F.when(slot == i, foremost)).alias(f"p{i}") for i in range(pivots)))
+        drawn = drawn.select(*REGION, F.filter(F.array(*(F.col(f"p{i}.sketch") for i in range(pivots))), lambda s: s.isNotNull()).alias("pivots"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = {c: batch.column(c).to_pylist() for c in ("ring", "sketch", "pivots", "most_n")}
+                inside = []
+                for ring, own, heads, n in zip(col["ring"], col["sketch"], col["pivots"], col["most_n"], strict=True):
+                    away = gaps(np.stack([folded(p, ring) for p in heads]), folded(own, ring))
+                    reach = (100 - threshold) * 2 * n // (100 + threshold)
+                    inside.append(np.flatnonzero(within(away[:, None], reach)[:, 0]).tolist())
+                kept = batch.drop_columns(["pivots", "most_n"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(inside, pa.list_(pa.int32()))], names=[*kept.schema.names, "cells"])
+
+        near = large.join(drawn.hint("merge"), REGION)
+        kept = near.drop("pivots", "most_n")
+        near = stored(near.mapInArrow(run, kept.select("*", F.array().cast("array<int>").alias("cells")).schema), "cells-of-members")
+        # a cell that holds the whole region parts nothing
+        of_cell = near.select(*REGION, "size", F.explode("cells").alias("cell")).groupBy(*REGION, "size", "cell").agg(F.count("*").alias("m"))
+        spread = of_cell.groupBy(*REGION, "size").agg(F.sum("m").alias("all"), F.max("m").alias("largest"))
+        whole = spread.select(*REGION, ((F.col("largest") == F.col("size")) | (F.col("all") > SPREAD * F.col("size"))).alias("whole"))
+        near = near.join(whole.hint("merge"), REGION)
+        same = [c for c in members.columns if c != "path"]
+        in_cells = near.where(~F.col("whole")).withColumn("cell", F.explode("cells")).select(*same, F.concat("path", F.lit("/"), F.col("cell").cast("string")).alias("path"))
+        blocks = F.ceil(F.col("size") * 2.5 / most).cast("int")
+        mine = F.pmod(F.xxhash64("x", F.lit(7)), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        by_two = near.where("whole").withColumn("mine", mine).withColumn("other", other)
+        by_two = by_two.select(*same, F.concat_ws("-", F.concat("path", F.lit("/b")), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("path"))
+        done = stored(by_two if done is None else done.unionByName(by_two), "blocks")
+        members = stored(small.unionByName(in_cells.select(*small.columns)), "regions")
+        done = done.select(*members.columns)
+
+
+def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """a, b: the pairs (x, y) whose texts link, by the shingles of the texts themselves. texts: x, text.
+
+    Pairs are grouped by y, whose text is sent once for every SALT of its pairs.
     """
-    met = F.col("met") + F.least("in_large", "in_large_y")
-    most = F.when(F.col("last") <= F.col("last_y"), F.col("n") - F.greatest(F.col("size_of_root") - met, F.lit(0))).otherwise(F.col("n_y") - F.greatest(F.col("size_of_root_y") - met, F.lit(0)))
-    most = F.least(most, "n", "n_y")
-    return 100 * most >= threshold * (F.col("n") + F.col("n_y") - most)
+
+    def shingles(text: str) -> set[tuple]:
+        w = text.encode().translate(_LOWER).split()
+        return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, set()
+        for batch in batches:
+            a, b = [], []
+            for y, salt, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if x is None:
+                    head, own = (y, salt), shingles(text.as_py())
+                    continue
+                if head != (y, salt):
+                    raise RuntimeError("a pair came without its text")
+                theirs = shingles(text.as_py())
+                both = len(own & theirs)
+                if both and 100 * both >= threshold * (len(own) + len(theirs) - both):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    many = pairs.groupBy("y").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    dealt = stored(pairs.join(many.hint("merge"), "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt")), "pairs")
+    rows = dealt.join(texts.hint("merge"), "x").select("y", "salt", "x", "text")
+    heads = dealt.select("y", "salt").distinct().join(texts.withColumnRenamed("x", "y").hint("merge"), "y").select("y", "salt", F.lit(None).cast("long").alias("x"), "text")
+    sent = rows.unionByName(heads).repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first())
+    return sent.mapInArrow(run, "a bigint, b bigint")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """x, text of the classes wanted (x, rep, a, b). Rows that repeat an id are told apart by the digest of their set."""
+    ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "compared-ids")
+    found = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            two = [digests(s) for s in shingle_keys(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in two], pa.int64()), pa.array([x for _, x in two], pa.int64()), batch.column(1).cast(pa.string())], names=["rep", "a", "b", "text"])
+
+    found = found.mapInArrow(run, "rep bigint, a bigint, b bigint, text string")
+    return stored(found.join(wanted.hint("merge"), ["rep", "a", "b"]).groupBy("x").agg(F.first("text").alias("text")), "compared-texts")
+
+
+def join_classes(
+    docs: DataFrame, classes: DataFrame, profile: DataFrame, k: int, threshold: int, extra: int = EXTRA, leaf: int = LEAF, pivots: int = PIVOTS, task_members: int = TASK_MEMBERS, first_pairs: int = PAIRS
+) -> DataFrame:
+    """Links (a, b) between classes (x, rep, n, a, b): every link is real, and the components are those of all links."""
+    root = profile.join(classes.select(F.col("x").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("x"), F.explode("root").alias("key"))
+    regions = close_pairs(root, classes.select("x", "n"), extra)
+    found = stored(distinct_regions(rings(regions, threshold)), "distinct-regions")
+    score = found.groupBy("x").agg(F.sum("size").alias("score"))
+    sketches = profile.select(F.col("row").alias("x"), "n", "sketch")
+    info = stored(sketches.join(score.hint("merge"), "x"), "sketches")
+    texts = texts_of(docs, classes.join(score.select("x").hint("merge"), "x", "left_semi").select("x", "rep", "a", "b"), k)
+    members = parted(found.select(*REGION, "x").join(info.hint("merge"), "x"), threshold, task_members, pivots)
+    members = stored(members.withColumn("comp", F.col("x")), "members")
+    discard(regions, found)
+    links, budget = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), first_pairs
+    while True:
+        sent = stored(region_pairs(members, threshold, budget, leaf, pivots), "candidates")
+        if sent.isEmpty():
+            return links
+        links = stored(links.unionByName(compared(sent.select("x", "y").distinct(), texts, k, threshold)), "links-so-far")
+        open_regions = sent.where(~F.col("done")).select(*REGION).distinct()
+        if open_regions.isEmpty():
+            return links
+        comp = components(links).withColumnRenamed("node", "x")
+        rest = members.drop("comp").join(open_regions.hint("merge"), REGION, "left_semi").join(comp.hint("merge"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
+        mixed = rest.groupBy(*REGION).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*REGION)
+        before, members = members, stored(rest.join(mixed.hint("merge"), REGION, "left_semi"), "members")
+        discard(before, sent)
+        budget *= PAIRS_GROWTH
 
 
-def similar_groups(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included).
+def similar_groups(docs: DataFrame, threshold: int = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False, **how) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that links lead to, itself included).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds distinct k-word shingles; fewer words are one
-    shingle. A null or empty text has none and links with nothing. Rows without an id keep a null component; rows that
-    repeat an id must have one text. Other columns aren't used; an empty table gives an empty result.
+    shingle. A null or empty text has none and links with nothing. A row without an id keeps a null component. Rows that
+    repeat an id are documents of their own, of equal text or not. Very long texts are taken whole. Other columns aren't
+    used, whatever their names; an empty table gives an empty result. with_key adds text_key, which with doc_id names a row.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = stored(profiles(docs, k, threshold, common_shingles(docs, k)), "profiles")
-    classes = profile.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pivot_key").alias("pivot_key"))
-    classes = stored(classes, "classes")
-    roots = profile.select("a", "b", F.col("doc_id").alias("rep"), "n", "root").join(classes.select("rep").hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
-    links = join_classes(docs, classes, roots.drop("a", "b"), k, threshold, leaf, pivots)
-    comp = components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.select("a", "b", "rep").join(comp.hint("merge"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
-    # an empty text is a class of its own
-    out = profile.select("doc_id", "n", "a", "b").join(named.hint("merge"), ["a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    profile = stored(profiles(docs, k, threshold, how.get("extra", EXTRA)), "profiles")
+    classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.first("n").alias("n"))
+    classes = stored(classes.select(F.col("r.row").alias("x"), F.col("r.doc_id").alias("rep"), "n", "a", "b"), "classes")
+    comp = components(join_classes(docs, classes, profile, k, threshold, **how)).withColumnRenamed("node", "x")
+    named = classes.select("x", "rep", "a", "b").join(comp.hint("merge"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = stored(named.join(least.hint("merge"), "component").select("a", "b", "component_id"), "components")
+    out = profile.select("doc_id", "text_key", "n", "a", "b").join(named.hint("merge"), ["a", "b"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *(["text_key"] if with_key else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the documents that aren't the least of their component; all columns stay."""
-    gone = similar_groups(docs, id_col=id_col, text_col=text_col, **how).where("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, gone, id_col)
+    """docs without the rows whose id isn't the least of their component; all columns stay.
+
+    Rows are told apart by id and text. Rows with the least id of a component all stay, also where they repeat it; rows
+    without an id stay.
+    """
+    found = similar_groups(docs, id_col=id_col, text_col=text_col, with_key=True, **how)
+    return without_rows(docs, found.where("doc_id <> component_id").select("doc_id", "text_key"), id_col, text_col)
