@@ -495,9 +495,10 @@ def test_cells_keep_every_link(leaf, pivots):
     links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)}
     assert links and links <= together
     order = np.arange(len(sets))
-    pairs, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), 85, 10**6, leaf, pivots)
+    pairs, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), np.ones((len(n), 1), np.int64), 1, 85, 10**6, leaf, pivots)
     assert done and links <= set(map(tuple, pairs.tolist())) and len(pairs) < 3 * len(links)
-    few, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), 85, 1, leaf, pivots)
+    few, done = jaccard.candidates(sketches, n, order, np.ones(len(n), bool), np.ones((len(n), 1), np.int64), 1, 85, 1, leaf, pivots)
+    assert not len(jaccard.candidates(sketches, n, order, np.ones(len(n), bool), np.ones((len(n), 1), np.int64), 2, 85, 1, leaf, pivots)[0])
     assert not done and set(map(tuple, few.tolist())) <= set(map(tuple, pairs.tolist()))
 
 

@@ -1,27 +1,41 @@
 """Byte-level BPE of many texts with the tokenizers library.
 
-Most words recur, so ids are remembered by chunk: a chunk is what lies between spaces that a visible character follows,
-with its leading space. The pre-tokenizer always cuts before such a space, and what it finds inside a chunk doesn't
-depend on other chunks, so the joined ids equal those of the whole text. Texts with other runs of white space, and
-tokenizers of another kind, are encoded whole.
+Most words recur, so ids are remembered by piece. A regular expression cuts texts as the library's pre-tokenizer for
+byte-level BPE does (a fixed pattern, for characters whose class is beyond doubt); pieces that are new in a batch of texts
+go to the library's model. Texts with other characters, and tokenizers of another kind, are encoded by the library whole.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks, and pieces, that a worker remembers (some 200 bytes each) before it forgets them all.
-MEMO = 700_000
-_ODD_SPACE = re.compile(r" (?=\s|\Z)")
-#: Words with closing signs, the lines of a chunk: the pre-tokenizer cuts them after the letters, and around each line end.
-_PLAIN = re.compile(r"( ?[^\W\d_]+)([.,!?*&%$#|;:]*)")
+#: Pieces that a worker remembers, of those seen in several batches and of new ones (some 150 bytes each).
+MEMO = 250_000
+# Classes of the characters below U+0250 (letters, numbers, white space), and other signs in use.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_UNSURE = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+# Fixed value: the cutting pattern of byte-level BPE.
+_PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _encoders: dict[str, Encoder] = {}
 
 
+@contextlib.contextmanager
+def without_collection() -> Iterator[None]:
+    """While a task encodes: passes of the garbage collector over the remembered chunks find nothing."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def encoder(path: str) -> Encoder:
     """The process's encoder for a tokenizer file."""
     if path not in _encoders:
@@ -35,63 +49,42 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         step, every = self.dtype.itemsize, np.arange(self.vocabulary, dtype=self.dtype).tobytes()
         self.id_bytes = [every[i : i + step] for i in range(0, len(every), step)]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        self.letters = dict(zip(range(256), (chr(b) if b in visible else "" for b in range(256)), strict=True))
-        for k, b in enumerate(b for b in range(256) if b not in visible):
-            self.letters[b] = chr(256 + k)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.id_bytes.__getitem__, ids))
+        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in visible)}
+        #: Ids by piece: of several batches, and new ones.
+        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.id_bytes.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = self._bytes([t.id for t in self.tokenizer.model.tokenize(spelled)])
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for k, line in enumerate(chunk.split("\n")):
-            m = _PLAIN.fullmatch(line)
-            if not m or not m[1].lstrip(" ").isalpha() or k and line[0] == " ":
-                break
-            if k:
-                out.append(self._piece("\n"))
-            out.append(self._piece(m[1]))
-            if m[2]:
-                out.append(self._piece(m[2]))
-        else:
-            return b"".join(out)
-        cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)
-        return b"".join(self._piece(chunk[a:b]) for _, (a, b) in cuts)
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; no special tokens are added."""
+        cut = [None if not self.by_piece or _UNSURE.search(t) else _PIECE.findall(t) for t in texts]
+        known, young, by_id = self.known, self.young, self.id_bytes
+        batch: dict[str, bytes] = dict.fromkeys(set().union(*filter(None, cut)), b"")
+        model, letters = self.tokenizer.model, self.letters
+        for p in batch:
+            ids = known.get(p)
+            if ids is None:
+                ids = young.pop(p, None)
+                if ids is None:
+                    spelled = p.encode().decode("latin-1").translate(letters)
+                    batch[p] = young[p] = b"".join([by_id[t.id] for t in model.tokenize(spelled)])
+                    continue
+                known[p] = ids
+            batch[p] = ids
+        if len(known) > MEMO:
+            known.clear()
+        if len(young) > MEMO:
+            young.clear()
+        get = batch.__getitem__
+        return [np.frombuffer(self._whole(t) if c is None else b"".join(map(get, c)), self.dtype) for t, c in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; no special tokens are added."""
-        if not text:
-            return np.empty(0, self.dtype)
-        if not self.by_chunk or _ODD_SPACE.search(text):
-            return np.frombuffer(self._whole(text), self.dtype)
-        head, *parts = text.split(" ")
-        known = self.chunks  # by chunk without its leading space
-        if len(known) > MEMO or len(self.pieces) > MEMO:
-            known.clear()
-            self.pieces.clear()
-        first = self._chunk(head) if head else b""
-        try:
-            return np.frombuffer(first + b"".join(map(known.__getitem__, parts)), self.dtype)
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    known[p] = self._chunk(" " + p)
-            return np.frombuffer(first + b"".join(map(known.__getitem__, parts)), self.dtype)
+        return self.encode_many([text])[0]

@@ -17,8 +17,8 @@ the sketches; links are decided on the shingles of the texts themselves.
    TASK_MEMBERS are parted by Spark, smaller ones within a task. Where pivots part nothing, a region is compared
    block by block, in a task of its own for every two blocks.
 5. Pairs of different components whose sketches allow a link are compared on their texts. A region with many such pairs
-   first sends each member with its foremost neighbour (one that shares most with others), and goes on, with more pairs, only
-   while it holds several components.
+   first sends each member with its nearest neighbours and the foremost one (that shares most with others), and goes on, with
+   more pairs, only while it holds several components.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ OUTER = 3
 TASK_MEMBERS = 4096
 #: Cells are taken if they hold at most this many times the members of their region.
 SPREAD = 2.0
-#: Pairs by member that a region may send in the first round; from round to round four times as many.
+#: Pairs by member that a region may send as a whole in the first round, else nearest neighbours of each member; from
+#: round to round four times as many.
 PAIRS, PAIRS_GROWTH = 2, 4
 #: Pairs of one document that are compared in one place.
 SALT = 256
@@ -191,36 +192,58 @@ def cells(sketches: np.ndarray, reach: int, leaf: int = LEAF, pivots: int = PIVO
     return out
 
 
-def candidates(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, native: np.ndarray, threshold: int, budget: int, leaf: int, pivots: int) -> tuple[np.ndarray, bool]:
+def meets_here(own: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Whether key is the least region that members i and j have in common; own: region keys by member, padded by distinct fillers."""
+    out = np.empty(len(i), bool)
+    step = max(1, (1 << 21) // own.shape[1] ** 2)
+    for at in range(0, len(i), step):
+        a, b = own[i[at : at + step]], own[j[at : at + step]]
+        common = (a[:, :, None] == b[:, None, :]).any(2)
+        out[at : at + step] = np.where(common, a, np.iinfo(np.int64).max).min(1) == key
+    return out
+
+
+def candidates(sketches: np.ndarray, n: np.ndarray, comp: np.ndarray, native: np.ndarray, own: np.ndarray, key: int, threshold: int, budget: int, leaf: int, pivots: int) -> tuple[np.ndarray, bool]:
     """Pairs (member, foremore member) whose sketches allow a link, and whether they are all.
 
-    Members come in order of rank. Beyond budget pairs by member, each is paired with its foremost neighbour only.
+    Members come in order of rank. Beyond budget pairs by member, each is paired with its budget nearest neighbours and
+    its foremost one only. A pair that has several regions in common is met in the least of them.
     """
     m = len(n)
     reach = (100 - threshold) * 2 * int(n.max()) // (100 + threshold)
-    found, count, first = [], 0, np.full(m, m)
+    found, chosen, count = [], [np.empty((0, 2), np.int64)], 0
     for cell in cells(sketches, reach, leaf, pivots):
         step = max(1, (1 << 21) // max(1, len(cell) * sketches.shape[1]))
         for at in range(0, len(cell), step):
-            rows, cols = cell[at : at + step], cell[: at + step]
-            apart = np.bitwise_count(sketches[rows][:, None, :] ^ sketches[cols][None, :, :]).sum(2, dtype=np.int64)
-            a, b = n[rows][:, None], n[cols][None, :]
+            rows = cell[at : at + step]
+            apart = np.bitwise_count(sketches[rows][:, None, :] ^ sketches[cell][None, :, :]).sum(2, dtype=np.int64)
+            a, b = n[rows][:, None], n[cell][None, :]
             near = ((100 + threshold) * apart <= (100 - threshold) * (a + b)) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
-            near &= (cols[None, :] < rows[:, None]) & (comp[rows][:, None] != comp[cols][None, :]) & (native[rows][:, None] | native[cols][None, :])
-            hit = near.any(1)
-            first[rows[hit]] = np.minimum(first[rows[hit]], cols[near[hit].argmax(1)])
-            count += int(near.sum())
-            if count <= budget * m:
-                i, j = np.nonzero(near)
-                found.append(np.stack((rows[i], cols[j]), 1))
-    if count <= budget * m:
-        return (np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)), True
-    who = np.flatnonzero(first < m)
-    return np.stack((who, first[who]), 1), False
+            near &= (comp[rows][:, None] != comp[cell][None, :]) & (native[rows][:, None] | native[cell][None, :])
+            i, j = np.nonzero(near)
+            here = meets_here(own, rows[i], cell[j], key)
+            near[i[~here], j[~here]] = False
+            i, j = i[here], j[here]
+            count += len(i)
+            if not len(i):
+                continue
+            if count <= 2 * budget * m:
+                found.append(np.stack((rows[i], cell[j]), 1))
+            far = np.where(near, apart / (a + b), np.inf)
+            nearest = np.argpartition(far, min(budget, len(cell)) - 1, axis=1)[:, :budget]
+            picked = np.zeros_like(near)
+            np.put_along_axis(picked, nearest, True, 1)
+            picked[np.arange(len(rows)), near.argmax(1)] = True
+            i, j = np.nonzero(picked & near)
+            chosen.append(np.stack((rows[i], cell[j]), 1))
+    # every pair has been seen from both sides
+    done = count <= 2 * budget * m
+    pairs = np.concatenate(found) if done and found else np.concatenate(chosen)
+    return np.unique(np.stack((pairs.max(1), pairs.min(1)), 1), axis=0), done
 
 
 def region_pairs(members: DataFrame, threshold: int, budget: int, leaf: int, pivots: int) -> DataFrame:
-    """REGION, x, y, done: pairs to compare; regions that have not sent all have done false. members: with x, n, comp, score, sketch."""
+    """REGION, x, y, done: pairs to compare; regions that have not sent all have done false. members: with x, n, comp, score, sketch, own."""
 
     def work(rows: list[tuple]) -> Iterator[tuple]:
         ring = rows[0][1]
@@ -228,7 +251,10 @@ def region_pairs(members: DataFrame, threshold: int, budget: int, leaf: int, piv
         n = np.array([r[4] for r in rows])
         native = np.array([ring_of(r[4]) == ring for r in rows])
         comp = np.array([r[5] for r in rows])
-        pairs, done = candidates(np.stack([folded(r[7], ring) for r in rows]), n, comp, native, threshold, budget, leaf, pivots)
+        own = np.arange(-1, -1 - len(rows) * max(len(r[8]) for r in rows), -1).reshape(len(rows), -1)  # fillers are no keys
+        for i, r in enumerate(rows):
+            own[i, : len(r[8])] = r[8]
+        pairs, done = candidates(np.stack([folded(r[7], ring) for r in rows]), n, comp, native, own, rows[0][0], threshold, budget, leaf, pivots)
         for i, j in pairs.tolist():
             yield *rows[0][:3], rows[i][3], rows[j][3], done
 
@@ -255,7 +281,7 @@ def region_pairs(members: DataFrame, threshold: int, budget: int, leaf: int, piv
         if out:
             yield flush()
 
-    sent = members.select(*REGION, "x", "n", "comp", "score", "sketch").repartition(*REGION).sortWithinPartitions(*REGION)
+    sent = members.select(*REGION, "x", "n", "comp", "score", "sketch", "own").repartition(*REGION).sortWithinPartitions(*REGION)
     return sent.mapInArrow(run, "key bigint, ring int, path string, x bigint, y bigint, done boolean")
 
 
@@ -364,7 +390,9 @@ def join_classes(
     sketches = profile.select(F.col("row").alias("x"), "n", "sketch")
     info = stored(sketches.join(score.hint("merge"), "x"), "sketches")
     texts = texts_of(docs, classes.join(score.select("x").hint("merge"), "x", "left_semi").select("x", "rep", "a", "b"), k)
-    members = parted(found.select(*REGION, "x").join(info.hint("merge"), "x"), threshold, task_members, pivots)
+    own = found.groupBy("x", "ring").agg(F.sort_array(F.collect_list("key")).alias("own"))
+    members = found.select(*REGION, "x").join(own.hint("merge"), ["x", "ring"]).join(info.hint("merge"), "x")
+    members = parted(members, threshold, task_members, pivots)
     members = stored(members.withColumn("comp", F.col("x")), "members")
     discard(regions, found)
     links, budget = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), first_pairs

@@ -2,8 +2,9 @@
 
 Documents are encoded in ascending order of their ids, an end id after each. A shard's id string is compressed by
 rounds: frequent pairs become nonterminals (never across an end id), every round counts the pairs of the shortened string
-again. A shard stores its rules, the expansion length of each rule and the compressed string with the place of every
-document, so one document is decoded from its own symbols and the rules that they use.
+again, until no pair occurs LEAST times. A shard stores its rules, the expansion length of each rule and the compressed
+string with the place of every document, so a range of a document's ids is decoded from its own symbols: the lengths
+tell which symbols cover the range.
 
 File format, one row per shard in Parquet files: part and shard (order), n_tokens, doc_ids (int64), doc_tokens
 (uint32, with the end id), doc_symbols (uint32), rules (pairs of uint32), rule_lengths (uint32), symbols (uint16 while
@@ -12,7 +13,6 @@ ids and nonterminals fit in 16 bits, else uint32); all little-endian. Symbols fr
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -22,26 +22,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.bpe import encoder
+from touchline.llm.bpe import encoder, without_collection
 from touchline.llm.common import slices
 
 END = 0
 #: Ids of a shard (one longer document has a shard of its own).
 SHARD_TOKENS = 1 << 20
-#: Rounds, new rules of a round, and how often a pair must occur.
-ROUNDS, ROUND_RULES, LEAST = 4, 3800, 6
+#: How often a pair must occur to be replaced: a rule takes 12 bytes, and saves 2 bytes an occurrence, less those it overlaps.
+LEAST = 16
 SCHEMA = "part int, shard int, base int, n_tokens bigint, doc_ids binary, doc_tokens binary, doc_symbols binary, rules binary, rule_lengths binary, symbols binary"
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n x 2) and expansion lengths of an id string in which END closes each document."""
     s = ids.astype(np.uint32)
     rules = np.empty((0, 2), np.uint32)
     lengths = np.empty(0, np.uint32)
-    for _ in range(rounds):
-        room = min(per_round, (1 << 16) - base - len(rules)) if base < 1 << 16 else per_round
-        if room <= 0 or len(s) < 2:
-            break
+    while len(s) > 1:
         narrow = base + len(rules) <= 1 << 16
         keys = (s[:-1] << np.uint32(16) | s[1:]) if narrow else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
         inner = (s[:-1] != END) & (s[1:] != END)
@@ -50,11 +47,9 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int =
             break
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        chosen = ordered[first[counts >= least]]
+        if not len(chosen):
             break
-        often = often[np.lexsort((ordered[first[often]], -counts[often]))[:room]]
-        chosen = np.sort(ordered[first[often]])
         # a small table of hashes first, then the exact look-up
         sieve = np.zeros(1 << 16, bool)
         slot = lambda k: (k * k.dtype.type(0x9E3779B1) >> k.dtype.type(16)).astype(np.uint16) if k.dtype == np.uint32 else ((k ^ k >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
@@ -121,8 +116,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with without_collection():
+            yield from shards(batches)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, shard = encoder(path), TaskContext.get().partitionId(), 0
-        gc.disable()  # its passes over the encoder's memory find nothing
         doc_ids, ids, size = [], [], 0
         end = np.array([END], code.dtype)
 
@@ -131,8 +129,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.concatenate((code.encode(text.as_py()), end))
+            for doc, found in zip(batch.column(0).to_pylist(), code.encode_many(batch.column(1).to_pylist()), strict=True):
+                x = np.concatenate((found, end))
                 if size and size + len(x) > shard_tokens:
                     yield close()
                     shard, doc_ids, ids, size = shard + 1, [], [], 0
@@ -185,10 +183,20 @@ def documents(shards: DataFrame, ids: bool = False) -> DataFrame:
     return out if ids else out.drop("ids")
 
 
-def decode_one(row: dict, number: int) -> np.ndarray:
-    """Random access: ids of the number-th document of one shard row, from its own symbols only."""
-    rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+def decode_range(row: dict, number: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Random access: ids [first, last) of the number-th document of one shard row; only symbols that cover them are expanded."""
+    rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64)
     kind = "<u2" if row["base"] + len(rules) <= 1 << 16 else "<u4"
-    last = np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64).cumsum()
-    n = int(np.frombuffer(row["doc_symbols"], "<u4")[number])
-    return expand(np.frombuffer(row["symbols"], kind)[last[number] - n : last[number]], rules, row["base"])
+    of_docs = np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64)
+    end = int(of_docs[: number + 1].sum())
+    symbols = np.frombuffer(row["symbols"], kind)[end - int(of_docs[number]) : end].astype(np.int64)
+    inner = symbols >= row["base"]
+    size = np.ones(len(symbols), np.int64)
+    size[inner] = lengths[symbols[inner] - row["base"]]
+    ends = size.cumsum()
+    last = int(ends[-1]) if last is None else min(last, int(ends[-1]))
+    if first >= last:
+        return np.empty(0, np.uint32)
+    a, b = int(np.searchsorted(ends, first, side="right")), int(np.searchsorted(ends, last)) + 1
+    begin = int(ends[a] - size[a])
+    return expand(symbols[a:b], rules, row["base"])[first - begin : last - begin]
