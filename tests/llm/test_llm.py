@@ -207,10 +207,13 @@ def test_drop_toxic_keeps_columns_and_rows(spark):
 def test_encoder_equals_the_library():
     own, lib, rng = Encoder(BPE), Tokenizer.from_file(BPE), random.Random(2)
     lib.encode_special_tokens = True
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "½", "_", " ", "ß", "日", "\x1d", "!", "ab", "<|endoftext|>", "́", "\r", " word", "?!\n"]
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "½", "_", " ", "ß", "日", "\x1d", "!", "ab", "<|endoftext|>", "́", "\r", " word", "?!\n", "\x85", "\xa0", "²", "ǆ", "’", "“", "—", "€", "'ll", "'D", "\u3000", "\x1c", "ª9", "'"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [t or "" for t in soup(3, 30)]
-    for t in texts:
-        assert own.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):  # new chunks, then remembered ones
+        for at in range(0, len(texts), 50):
+            assert [x.tolist() for x in own.encode_many(texts[at : at + 50])] == want[at : at + 50]
+    assert own.known and own.encode("").tolist() == []
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -220,6 +223,8 @@ def test_grammar_compression_round_trip(seed):
     base = [50_257, 65_530, 70_000][seed % 3]
     s, rules, lengths = repair.compress(ids, base, least=2)
     assert repair.expand(s, rules, base).tolist() == ids.tolist()
+    pairs = np.unique((s[:-1].astype(np.uint64) << np.uint64(32) | s[1:])[(s[:-1] != repair.END) & (s[1:] != repair.END)], return_counts=True)[1]
+    assert not len(pairs) or pairs.max() < 2  # no frequent pair is left
     assert lengths.tolist() == [len(repair.expand(np.array([base + i], np.uint32), rules, base)) for i in range(len(rules))]
 
 
@@ -237,7 +242,10 @@ def test_files_hold_documents_in_order(spark, tmp_path):
         at += len(want)
     for shard in files.collect():
         for k, doc in enumerate(np.frombuffer(shard["doc_ids"], "<i8").tolist()):
-            assert repair.decode_one(shard.asDict(), k).tolist() == lib.encode(texts[doc] or "", add_special_tokens=False).ids + [0]
+            whole = lib.encode(texts[doc] or "", add_special_tokens=False).ids + [0]
+            assert repair.decode_range(shard.asDict(), k).tolist() == whole
+            for a, b in ((0, 1), (len(whole) // 3, len(whole) // 2), (len(whole) - 1, len(whole) + 5), (5, 5)):
+                assert repair.decode_range(shard.asDict(), k, a, b).tolist() == whole[a:b]
 
 
 def test_no_documents_no_shards(spark):
@@ -413,14 +421,29 @@ def test_pieces_hold_every_id_once(spark):
     assert packing.pack(docs(spark, ["a"]).limit(0), BPE).count() == 0
 
 
-def test_neighbours_share_words():
-    texts = ["apple pear plum", "car train bus", "apple pear fig", "bus car road", ""]
-    index = packing.Index(*packing._terms(pa.array(texts, pa.large_string())), np.ones(1 << packing.TERM_BITS, np.float32), 3.0)
-    assert index.neighbours(0).tolist()[:2] == [0, 2] and index.neighbours(1).tolist()[:2] == [1, 3]
+def test_neighbours_share_terms():
+    ids = [np.array(x, "<u4") for x in ([1, 2, 3], [4, 5, 6], [1, 2, 7], [6, 4, 8], [0])]
+    index = packing.Index(ids, np.ones(9), 3.0)
+    every = np.ones(5, int)
+    assert index.neighbours(0, every).tolist()[:2] == [0, 2] and index.neighbours(1, every).tolist()[:2] == [1, 3]
+    assert 2 not in index.neighbours(0, np.array([1, 1, 0, 1, 1]))
     first = packing.pack_shard([500, 500, 500, 500, 1], index)[0]
     assert first == [(0, 0, 500), (2, 0, 500), (1, 0, 24)]
 
 
+def test_shards_gather_documents_that_share_rare_terms(spark):
+    """Documents of 40 topics, stored far apart: most sequences hold one topic only, though shards are small."""
+    rng = random.Random(5)
+    topics = [[f"{'abcdefghij'[t % 10]}{'klmnopqrst'[t // 10]}{'uvwxyzabcd'[i]}om" for i in range(10)] for t in range(40)]
+    texts = {i: " ".join(rng.choices(topics[i % 40], k=60)) for i in range(800)}
+    rows = packing.pack(docs(spark, texts), BPE, shard_docs=64).collect()
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append(r["doc_id"] % 40)
+    share = [max(map(t.count, t)) / len(t) for t in by_sequence.values() if len(t) > 1]
+    assert sum(share) / len(share) > 0.7
+
+
 # ---- 10 Jaccard join
 
 
