@@ -42,6 +42,14 @@ def test_stable_needs_equal_sizes_in_a_row(spark):
     assert {(r["path"], r["poll_no"]) for r in ingest.stable_files(df, Ingest(checks=2)).collect()} == {("a", 4), ("d", 3)}
 
 
+def test_ten_polls_a_check_and_no_second_chance(spark):
+    moving = list(range(1, 18))
+    sizes = {"at 20": [*moving, 50, 50, 50], "at 21": [*moving, 18, 50, 50, 50], "gone": [1, 2, None, 2, 2, 2]}
+    rows = [(p, i + 1, s) for p, all_ in sizes.items() for i, s in enumerate(all_) if s is not None]
+    df = spark.createDataFrame(rows, "path string, poll_no bigint, size bigint")
+    assert {(r["path"], r["poll_no"]) for r in ingest.stable_files(df, Ingest(checks=2)).collect()} == {("at 20", 20)}
+
+
 def test_revalidation(spark):
     queue = spark.createDataFrame([("a", "k", 0), ("b", "k", 0), ("c", "k", 1), ("d", "k", 0)], "path string, fp_key string, requeue_count int")
     now = spark.createDataFrame([("a", "k"), ("b", "z"), ("c", "z")], "path string, fp_key string")
@@ -63,6 +71,16 @@ def test_archive_suffixes(spark):
     assert [d for d, _, _ in got] == ["m_j_01.mp4", "m_j_03.mp4", "m_j_04.mp4"]
 
 
+def test_archive_names_cross(spark):
+    rows = [("a", "d", 0), ("a", "d", 1), ("a", "d_01", 2), ("y/../a", "d", 3), ("./q//a", "d", 4), ("q/a", "d", 5)]
+    df = spark.createDataFrame([(f"/in/{i}.tar.gz", m, j, i) for m, j, i in rows], "src string, match string, job_id string, arrival bigint")
+    got = ingest.archive_plan(df, spark.createDataFrame([("a_d_02.tar.gz",)], "name string")).orderBy("arrival").collect()
+    assert [r["dest"] for r in got] == ["a_d.tar.gz", "a_d_01.tar.gz", "a_d_01_01.tar.gz", "a_d_03.tar.gz", "q/a_d.tar.gz", "q/a_d_01.tar.gz"]
+    wanted = spark.createDataFrame([("job", 0), ("job", 1), ("job_run1", 2)], "name string, arrival bigint")
+    dirs = ingest.unique_directories(wanted, spark.createDataFrame([], "name string")).orderBy("arrival").collect()
+    assert [r["directory"] for r in dirs] == ["job", "job_run1", "job_run1_run1"]
+
+
 def test_archive_skip_and_overwrite(spark):
     assert plan(spark, ["m", "n", "n"], ["m_j.mp4"], collision="skip") == [(None, "skip", None), ("n_j.mp4", "ok", None), (None, "skip", None)]
     assert plan(spark, ["m"], ["m_j.mp4"], collision="overwrite") == [("m_j.mp4", "ok", None)]
@@ -139,6 +157,17 @@ def test_stable_stream_equals_batch(spark, tmp_path):
     assert {(r["path"], r["poll_no"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", 4), ("d", 3)}
 
 
+def test_states_of_paths_expire_by_event_time(spark, tmp_path):
+    """Path a is settled; two hours later its state is gone, so it is reported again."""
+    schema = "path string, poll_no bigint, size bigint, at timestamp"
+    day = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    parts = [[("a", i, 5, day(1, i)) for i in (1, 2, 3)], [("b", 1, 0, day(5, 0))], [("b", 2, 0, day(6, 0))], [("a", i, 5, day(7, i)) for i in (1, 2, 3)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run_stream(stable_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), Ingest(checks=2), time="at"), tmp_path)
+    assert [r["path"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a", "a"]
+
+
 def test_each_file_is_processed_once_over_restarts(spark, tmp_path):
     schema, done, fail = "path string, size bigint, mtime_ns bigint", [], [True]
 

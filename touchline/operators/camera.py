@@ -72,7 +72,7 @@ def _follow(rows: pd.DataFrame, cfg: Camera, fps: float) -> Iterator[tuple]:
 
 
 def camera_path(angles: DataFrame, cfg: Camera = Camera(), fps: float = 30.0) -> DataFrame:
-    """match_id, frame, yaw, pitch, fov, lost_count from dense angles (null where there is no ball).
+    """match_id, frame, yaw, pitch, fov (to 1 place), lost_count from dense angles (null where there is no ball).
 
     A match is one fold, since every frame depends on all before. A match without any ball looks at the centre.
     """
@@ -87,7 +87,7 @@ def camera_path(angles: DataFrame, cfg: Camera = Camera(), fps: float = 30.0) ->
     lost = F.lit(cfg.fov_max) if cfg.widen else F.when(F.col("lost_count") > cfg.coast, F.lit(cfg.fov)).otherwise(moving)
     return path.select(
         *FRAME, wrap_deg_half_open("yaw").alias("yaw"), F.greatest(F.lit(-89.0), F.least(F.lit(89.0), F.col("pitch"))).alias("pitch"),
-        F.when(F.col("lost_count") > 0, lost).otherwise(moving).alias("fov"), "lost_count",
+        F.bround(F.when(F.col("lost_count") > 0, lost).otherwise(moving), 1).alias("fov"), "lost_count",
     )
 
 

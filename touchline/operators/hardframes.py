@@ -69,11 +69,11 @@ def lost_gap_frames(tracks: DataFrame, cfg: HardFrames = HardFrames()) -> DataFr
 
 
 def position_jumps(tracks: DataFrame, cfg: HardFrames = HardFrames()) -> DataFrame:
-    """match_id, frame, distance_px: more than cfg.jump between neighbouring rows that both have a ball."""
+    """match_id, frame, distance_px (to 1 place): more than cfg.jump between neighbouring rows that both have a ball."""
     order = Window.partitionBy("match_id").orderBy("frame")
     dx, dy = (F.col(f"ball.{k}") - F.lag(f"ball.{k}").over(order) for k in ("x", "y"))
     moved = tracks.select(*FRAME, F.sqrt(dx * dx + dy * dy).alias("distance_px"))
-    return moved.where(F.col("distance_px") > cfg.jump)
+    return moved.where(F.col("distance_px") > cfg.jump).withColumn("distance_px", F.bround("distance_px", 1))
 
 
 def merge_triggers(kinds: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
@@ -94,7 +94,7 @@ def hard_frames(dets: DataFrame, tracks: DataFrame, cfg: HardFrames = HardFrames
     """match_id, frame, time_sec, reasons, conf, bbox, gap_length, distance_px: low confidence, lost gaps and jumps by frame."""
     kinds = dict(zip(REASONS, (low_confidence_frames(dets, cfg), lost_gap_frames(tracks, cfg), position_jumps(tracks, cfg)), strict=True))
     merged = merge_triggers(kinds, {"conf": "double", "bbox": "array<double>", "gap_length": "bigint", "distance_px": "double"})
-    return merged.withColumn("time_sec", F.col("frame") / fps).withColumnRenamed("triggers", "reasons")
+    return merged.withColumn("time_sec", F.bround(F.col("frame") / fps, 3)).withColumnRenamed("triggers", "reasons")
 
 
 def labeling_candidates(dets: DataFrame, tracks: DataFrame, events: DataFrame, cfg: Labeling = Labeling(), fps: float = 30.0) -> DataFrame:
@@ -102,4 +102,4 @@ def labeling_candidates(dets: DataFrame, tracks: DataFrame, events: DataFrame, c
     jumps = events.where(F.col("distance_px") >= cfg.jump).groupBy(*FRAME).agg(F.max("distance_px").alias("distance_px"))
     kinds = dict(zip(TRIGGERS, (confidence_band_frames(dets, cfg), lost_run_triggers(tracks, cfg), jumps), strict=True))
     merged = merge_triggers(kinds, {"conf": "double", "bbox": "array<double>", "run_length": "bigint", "distance_px": "double"})
-    return merged.withColumn("time_sec", F.col("frame") / fps)
+    return merged.withColumn("time_sec", F.bround(F.col("frame") / fps, 3))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +58,13 @@ def parse_ledger(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Dat
 def stable_files(snapshots: DataFrame, cfg: Ingest = Ingest()) -> DataFrame:
     """path, poll_no, size: where a file first has had the size of the poll before, above 0, cfg.checks times in a row.
 
-    snapshots: path, poll_no (from 1, without gaps while the file exists), size. Only the first 10 * checks polls count.
+    snapshots: path, poll_no (consecutive while the file exists), size. Only the first 10 * checks polls of a path count; a
+    file that a poll doesn't find has vanished and isn't looked at again.
     """
     order = Window.partitionBy("path").orderBy("poll_no")
-    rows = snapshots.where(F.col("poll_no") <= 10 * cfg.checks + 1)
-    same = (F.col("size") == F.lag("size").over(order)) & (F.col("size") > 0) & (F.col("poll_no") == F.lag("poll_no").over(order) + 1)
+    rows = snapshots.withColumns({"n": F.row_number().over(order), "first": F.first("poll_no").over(order)})
+    rows = rows.where((F.col("n") <= 10 * cfg.checks) & (F.col("poll_no") - F.col("first") == F.col("n") - 1)).drop("n", "first")
+    same = (F.col("size") == F.lag("size").over(order)) & (F.col("size") > 0)
     marked = rows.withColumn("same", F.coalesce(same, F.lit(False)))
     island = F.sum((~F.col("same")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     runs = marked.withColumn("island", island)
@@ -82,38 +87,58 @@ def render_template(template: str, match: Column, job_id: Column, ext: Column) -
     return F.trim(out)
 
 
+def normal_path(name: Column) -> Column:
+    """A relative path without '.', '..' and empty parts."""
+    parts = F.filter(F.split(name, "/"), lambda p: ~p.isin("", "."))
+    up = lambda s, p: F.when((p == "..") & (F.size(s) > 0), F.slice(s, F.lit(1), F.size(s) - 1)).when(p == "..", s).otherwise(F.concat(s, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+
+
+def first_free(asked: DataFrame, taken: DataFrame, family: Callable[[Column], Column], numbered: Callable[[str, int], str], column: str) -> DataFrame:
+    """asked (name, arrival, ...) with column: the name if it is free at its arrival, else the first free numbered one.
+
+    taken: name. What an arrival takes isn't free for later ones. Names that differ only by their numbers form a family
+    and are dealt with in order of arrival; families don't touch each other. Rows of a family are read in one task, its
+    names (one short text a row) are held in memory.
+    """
+    schema = asked.withColumn(column, F.lit(None).cast("string")).schema
+
+    def run(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        used, at, out = set(held["name"]), {}, []
+        mine = mine.drop(columns="family").sort_values(["arrival", *(c for c in ("src",) if c in mine.columns)], kind="stable")
+        for name in mine["name"]:
+            got, i = name, at.get(name, 1)
+            while got in used:
+                got, i = numbered(name, i), i + 1
+            at[name] = i  # lower numbers stay taken
+            used.add(got)
+            out.append(got)
+        return mine.assign(**{column: pd.Series(out, index=mine.index, dtype=object)})[schema.names]
+
+    groups = [df.withColumn("family", family(F.col("name"))).groupBy("family") for df in (asked, taken.select("name").distinct())]
+    return groups[0].cogroup(groups[1]).applyInPandas(run, schema)
+
+
 def archive_plan(arrivals: DataFrame, existing: DataFrame, cfg: Ingest = Ingest()) -> DataFrame:
     """arrivals (src, match, job_id, arrival) with dest, status (ok, skip or reject) and reason.
 
-    A name is rejected if it is empty, absolute or leaves the archive. If it is taken (existing: name; or by an earlier
-    arrival) the policy decides: suffix takes the first free _NN before the suffixes, skip leaves the file, overwrite
-    takes the name. The i-th arrival of a name gets its i-th free slot; there are at most as many slots in use as rows.
+    A name is rejected if it is empty, absolute or leaves the archive; '.' and '..' inside it are resolved. If it is
+    taken (existing: name; or by an earlier arrival, whatever name that asked for) the policy decides: suffix takes the
+    first free _NN before the suffixes, skip leaves the file, overwrite takes the name.
     """
     ext = all_suffixes(base_name(F.col("src")))
     rows = arrivals.withColumn("name", render_template(cfg.template, F.col("match"), F.col("job_id"), ext))
     depth = F.aggregate(F.split("name", "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, p: _step(s, p))["low"]
-    bad = F.when(F.col("name") == "", "empty").when(F.col("name").startswith("/"), "absolute").when(depth < 0, "escapes")
-    rows = rows.withColumn("reason", bad)
+    path = normal_path(F.col("name"))
+    bad = F.when(F.col("name") == "", "empty").when(F.col("name").startswith("/"), "absolute").when(depth < 0, "escapes").when(path == "", "empty")
+    rows = rows.withColumn("reason", bad).withColumn("name", path)
     good = rows.where("reason IS NULL")
-    order = Window.partitionBy("name").orderBy("arrival", "src")
-    ranked = good.withColumn("i", F.row_number().over(order))
-    taken = existing.select("name").distinct()
+    taken = existing.select(normal_path(F.col("name")).alias("name")).distinct()
     if cfg.collision == "suffix":
-        ask = ranked.groupBy("name").agg(F.count("*").alias("asked"))
-        base = F.regexp_extract("name", r"([^/]*)$", 1)
-        # names of the archive that a suffix _NN leads to are counted, so a free slot is always among those tried
-        base_of = lambda n: F.regexp_replace(n, r"_\d+(\.[^/]*)?$", "$1")
-        held = taken.select(base_of(F.col("name")).alias("base")).groupBy("base").agg(F.count("*").alias("held"))
-        ask = ask.withColumn("base", base_of(F.col("name"))).join(held.hint("merge"), "base", "left")
-        own = taken.select("name", F.lit(1).alias("own"))
-        ask = ask.join(own.hint("merge"), "name", "left").withColumn("most", F.col("asked") + F.coalesce("held", F.lit(0)) + F.coalesce("own", F.lit(0)))
-        slots = ask.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("slot"))
-        folder = F.substring(F.col("name"), F.lit(1), F.length("name") - F.length(base))
-        slots = slots.withColumn("dest", F.when(F.col("slot") == 0, F.col("name")).otherwise(F.concat(folder, stem(base), F.format_string("_%02d", "slot"), all_suffixes(base))))
-        free = slots.join(taken.select(F.col("name").alias("dest")).hint("merge"), "dest", "left_anti")
-        free = free.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("slot")))
-        done = ranked.join(free.select("name", "i", "dest").hint("merge"), ["name", "i"], "left").withColumn("status", F.lit("ok"))
+        base = lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - F.length(base_name(n))), F.regexp_replace(stem(base_name(n)), r"(_\d\d+)+$", ""), F.lit("/"), all_suffixes(base_name(n)))
+        done = first_free(good, taken, base, numbered_file, "dest").withColumn("status", F.lit("ok"))
     else:
+        ranked = good.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("arrival", "src")))
         there = ranked.join(taken.withColumn("held", F.lit(True)).hint("merge"), "name", "left")
         clash = F.coalesce("held", F.lit(False)) | (F.col("i") > 1)
         skip = clash if cfg.collision == "skip" else F.lit(False)
@@ -123,6 +148,15 @@ def archive_plan(arrivals: DataFrame, existing: DataFrame, cfg: Ingest = Ingest(
     return done.select(*out).unionByName(refused.select(*out))
 
 
+def numbered_file(name: str, i: int) -> str:
+    """name with _NN before all suffixes of its last part."""
+    folder, _, base = name.rpartition("/")
+    head = len(base) - len(base.lstrip("."))
+    cut = -1 if base.endswith(".") else base.find(".", head)
+    at = len(base) if cut < 0 else cut
+    return f"{folder}/{base[:at]}_{i:02d}{base[at:]}" if folder else f"{base[:at]}_{i:02d}{base[at:]}"
+
+
 def _step(s: Column, part: Column) -> Column:
     """Depth below the archive after one part of a path, and the least depth so far."""
     at = s["at"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
@@ -130,13 +164,5 @@ def _step(s: Column, part: Column) -> Column:
 
 
 def unique_directories(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """wanted (name, arrival) with directory: the name, or the first free name_runN."""
-    ask = wanted.groupBy("name").agg(F.count("*").alias("asked"))
-    used = existing.select("name").distinct()
-    runs = used.select(F.regexp_replace("name", r"_run\d+$", "").alias("name")).groupBy("name").agg(F.count("*").alias("held"))
-    slots = ask.join(runs.hint("merge"), "name", "left").select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") + F.coalesce("held", F.lit(0)))).alias("slot"))
-    slots = slots.withColumn("directory", F.when(F.col("slot") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_run"), F.col("slot").cast("string"))))
-    free = slots.join(used.select(F.col("name").alias("directory")).hint("merge"), "directory", "left_anti")
-    free = free.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("slot")))
-    ranked = wanted.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("arrival")))
-    return ranked.join(free.select("name", "i", "directory").hint("merge"), ["name", "i"], "left").drop("i")
+    """wanted (name, arrival) with directory: the name, or the first name_runN that is free at its arrival."""
+    return first_free(wanted, existing, lambda n: F.regexp_replace(n, r"(_run\d+)+$", ""), lambda name, i: f"{name}_run{i}", "directory")

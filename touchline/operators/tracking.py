@@ -39,6 +39,8 @@ def sessions(rows: DataFrame, gap: int, when: Column | None = None) -> DataFrame
     return rows.withColumn("session", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Sessions that one call of a fold takes.
+SESSIONS = 64
 STABLE = "match_id bigint, frame bigint, status string, reason string, x double, y double, confidence double, bbox array<double>, distance_px double, speed_px_s double"
 
 
@@ -84,12 +86,17 @@ def stabilize_rows(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float =
     """
     rows = best.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}).select("match_id", "frame", "det_id", "x", "y", "x1", "y1", "x2", "y2", "confidence")
     rows = sessions(rows, cfg.max_gap) if cfg.window - 1 <= cfg.max_gap else rows.withColumn("session", F.lit(0))
-    return rows.groupBy("match_id", "session").applyInPandas(lambda g: _stabilize(g, cfg, fps), STABLE)
+    # a block of whole sessions at a time: the fold starts anew at each gap by itself
+    block = F.floor(F.col("session") / SESSIONS).alias("block")
+    return rows.groupBy("match_id", block).applyInPandas(lambda g: _stabilize(g, cfg, fps), STABLE)
 
 
-def stabilize_ball(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float = 30.0, extra: int = 0, totals: DataFrame | None = None) -> DataFrame:
-    """Dense tracks: match_id, frame, ball (x and y to 2 places, null unless accepted), status, reason, raw_det."""
-    rows = dense(stabilize_rows(best, cfg, fps), extra, totals)
+def stabilize_ball(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float = 30.0, extra: int = 0, totals: DataFrame | None = None, stable: DataFrame | None = None) -> DataFrame:
+    """Dense tracks: match_id, frame, ball (x and y to 2 places, null unless accepted), status, reason, raw_det.
+
+    stable: stabilize_rows() of best, where it is at hand.
+    """
+    rows = dense(stabilize_rows(best, cfg, fps) if stable is None else stable, extra, totals)
     ball = F.struct(F.bround("x", 2).alias("x"), F.bround("y", 2).alias("y"), "bbox", "confidence", F.lit(1).cast("long").alias("track_id"))
     return rows.select(
         *FRAME, F.when(F.col("status") == "accepted", ball).alias("ball"), F.coalesce("status", F.lit("lost")).alias("status"), "reason",
@@ -98,8 +105,9 @@ def stabilize_ball(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float =
 
 
 def stabilizer_events(stable: DataFrame) -> DataFrame:
-    """match_id, frame, trigger, distance_px, speed_px_s of jumps and of speeds; stable: of stabilize_rows."""
-    return stable.where(F.col("reason").isin("jump", "speed")).select(*FRAME, F.col("reason").alias("trigger"), "distance_px", "speed_px_s")
+    """match_id, frame, trigger, distance_px, speed_px_s (to 1 place) of jumps and of speeds; stable: of stabilize_rows."""
+    tenths = [F.bround(c, 1).alias(c) for c in ("distance_px", "speed_px_s")]
+    return stable.where(F.col("reason").isin("jump", "speed")).select(*FRAME, F.col("reason").alias("trigger"), *tenths)
 
 
 def track_summary(tracks: DataFrame) -> DataFrame:
@@ -116,6 +124,9 @@ def persistence_gate(best: DataFrame, cfg: Stabilizer = Stabilizer()) -> DataFra
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, as many as the shorter side has: shortest augmenting paths."""
     n, m = cost.shape
+    if 1 in (n, m):
+        at = int(cost.argmin())
+        return [(at // m, at % m)]
     if n > m:
         return sorted((r, c) for c, r in assign(cost.T))
     u, v = np.zeros(n + 1), np.zeros(m + 1)
@@ -182,7 +193,7 @@ class _Tracks:
 
     def boxes(self) -> np.ndarray:
         area, aspect = self.value[:, 2], self.value[:, 3]
-        w = np.sqrt(np.maximum(area * aspect, 0.0))
+        w = np.sqrt(np.maximum(area * aspect, 1e-6))
         h = area / (w + 1e-6)
         x, y = self.value[:, 0], self.value[:, 1]
         return np.stack((x - w / 2, y - h / 2, x + w / 2, y + h / 2), 1)
@@ -219,9 +230,12 @@ def _bytetrack(rows: pd.DataFrame, cfg: ByteTrack) -> Iterator[tuple]:
     live, made = _Tracks(), 0
     frames = {f: g[["x1", "y1", "x2", "y2", "confidence"]].to_numpy(float) for f, g in rows.groupby("frame")}
     first, last = min(frames), max(frames)
+    nothing = np.empty((0, 5))
     for frame in range(first, last + 1):
+        if not len(live.id) and frame not in frames:
+            continue  # without live tracks an empty frame changes nothing
         live.predict()
-        d = frames.get(frame, np.empty((0, 5)))
+        d = frames.get(frame, nothing)
         high, low = d[d[:, 4] >= cfg.high], d[(d[:, 4] >= cfg.low) & (d[:, 4] < cfg.high)]
         everyone = list(range(len(live.id)))
         hit, used = _matched(live, everyone, high[:, :4], high[:, 4], cfg)
@@ -247,10 +261,10 @@ def bytetrack(dets: DataFrame, cfg: ByteTrack = ByteTrack()) -> DataFrame:
     split = sessions_by_frame(rows, cfg.buffer + 1)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(_bytetrack(g, cfg)), columns=["frame", "track_id", "bbox", "score"])
-        return out.assign(match_id=key[0], session=key[1])[["match_id", "session", "frame", "track_id", "bbox", "score"]]
+        out = [(int(key[0]), int(session), *row) for session, part in g.groupby("session") for row in _bytetrack(part, cfg)]
+        return pd.DataFrame(out, columns=["match_id", "session", "frame", "track_id", "bbox", "score"])
 
-    found = split.groupBy("match_id", "session").applyInPandas(run, CANDIDATES)
+    found = split.groupBy("match_id", F.floor(F.col("session") / SESSIONS).alias("block")).applyInPandas(run, CANDIDATES)
     last = Window.partitionBy("match_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     made = found.groupBy("match_id", "session").agg(F.max("track_id").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(last), F.lit(0))).drop("n")
     return found.join(made.hint("merge"), ["match_id", "session"]).select("match_id", "frame", (F.col("track_id") + F.col("before")).alias("track_id"), "bbox", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,21 @@ from touchline.operators.tracking import stabilize_ball, stabilize_rows, stabili
 def run_matches(
     dets: DataFrame, matches: DataFrame, detection: Detection = Detection(), stabilizer: Stabilizer = Stabilizer(),
     camera: Camera = Camera(), highlights: Highlights = Highlights(), labeling: Labeling = Labeling(),
+    hand_over: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """Tables by name: tracks, events, camera_path, clips, labeling. matches: match_id, fps, total_frames, mode.
 
     Matches of mode no_detect get a constant camera path and no tracks, clips or frames. A match without detections in
-    normal mode has lost tracks only.
+    normal mode has lost tracks only. hand_over writes a table and reads it back, so that its fold runs once for all
+    tables; without it each table runs its own.
     """
     normal, still = matches.where("mode = 'normal'"), matches.where("mode = 'no_detect'")
     rows = dets.join(normal.select("match_id").hint("merge"), "match_id", "left_semi")
     best = best_per_frame(y_band_filter(rows, detection))
     totals = normal.select("match_id", "total_frames")
-    tracks = stabilize_ball(best, stabilizer, detection.fps, totals=totals)
-    events = stabilizer_events(stabilize_rows(best, stabilizer, detection.fps))
+    stable = hand_over(stabilize_rows(best, stabilizer, detection.fps))
+    tracks = hand_over(stabilize_ball(best, stabilizer, detection.fps, totals=totals, stable=stable))
+    events = stabilizer_events(stable)
     path = camera_path(ball_angles(tracks, detection.width, detection.height), camera, detection.fps)
     ball = tracks.select("match_id", "frame", "ball.x", "ball.y")
     return {

@@ -205,7 +205,7 @@ def stabilize_ball(spark, sf):
     return rows.select("match_id", "frame", F.coalesce("status", F.lit("lost")).alias("status"), "reason", _r("x"), _r("y"))
 
 
-@query(_sql("SELECT match_id, frame, reason AS trigger, round(d, 6) AS distance_px, round(CASE WHEN reason = 'speed' THEN sp END, 6) AS speed_px_s FROM st WHERE reason IN ('jump', 'speed')", *_TO_STAB, recursive=True))
+@query(_sql("SELECT match_id, frame, reason AS trigger, round(round_even(d, 1), 6) AS distance_px, round(CASE WHEN reason = 'speed' THEN round_even(sp, 1) END, 6) AS speed_px_s FROM st WHERE reason IN ('jump', 'speed')", *_TO_STAB, recursive=True))
 def stabilizer_events(spark, sf):
     return tracking.stabilizer_events(tracking.stabilize_rows(_best(spark, sf))).select("match_id", "frame", "trigger", _r("distance_px"), _r("speed_px_s"))
 
@@ -277,7 +277,7 @@ _CAM = f"""cs AS (
 )"""
 
 
-@query(_sql(f"SELECT match_id, frame, round({_wh('oy')}, 5) AS yaw, round(greatest(-89, least(89, op)), 5) AS pitch, round(CASE WHEN lost THEN 100.0e0 ELSE 80 + 20 * least(sqrt(dy * dy + dp * dp) / 5, 1) END, 5) AS fov, lc AS lost_count FROM cs WHERE frame >= 0", *_TO_DENSE, _ANG, _CAM, recursive=True))
+@query(_sql(f"SELECT match_id, frame, round({_wh('oy')}, 5) AS yaw, round(greatest(-89, least(89, op)), 5) AS pitch, round(round_even(CASE WHEN lost THEN 100.0e0 ELSE 80 + 20 * least(sqrt(dy * dy + dp * dp) / 5, 1) END, 1), 5) AS fov, lc AS lost_count FROM cs WHERE frame >= 0", *_TO_DENSE, _ANG, _CAM, recursive=True))
 def camera_path(spark, sf):
     path = camera.camera_path(camera.ball_angles(_plain_tracks(spark, sf)))
     return path.select("match_id", "frame", _r("yaw", 5), _r("pitch", 5), _r("fov", 5), "lost_count")
@@ -351,7 +351,7 @@ def highlight_clips(spark, sf):
 _RUNS = "runs AS (SELECT match_id, frame, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS island FROM fr WHERE x IS NULL)"
 _LOW = "low AS (SELECT match_id, frame, confidence AS conf FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame ORDER BY det_id) AS r FROM band WHERE confidence < 0.3e0) WHERE r = 1)"
 _GAP = "gap AS (SELECT match_id, frame, gap_length FROM (SELECT *, count(*) OVER (PARTITION BY match_id, island) AS gap_length FROM runs) WHERE gap_length >= 15)"
-_JUMP = "jmp AS (SELECT match_id, frame, distance_px FROM (SELECT match_id, frame, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS distance_px FROM fr WINDOW w AS (PARTITION BY match_id ORDER BY frame)) WHERE distance_px > 150)"
+_JUMP = "jmp AS (SELECT match_id, frame, round_even(distance_px, 1) AS distance_px FROM (SELECT match_id, frame, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS distance_px FROM fr WINDOW w AS (PARTITION BY match_id ORDER BY frame)) WHERE distance_px > 150)"
 _HARD = """hard AS (SELECT match_id, frame, string_agg(t, ',' ORDER BY i) AS reasons, max(conf) AS conf, max(gap_length) AS gap_length, max(distance_px) AS distance_px FROM (
  SELECT match_id, frame, 0 AS i, 'low_confidence' AS t, conf, NULL AS gap_length, NULL AS distance_px FROM low UNION ALL SELECT match_id, frame, 1, 'lost_ball_gap', NULL, gap_length, NULL FROM gap UNION ALL SELECT match_id, frame, 2, 'position_jump', NULL, NULL, distance_px FROM jmp) GROUP BY match_id, frame)"""
 _TO_HARD = (*_TO_DENSE, _RUNS, _LOW, _GAP, _JUMP, _HARD)
@@ -381,9 +381,9 @@ def _hard(spark: SparkSession, sf: str) -> DataFrame:
     return hardframes.hard_frames(d.y_band_filter(inputs.detections(spark, sf)), _plain_tracks(spark, sf))
 
 
-@query(_sql("SELECT match_id, frame, reasons, conf, gap_length, round(distance_px, 6) AS distance_px FROM hard", *_TO_HARD))
+@query(_sql("SELECT match_id, frame, round_even(frame / 30.0e0, 3) AS time_sec, reasons, conf, gap_length, round(distance_px, 6) AS distance_px FROM hard", *_TO_HARD))
 def hard_frames(spark, sf):
-    return _hard(spark, sf).select("match_id", "frame", F.array_join("reasons", ",").alias("reasons"), "conf", "gap_length", _r("distance_px"))
+    return _hard(spark, sf).select("match_id", "frame", "time_sec", F.array_join("reasons", ",").alias("reasons"), "conf", "gap_length", _r("distance_px"))
 
 
 @query(_sql("SELECT match_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY md5(match_id || '|' || frame || '|42'), frame) AS r FROM hard) WHERE r <= 100", *_TO_HARD))
@@ -400,17 +400,18 @@ _CAND = """srun AS (SELECT match_id, frame, frame - row_number() OVER (PARTITION
 cnd AS (SELECT match_id, frame, string_agg(t, ',' ORDER BY i) AS triggers, max(conf) AS conf, max(run_length) AS run_length, max(distance_px) AS distance_px, max(i) > 0 AS rare FROM (
  SELECT match_id, frame, 0 AS i, 'low_conf' AS t, confidence AS conf, NULL AS run_length, NULL AS distance_px FROM best WHERE confidence BETWEEN 0.20e0 AND 0.50e0
  UNION ALL SELECT match_id, frame, 1, 'lost_run', NULL, 15, NULL FROM (SELECT *, row_number() OVER (PARTITION BY match_id, island ORDER BY frame) AS k FROM srun) WHERE k = 15
- UNION ALL SELECT match_id, frame, 2, 'jump_reject', NULL, NULL, d FROM st WHERE reason IN ('jump', 'speed') AND d >= 200) GROUP BY match_id, frame)"""
+ UNION ALL SELECT match_id, frame, 2, 'jump_reject', NULL, NULL, round_even(d, 1) FROM st WHERE reason IN ('jump', 'speed') AND round_even(d, 1) >= 200) GROUP BY match_id, frame)"""
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     best = _best(spark, sf)
-    return hardframes.labeling_candidates(best, tracking.stabilize_ball(best), tracking.stabilizer_events(tracking.stabilize_rows(best)))
+    stable = _written(tracking.stabilize_rows(best))
+    return hardframes.labeling_candidates(best, tracking.stabilize_ball(best, stable=stable), tracking.stabilizer_events(stable))
 
 
-@query(_sql("SELECT match_id, frame, triggers, conf, run_length, round(distance_px, 6) AS distance_px FROM cnd", *_TO_STAB, _CAND, recursive=True))
+@query(_sql("SELECT match_id, frame, round_even(frame / 30.0e0, 3) AS time_sec, triggers, conf, run_length, round(distance_px, 6) AS distance_px FROM cnd", *_TO_STAB, _CAND, recursive=True))
 def labeling_candidates(spark, sf):
-    return _candidates(spark, sf).select("match_id", "frame", F.array_join("triggers", ",").alias("triggers"), "conf", "run_length", _r("distance_px"))
+    return _candidates(spark, sf).select("match_id", "frame", "time_sec", F.array_join("triggers", ",").alias("triggers"), "conf", "run_length", _r("distance_px"))
 
 
 _PICK = """rare AS (SELECT *, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY match_id) AS n FROM cnd WHERE rare WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
@@ -517,7 +518,7 @@ def file_names(spark, sf):
     return rows.select("event_id", naming.stem(name).alias("stem"), naming.all_suffixes(name).alias("suffixes"), naming.job_id(F.col("ts"), name).alias("job_id"), key.alias("fp_key"))
 
 
-@query(f"""WITH {_SNAP}, r AS (SELECT *, coalesce(size = lag(size) OVER w AND size > 0, false) AS same FROM snap WHERE poll_no <= 21 WINDOW w AS (PARTITION BY path ORDER BY poll_no)),
+@query(f"""WITH {_SNAP}, r AS (SELECT *, coalesce(size = lag(size) OVER w AND size > 0, false) AS same FROM snap WHERE poll_no <= 20 WINDOW w AS (PARTITION BY path ORDER BY poll_no)),
  i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY poll_no ROWS UNBOUNDED PRECEDING) AS island FROM r),
  k AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY path, island ORDER BY poll_no ROWS UNBOUNDED PRECEDING) AS run FROM i)
  SELECT path, min(poll_no) AS poll_no, arg_min(size, poll_no) AS size FROM k WHERE run = 2 GROUP BY path""")
@@ -556,24 +557,40 @@ def revalidate_queue(spark, sf):
     return ingest.revalidate_queue(queue, now).select("path", "action")
 
 
-_ARR = "arr AS (SELECT event_id, 'm' || CAST(floor(user_id / 15) AS BIGINT) || CASE WHEN event_id % 13 = 0 THEN '/../../x' ELSE '' END AS match, 'd' || (event_id % 9) AS job FROM events)"
+_NUMBERED = "lpad(CAST(i AS VARCHAR), CAST(greatest(2, len(CAST(i AS VARCHAR))) AS INTEGER), '0')"
 
 
-@query(f"""WITH {_ARR}, n AS (SELECT *, match || '_' || job || '.mp4' AS name FROM arr), g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY event_id) AS i FROM n WHERE event_id % 13 <> 0)
- SELECT event_id, CASE WHEN i = 1 THEN name ELSE match || '_' || job || '_' || lpad(CAST(i - 1 AS VARCHAR), CAST(greatest(2, len(CAST(i - 1 AS VARCHAR))) AS INTEGER), '0') || '.mp4' END AS dest, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM g
- UNION ALL SELECT event_id, NULL, 'reject', 'escapes' FROM n WHERE event_id % 13 = 0""")
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, 'm' || CAST(floor(user_id / 15) AS BIGINT) || '_d' || (event_id % 9) AS fam, event_id % 7 = 0 AS odd, event_id % 13 = 0 AS bad, event_id % 50 = 0 AS held, event_id % 75 = 0 AS held2 FROM events),
+ x AS (SELECT fam, list(DISTINCT name) AS t FROM (SELECT fam, fam || '.mp4' AS name FROM e WHERE held UNION SELECT fam, fam || '_02.mp4' FROM e WHERE held2) GROUP BY fam),
+ a AS (SELECT fam, event_id, CASE WHEN odd THEN fam || '_01' ELSE fam END AS stem, row_number() OVER (PARTITION BY fam ORDER BY event_id) AS k FROM e WHERE NOT bad),
+ s AS (SELECT f.fam, CAST(0 AS BIGINT) AS k, coalesce(t, CAST([] AS VARCHAR[])) AS taken, CAST(NULL AS VARCHAR) AS dest, CAST(NULL AS BIGINT) AS event_id FROM (SELECT DISTINCT fam FROM e) f LEFT JOIN x USING (fam)
+  UNION ALL SELECT fam, k, list_append(taken, dest), dest, event_id FROM (SELECT s.fam, a.k, s.taken, a.event_id,
+    CASE WHEN NOT list_contains(s.taken, a.stem || '.mp4') THEN a.stem || '.mp4' ELSE list_filter(list_transform(range(1, len(s.taken) + 2), lambda i: a.stem || '_' || {_NUMBERED} || '.mp4'), lambda d: NOT list_contains(s.taken, d))[1] END AS dest
+   FROM s JOIN a ON a.fam = s.fam AND a.k = s.k + 1))
+ SELECT event_id, dest, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM s WHERE k > 0 UNION ALL SELECT event_id, NULL, 'reject', 'escapes' FROM e WHERE bad""")
 def archive_plan(spark, sf):
-    """Every event is a file that arrives; some names try to leave the archive."""
+    """Every event is a file that arrives; the archive holds some, names cross with suffixed ones, some try to leave it."""
     e = F.col("event_id")
-    match = F.concat(F.lit("m"), F.floor(F.col("user_id") / 15).cast("string"), F.when(e % 13 == 0, "/../../x").otherwise(""))
-    rows = inputs.events(spark, sf).select("event_id", F.concat(F.lit("/in/f"), e.cast("string"), F.lit(".mp4")).alias("src"), match.alias("match"), F.concat(F.lit("d"), (e % 9).cast("string")).alias("job_id"), e.alias("arrival"))
-    return ingest.archive_plan(rows, spark.createDataFrame([], "name string")).select("event_id", "dest", "status", "reason")
-
-
-@query("SELECT event_id, 'job' || user_id || CASE WHEN r > 1 THEN '_run' || (r - 1) ELSE '' END AS directory FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)")
+    match = F.concat(F.lit("m"), F.floor(F.col("user_id") / 15).cast("string"))
+    job = F.concat(F.lit("d"), (e % 9).cast("string"))
+    events = inputs.events(spark, sf)
+    path = F.when(e % 13 == 0, F.concat(match, F.lit("/../../x"))).when(e % 11 == 0, F.concat(F.lit("y/../"), match)).otherwise(match)
+    rows = events.select("event_id", F.concat(F.lit("/in/f"), e.cast("string"), F.lit(".mp4")).alias("src"), path.alias("match"), F.concat(job, F.when(e % 7 == 0, "_01").otherwise("")).alias("job_id"), e.alias("arrival"))
+    held = lambda every, end: events.where(e % every == 0).select(F.concat(match, F.lit("_"), job, F.lit(end)).alias("name"))
+    return ingest.archive_plan(rows, held(50, ".mp4").unionByName(held(75, "_02.mp4"))).select("event_id", "dest", "status", "reason")
+
+
+@query("""WITH RECURSIVE a AS (SELECT event_id, 'job' || user_id AS fam, 'job' || user_id || CASE WHEN event_id % 5 = 0 THEN '_run1' ELSE '' END AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ s AS (SELECT fam, CAST(0 AS BIGINT) AS k, [fam || '_run2'] AS taken, CAST(NULL AS VARCHAR) AS directory, CAST(NULL AS BIGINT) AS event_id FROM (SELECT DISTINCT fam FROM a)
+  UNION ALL SELECT fam, k, list_append(taken, directory), directory, event_id FROM (SELECT s.fam, a.k, s.taken, a.event_id,
+    CASE WHEN NOT list_contains(s.taken, a.name) THEN a.name ELSE list_filter(list_transform(range(1, len(s.taken) + 2), lambda i: a.name || '_run' || i), lambda d: NOT list_contains(s.taken, d))[1] END AS directory
+   FROM s JOIN a ON a.fam = s.fam AND a.k = s.k + 1))
+ SELECT event_id, directory FROM s WHERE k > 0""")
 def unique_directories(spark, sf):
-    rows = inputs.events(spark, sf).select("event_id", F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("name"), F.col("event_id").alias("arrival"))
-    return ingest.unique_directories(rows, spark.createDataFrame([], "name string")).select("event_id", "directory")
+    """Every event wants a directory of its user; every fifth asks for a numbered one, and one of each user exists."""
+    events, job = inputs.events(spark, sf), F.concat(F.lit("job"), F.col("user_id").cast("string"))
+    rows = events.select("event_id", F.concat(job, F.when(F.col("event_id") % 5 == 0, "_run1").otherwise("")).alias("name"), F.col("event_id").alias("arrival"))
+    return ingest.unique_directories(rows, events.select(F.concat(job, F.lit("_run2")).alias("name")).distinct()).select("event_id", "directory")
 
 
 @query("SELECT count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 7 <> 0) AS valid, count(*) FILTER (WHERE event_id % 10 = 0 OR event_id % 7 = 0) AS quarantined FROM events")
@@ -591,11 +608,22 @@ def parse_ledger(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one (a temporary one where none is named, as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder in the shared one; where none is named, a local session (tests) gets a temporary one, a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that a fold under several tables runs once."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query(_sql("SELECT match_id, count(*) AS n, round(sum(x1 + y2), 3) AS s, round(sum(confidence), 6) AS c, max(frame) AS last FROM det GROUP BY match_id"))
 def read_detections(spark, sf):
     """Detections written as lines of one file tree and read again."""
@@ -640,7 +668,7 @@ def run_all_matches(spark, sf):
     """All matches end to end: rows of each table by match."""
     rows = inputs.detections(spark, sf)
     m = inputs.matches(rows)
-    return overview(run_matches(rows, m), m)
+    return overview(run_matches(rows, m, hand_over=_written), m)
 
 
 # ---- streaming

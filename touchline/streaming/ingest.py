@@ -21,26 +21,38 @@ def file_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> Data
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def stable_stream(snapshots: DataFrame, cfg: Ingest = Ingest()) -> DataFrame:
+def stable_stream(snapshots: DataFrame, cfg: Ingest = Ingest(), time: str | None = None, delay: str = "1 minute", forget_ms: int = 3_600_000) -> DataFrame:
     """path, poll_no, size of files that have kept their size for cfg.checks polls; snapshots: path, poll_no, size.
 
-    State of a path: last poll, size, run, whether it was reported. Paths polled 10 * checks times are given up.
+    State of a path: last poll, size, run, polls, whether it is settled: reported, polled 10 * checks times in vain, or
+    missing in a poll. With time (a timestamp column of snapshots), the watermark, delay behind, drives expiry: a path that
+    isn't polled for forget_ms loses its state, and starts anew if it comes again. Without it, states stay.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        first, last, size, run, done = state.get if state.exists else (-1, -1, -1, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, size, run, polls, done = state.get if state.exists else (-1, -1, 0, 0, False)
         out = []
+        parts = list(parts)
         for poll, now in sorted((int(p), int(s)) for part in parts for p, s in zip(part["poll_no"], part["size"], strict=True)):
-            first = poll if first < 0 else first
-            run = run + 1 if last == poll - 1 and now == size and now > 0 else 0
+            polls += 1
+            done = done or polls > 10 * cfg.checks or (last >= 0 and poll != last + 1)
+            run = run + 1 if now == size and now > 0 else 0
             last, size = poll, now
-            if run == cfg.checks and not done and poll <= first + 10 * cfg.checks:
+            if run == cfg.checks and not done:
                 out.append((key[0], poll, now))
                 done = True
-        state.update((first, last, size, run, done))
+        state.update((last, size, run, polls, done))
+        if time is not None:
+            seen = max(int(part[time].max().timestamp() * 1000) for part in parts)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + forget_ms)
         yield pd.DataFrame(out, columns=["path", "poll_no", "size"])
 
-    return snapshots.groupBy("path").applyInPandasWithState(step, "path string, poll_no bigint, size bigint", "first bigint, last bigint, size bigint, run int, done boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = snapshots if time is None else snapshots.withWatermark(time, delay)
+    expiry = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("path").applyInPandasWithState(step, "path string, poll_no bigint, size bigint", "last bigint, size bigint, run int, polls int, done boolean", "append", expiry)
 
 
 def without_repeats(files: DataFrame, time: str = "seen", delay: str = "1 hour") -> DataFrame:

@@ -17,15 +17,21 @@ from touchline.config import Highlights, Labeling, Stabilizer
 LIVE = "match_id bigint, frame bigint, status string, reason string, x double, y double, lost_run boolean"
 
 
-def live_stabilizer(best: DataFrame, cfg: Stabilizer = Stabilizer(), labeling: Labeling = Labeling(), fps: float = 30.0) -> DataFrame:
+def live_stabilizer(best: DataFrame, cfg: Stabilizer = Stabilizer(), labeling: Labeling = Labeling(), fps: float = 30.0, time: str | None = None, delay: str = "10 seconds", forget_ms: int = 3_600_000) -> DataFrame:
     """LIVE rows of a stream of best detections (match_id, frame, x, y; x null: a frame without one), in append mode.
 
     The state of a match is small: last frame, anchor, frames in the window, length of the run without a ball. Frames at
     or before the last one of their match are late and dropped. Frames of one trigger are put in order. Frames that the
     stream leaves out count as lost; lost_run marks the frame where a run without a ball reaches labeling.lost_run.
+
+    With time (a timestamp column of best) the watermark, delay behind, drives expiry: a match without rows for forget_ms
+    of event time has ended, and its state is removed. Without it, states stay.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = json.loads(state.get[0]) if state.exists else {"at": -1, "last": None, "x": 0.0, "y": 0.0, "recent": [], "run": 0}
         rows = pd.concat(list(parts)).sort_values("frame").drop_duplicates("frame", keep="last")
         out = []
@@ -58,9 +64,15 @@ def live_stabilizer(best: DataFrame, cfg: Stabilizer = Stabilizer(), labeling: L
             s["x"], s["y"], s["last"] = blend * dx + (1 - blend) * s["x"], blend * dy + (1 - blend) * s["y"], frame
             emit(frame, "accepted")
         state.update((json.dumps(s),))
+        if time is not None:
+            seen = int(rows[time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + forget_ms)
         yield pd.DataFrame(out, columns=["match_id", "frame", "status", "reason", "x", "y", "lost_run"])
 
-    return best.select("match_id", "frame", "x", "y").groupBy("match_id").applyInPandasWithState(step, LIVE, "state string", "append", GroupStateTimeout.NoTimeout)
+    own = ["match_id", "frame", "x", "y", *([time] if time else [])]
+    rows = best.select(*own) if time is None else best.select(*own).withWatermark(time, delay)
+    expiry = GroupStateTimeout.NoTimeout if time is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("match_id").applyInPandasWithState(step, LIVE, "state string", "append", expiry)
 
 
 def live_clips(events: DataFrame, cfg: Highlights = Highlights(), time: str = "event_time", delay: str = "10 seconds") -> DataFrame:
