@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,12 +19,22 @@ SLICE_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: Bytes of a Parquet row group: what a writing task holds in memory.
 ROW_GROUP = 16 << 20
+#: Rows of an Arrow batch between Spark and Python, at most.
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS rows at most: with long ones, Spark's default of 10,000 can fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -97,3 +110,10 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             total += n
         if first < batch.num_rows:
             yield batch.slice(first)
+
+
+def tidy() -> None:
+    """At the end of a task: the worker process stays for later stages, its free memory should not."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import discard, only_ids, slices, stored, text_key, without_rows
+from touchline.llm.common import discard, only_ids, slices, stored, text_key, tidy, without_rows
 from touchline.llm.graph import components
 from touchline.llm.text import grams, mix, white_space_words, words
 
@@ -112,6 +112,7 @@ def profiles(docs: DataFrame, k: int, threshold: int, extra: int = EXTRA) -> Dat
                 ],
                 names=["doc_id", "text_key", "n", "a", "b", "sketch", "root"],
             )
+        tidy()
 
     read = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
     found = read.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, a bigint, b bigint, sketch binary, root array<bigint>")
@@ -280,6 +281,7 @@ def region_pairs(members: DataFrame, threshold: int, budget: int, leaf: int, piv
             out += work(held)
         if out:
             yield flush()
+        tidy()
 
     sent = members.select(*REGION, "x", "n", "comp", "score", "sketch", "own").repartition(*REGION).sortWithinPartitions(*REGION)
     return sent.mapInArrow(run, "key bigint, ring int, path string, x bigint, y bigint, done boolean")
@@ -356,6 +358,8 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Data
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        own.clear()
+        tidy()
 
     many = pairs.groupBy("y").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     dealt = stored(pairs.join(many.hint("merge"), "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt")), "pairs")

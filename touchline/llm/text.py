@@ -14,11 +14,13 @@ import pyarrow as pa
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+#: Powers that a worker keeps (8 bytes each); longer texts make their own.
+KEPT = 2 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown as needed."""
+    """base**0 .. base**(n-1) modulo 2**64; kept and grown as needed, up to KEPT of them."""
     have = _powers.get(hex(int(base)))
     if have is None or len(have) < n:
         have = np.empty(max(n, 1 << 16), np.uint64)
@@ -26,7 +28,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have[1:] = base
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        _powers[hex(int(base))] = have
+        if len(have) <= KEPT:
+            _powers[hex(int(base))] = have
     return have[:n]
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import slices
+from touchline.llm.common import slices, tidy
 from touchline.llm.labelled import FIT_ROWS, fit_sample, logistic
 
 # Words of the closed classes (English, French, German, Spanish).
@@ -205,8 +205,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5, id_col
                 keep = [grammar.probability(*grammar.features(t)) < threshold for t in piece.column(at).to_pylist()]
                 yield batch.slice(first, len(keep)).filter(pa.array(keep, pa.bool_()))
                 first += len(keep)
-        # the process stays for later stages, its memory should not
         grammar.memo.clear()
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
