@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bpe import encoder, without_collection
-from touchline.llm.common import slices, stored
+from touchline.llm.common import discard, slices, stored
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
@@ -31,13 +31,14 @@ ENCODED = "doc_id bigint, ids binary"
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, with the end id) of docs (doc_id, text)."""
+    """doc_id, ids (with the end id, in the encoder's dtype) of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_collection():
             code = encoder(path)
             for batch in slices(batches):
-                ids = [np.append(x, END).astype("<u4").tobytes() for x in code.encode_many(batch.column(1).to_pylist())]
+                end = np.array([END], code.dtype).tobytes()
+                ids = [x.tobytes() + end for x in code.encode_many(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
@@ -52,18 +53,18 @@ def terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))), size
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+def _arrays(column: pa.Array, dtype: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
 
-def statistics(docs: DataFrame, vocabulary: int) -> tuple[np.ndarray, np.ndarray, float]:
+def statistics(docs: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, float]:
     """Documents by term, inverse document frequency, and mean ids of a document, over all encoded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             if batch.num_rows:
-                _, term, _, size = terms(_arrays(batch.column(0)))
+                _, term, _, size = terms(_arrays(batch.column(0), dtype))
                 df += np.bincount(term, minlength=vocabulary)
                 n, total = n + batch.num_rows, total + int(size.sum())
         at = np.flatnonzero(df)
@@ -175,24 +176,26 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("window must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     whole = stored(encoded(rows, path), "encoded")
-    df, idf, mean = statistics(whole, encoder(path).vocabulary)
+    vocabulary, dtype = encoder(path).vocabulary, encoder(path).dtype
+    df, idf, mean = statistics(whole, vocabulary, dtype)
     shared = docs.sparkSession.sparkContext.broadcast((df, idf))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                two = foremost(_arrays(batch.column(1)), *shared.value, mean)
+                two = foremost(_arrays(batch.column(1), dtype), *shared.value, mean)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["doc_id", "ids", "t1", "t2"])
 
     # the document's hash parts documents that have both terms in common, however many
     placed = stored(whole.mapInArrow(keyed, f"{ENCODED}, t1 bigint, t2 bigint").withColumn("h", F.xxhash64("doc_id", "ids")), "keyed")
+    discard(whole)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartitionByRange(n, "t1", "t2", "h").sortWithinPartitions("t1", "t2", "h").select("doc_id", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         doc_ids, ids, size = [], [], 0
         for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), strict=True):
+            for doc, x in zip(batch.column(0).to_pylist(), _arrays(batch.column(1), dtype), strict=True):
                 if ids and (len(ids) == shard_docs or size + len(x) > SHARD_IDS):
                     yield doc_ids, ids
                     doc_ids, ids, size = [], [], 0
@@ -209,7 +212,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for pieces in pack_shard([len(x) for x in ids], Index(ids, shared.value[1], mean), window):
                 offset = 0
                 for d, start, n in pieces:
-                    out.append((doc_ids[d], start, n, zlib.crc32(ids[d][start : start + n]), len(ids[d]), sequence, offset))
+                    out.append((doc_ids[d], start, n, zlib.crc32(ids[d][start : start + n].astype("<u4")), len(ids[d]), sequence, offset))
                     offset += n
                 sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
