@@ -8,7 +8,7 @@ is read from the raw text behind the tag.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -46,33 +46,47 @@ TAG_TEXT = re.compile(rb"(?:spdx-license-identifier|license-expression)\s*:\s*([
 TOKEN = re.compile(rb"\(|\)|[A-Za-z0-9.+-]+")
 #: Binding strength: with over and over or.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
+# Families of licence identifiers (public SPDX list, and bsd); a version, only, or later or + may follow.
+FAMILIES = (
+    "0bsd afl agpl apache apsl artistic blueoak bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear "
+    "bsd-4-clause bsl busl bzip2 cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cc0 cddl cecill cpl curl ecl epl eupl "
+    "fsfap gfdl gpl hpnd icu ijg ipl isc json lgpl libpng lppl mit mit-0 mpl ms-pl ms-rl mulanpsl ncsa odbl ofl openssl osl pddl php "
+    "postgresql psf python qpl ruby sleepycat sspl tcl unicode-dfs unlicense upl vim w3c wtfpl x11 zlib zpl"
+).split()
+# Families that ask for no more than notices.
+PERMISSIVE = "0bsd apache blueoak bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsl cc-by cc0 curl isc libpng mit mit-0 ncsa postgresql psf python unlicense upl x11 zlib".split()
+_VERSION = r"(?:-\d+(?:\.\d+)*)?(?:-only|-or-later|\+)?"
+LICENCE = re.compile(f"(?:{'|'.join(map(re.escape, FAMILIES))}){_VERSION}|licenseref-[a-z0-9.-]+")
+PERMISSIVE_LICENCE = re.compile(f"(?:{'|'.join(map(re.escape, PERMISSIVE))}){_VERSION}")
+EXCEPTION = re.compile(r"[a-z0-9.+-]*exception(?:-\d+(?:\.\d+)*)?|linux-syscall-note")
 # Weight of evidence; the score is 1 - product of (1 - weight).
 WEIGHTS = {"tag": 0.9, "base": 0.6, "notice": 0.4}
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SCHEMA = "doc_id bigint, n_words bigint, hits array<struct<kind:string,word:bigint,label:string>>, expressions array<struct<text:string,valid:boolean,choices:array<string>>>"
+SCHEMA = "doc_id bigint, n_words bigint, hits array<struct<kind:string,word:bigint,label:string>>, expressions array<struct<text:string,valid:boolean,licences:array<string>,permissive:boolean>>"
 
 
-def parse_expression(text: str) -> tuple[list | None, int]:
-    """Shunting-yard: reverse Polish output of the longest valid expression at the start of text, and its number of tokens.
+def parse_expression(text: str) -> list | None:
+    """Shunting-yard: reverse Polish output of the longest valid expression at the start of text, None where none starts.
 
-    Operators may be in either case. None and 0 where no expression starts.
+    Operators may be in either case. An operand is a licence identifier (see LICENCE), behind with an exception (see
+    EXCEPTION); with binds to the identifier right before it. Any other word ends the expression. Linear in the text.
     """
     output: list = []
     stack: list[str] = []
-    best: tuple[list | None, int] = (None, 0)
-    operand_next, depth = True, 0
-    for count, token in enumerate((m.group().decode("latin-1") for m in TOKEN.finditer(text.encode())), 1):
+    length, tail, depth, last = 0, None, 0, ""
+    for token in (m.group().decode("latin-1").rstrip(".") for m in TOKEN.finditer(text.encode())):
         low = token.lower()
-        if operand_next:
-            if token == "(":
+        if last in ("", "(", *STRENGTH):  # an operand is next
+            if token == "(" and last != "with":
                 stack.append(token)
                 depth += 1
+                last = token
                 continue
-            if token == ")" or low in STRENGTH:
+            if not (EXCEPTION if last == "with" else LICENCE).fullmatch(low):
                 break
-            output.append(token)
-            operand_next = False
+            output.append(low)
+            last = "exception" if last == "with" else "licence"
         elif token == ")":
             if not depth:
                 break
@@ -80,34 +94,42 @@ def parse_expression(text: str) -> tuple[list | None, int]:
                 output.append((stack.pop(),))
             stack.pop()
             depth -= 1
-        elif low in STRENGTH:
+            last = token
+        elif low in STRENGTH and (low != "with" or last == "licence"):
             while stack and stack[-1] != "(" and STRENGTH[stack[-1]] >= STRENGTH[low]:
                 output.append((stack.pop(),))
             stack.append(low)
-            operand_next = True
+            last = low
             continue
         else:
             break
-        if not depth:
-            best = (output + [(op,) for op in reversed(stack)], count)
-    return best
+        if not depth:  # at most one operator of each strength waits, and output only grows
+            length, tail = len(output), [(op,) for op in reversed(stack)]
+    return None if tail is None else output[:length] + tail
 
 
-def choices(rpn: list) -> list[str]:
-    """Evaluate: the alternatives of an expression, each a sorted list of licences that hold together, as 'a and b'."""
-    stack: list[set[frozenset[str]]] = []
+def atoms(rpn: list) -> list[str]:
+    """Licences of an expression, one with an exception as 'a with e', each once in order of appearance."""
+    found: list[str] = []
     for item in rpn:
         if isinstance(item, str):
-            stack.append({frozenset([item.lower()])})
+            found.append(item)
+        elif item[0] == "with":
+            exception = found.pop()
+            found[-1] = f"{found[-1]} with {exception}"
+    return list(dict.fromkeys(found))
+
+
+def holds(rpn: list, granted: Callable[[str], bool]) -> bool:
+    """Evaluate: whether the expression is met by the licences for which granted is true; an exception only adds rights."""
+    stack: list[bool] = []
+    for item in rpn:
+        if isinstance(item, str):
+            stack.append(granted(item))
             continue
         right, left = stack.pop(), stack.pop()
-        if item[0] == "or":
-            stack.append(left | right)
-        elif item[0] == "and":
-            stack.append({a | b for a in left for b in right})
-        else:
-            stack.append({frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right})
-    return sorted(" and ".join(sorted(c)) for c in stack.pop())
+        stack.append(left if item[0] == "with" else left or right if item[0] == "or" else left and right)
+    return stack.pop()
 
 
 def automaton(phrases: dict[str, str], notices: dict[str, str], tags: tuple[str, ...]) -> ahocorasick.Automaton:
@@ -141,13 +163,15 @@ def scan_text(text: bytes, found: ahocorasick.Automaton) -> tuple[int, list[dict
     if any(h["kind"] == "tag" for h in hits):
         for m in TAG_TEXT.finditer(text):
             line = m[1].decode("utf-8", "replace")
-            rpn, _ = parse_expression(line)
-            expressions.append({"text": line, "valid": rpn is not None, "choices": choices(rpn) if rpn else []})
+            rpn = parse_expression(line)
+            free = rpn is not None and holds(rpn, lambda x: PERMISSIVE_LICENCE.fullmatch(x) is not None)
+            expressions.append({"text": line, "valid": rpn is not None, "licences": atoms(rpn) if rpn else [], "permissive": free})
     return len(parts), hits, expressions
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, tags: tuple[str, ...] = TAGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, hits (kind base, notice or tag; start word; label), expressions.
+    """One row per row of docs: doc_id, n_words, hits (kind base, notice or tag; start word; label), expressions
+    (text behind a tag, whether it starts with a valid expression, its licences, whether permissive ones meet it).
 
     Null and empty texts have no words and no hits. Repeated rows are scanned each; overlapping hits all count, ordered
     by end. Other columns of docs are not used. An empty table gives an empty result.
@@ -167,7 +191,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
 
 
 HITS = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.int64()), ("label", pa.string())]))
-EXPRESSIONS = pa.list_(pa.struct([("text", pa.string()), ("valid", pa.bool_()), ("choices", pa.list_(pa.string()))]))
+EXPRESSIONS = pa.list_(pa.struct([("text", pa.string()), ("valid", pa.bool_()), ("licences", pa.list_(pa.string())), ("permissive", pa.bool_())]))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -175,7 +199,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     of = lambda kind: F.filter(F.col("hits"), lambda h: h["kind"] == kind)
     base = of("base")
     labels = lambda hits: F.transform(hits, lambda h: h["label"])
-    tagged = F.flatten(F.transform(F.col("expressions"), lambda e: F.flatten(F.transform(e["choices"], lambda c: F.split(c, " and ")))))
+    tagged = F.flatten(F.transform(F.col("expressions"), lambda e: e["licences"]))
     all_labels = F.array_sort(F.array_distinct(F.concat(labels(base), labels(of("notice")), tagged)))
     none = F.lit(1.0)
     missing = F.pow(none - WEIGHTS["tag"], F.size(F.filter("expressions", lambda e: e["valid"]))) * F.pow(none - WEIGHTS["base"], F.size(base)) * F.pow(none - WEIGHTS["notice"], F.size(of("notice")))
