@@ -171,6 +171,19 @@ def test_only_differing_branches_are_compared(spark):
     assert levels == [1, 1, 1, 1]
 
 
+def test_shifted_ranges_are_found(spark):
+    ours = warc.manifest(spark.createDataFrame([(i, f"r{i}") for i in range(64)], "page_id bigint, record string"), file_slots=64)
+    a = warc.tree(ours, 4, 3)
+    found = lambda theirs: sorted(tuple(r) for r in warc.damaged(a, warc.tree(theirs, 4, 3), 4).select("level", "node", "status").collect())
+    # bytes between two records: those behind them lie further on, in each range that holds both
+    padded = ours.withColumn("offset", F.when(F.col("slot") >= 21, F.col("offset") + 7).otherwise(F.col("offset")))
+    assert found(padded) == [(0, 21, "shifted"), (0, 22, "shifted"), (0, 23, "shifted"), (1, 6, "shifted"), (1, 7, "shifted"), (2, 2, "shifted"), (2, 3, "shifted")]
+    assert found(ours.withColumn("offset", F.col("offset") + 5)) == [(3, 0, "shifted")]
+    assert found(ours) == []
+    given = warc.manifest(spark.createDataFrame([(0, "a", 5), (1, "b", None)], "page_id bigint, record string, o bigint"), file_slots=64, offset_col="o")
+    assert sorted((r["slot"], r["offset"]) for r in given.collect()) == [(0, 5), (1, 0)]
+
+
 def test_manifest_of_nulls_and_repeats(spark):
     rows = spark.createDataFrame([(1, None), (1, "b"), (None, "x"), (2, "")], "page_id bigint, record string")
     got = warc.manifest(rows).orderBy("slot").collect()
@@ -360,13 +373,40 @@ def test_drop_copies_decides_on_rows(spark):
 @pytest.mark.parametrize(
     ("line", "want"),
     [
-        ("MIT", ["mit"]), ("MIT OR Apache-2.0", ["apache-2.0", "mit"]), ("(MIT or BSD) and GPL-2.0 WITH Classpath", ["bsd and gpl-2.0 with classpath", "gpl-2.0 with classpath and mit"]),
-        ("MIT AND ISC OR GPL", ["gpl", "isc and mit"]), ("MIT and more text", ["mit and more"]), ("MIT OR", ["mit"]), ("OR MIT", None), ("", None), ("(MIT", None), ("MIT)", ["mit"]),
+        ("MIT", ["mit"]), ("MIT OR Apache-2.0", ["mit", "apache-2.0"]), ("(MIT or BSD) and GPL-2.0 WITH Classpath-exception-2.0", ["mit", "bsd", "gpl-2.0 with classpath-exception-2.0"]),
+        ("MIT AND ISC OR GPL-3.0-or-later", ["mit", "isc", "gpl-3.0-or-later"]), ("MIT and more text", ["mit"]), ("MIT OR", ["mit"]), ("OR MIT", None), ("", None), ("(MIT", None), ("MIT)", ["mit"]),
+        ("see the LICENSE file", None), ("MIT.", ["mit"]), ("MIT WITH ISC", ["mit"]), ("(MIT) WITH x-exception", ["mit"]), ("MIT WITH (x-exception)", ["mit"]), ("LicenseRef-own-1", ["licenseref-own-1"]), ("()", None),
+        ("MIT WITH a-exception WITH b-exception", ["mit with a-exception"]), ("MIT AND (ISC OR", ["mit"]),
     ],
 )
 def test_expressions(line, want):
-    rpn, _ = licenses.parse_expression(line)
-    assert (licenses.choices(rpn) if rpn else None) == want
+    rpn = licenses.parse_expression(line)
+    assert (licenses.atoms(rpn) if rpn else None) == want
+
+
+def test_expressions_are_evaluated_like_python():
+    rng = random.Random(9)
+    names = ["mit", "isc", "gpl-2.0", "zlib"]
+
+    def some(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(names)
+        e = f"{some(depth - 1)} {rng.choice(['and', 'or'])} {some(depth - 1)}"
+        return f"({e})" if rng.random() < 0.5 else e
+
+    for _ in range(200):
+        e, true = some(4), {n for n in names if rng.random() < 0.5}
+        plain = eval(re.sub(r"[a-z][a-z0-9.-]*", lambda m: m[0] if m[0] in ("and", "or") else str(m[0] in true), e))
+        assert licenses.holds(licenses.parse_expression(e), true.__contains__) == plain, e
+
+
+def test_long_expressions_take_linear_time():
+    wide = licenses.parse_expression(" and ".join(["(MIT or ISC)"] * 2000))
+    assert licenses.atoms(wide) == ["mit", "isc"] and licenses.holds(wide, lambda x: x == "isc") and not licenses.holds(wide, lambda x: False)
+    deep = licenses.parse_expression("(" * 10_000 + "MIT" + ")" * 10_000)
+    assert deep == ["mit"]
+    long = licenses.parse_expression(" or ".join(["GPL-2.0 with a-exception"] * 20_000))
+    assert len(long) == 79_999
 
 
 def test_scan_matches_brute_force(spark):
