@@ -51,6 +51,8 @@ SPREAD = 2.0
 PAIRS, PAIRS_GROWTH = 2, 4
 #: Pairs of one document that are compared in one place.
 SALT = 256
+#: Bytes of text whose shingles a task makes at once: some 16 MB of numbers.
+SLICE = 1 << 18
 REGION = ["key", "ring", "path"]
 _WORD = white_space_words()
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -101,7 +103,7 @@ def profiles(docs: DataFrame, k: int, threshold: int, extra: int = EXTRA) -> Dat
     """doc_id, text_key, n (shingles), a and b (128-bit digest of the set), sketch, root (first shingles by hash), row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             sets = shingle_keys(batch.column(1), k)
             two = [digests(s) for s in sets]
             root = [s[: (100 - threshold + extra) * len(s) // 100 + 1] for s in sets]
@@ -375,7 +377,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     found = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             two = [digests(s) for s in shingle_keys(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in two], pa.int64()), pa.array([x for _, x in two], pa.int64()), batch.column(1).cast(pa.string())], names=["rep", "a", "b", "text"])
 
