@@ -34,15 +34,24 @@ SCHEMA = "part int, shard int, base int, n_tokens bigint, doc_ids binary, doc_to
 
 
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n x 2) and expansion lengths of an id string in which END closes each document."""
+    """Symbols, rules (n x 2) and expansion lengths of an id string in which END closes each document.
+
+    A round replaces every occurrence of its frequent pairs, or the symbol they share with one replaced before them. So
+    the other pairs of older symbols only become rarer, and the next round counts those with a symbol of this one.
+    """
     s = ids.astype(np.uint32)
     rules = np.empty((0, 2), np.uint32)
     lengths = np.empty(0, np.uint32)
+    fresh = 0
     while len(s) > 1:
         narrow = base + len(rules) <= 1 << 16
-        keys = (s[:-1] << np.uint32(16) | s[1:]) if narrow else s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
         inner = (s[:-1] != END) & (s[1:] != END)
-        ordered = np.sort(keys[inner])
+        if fresh:
+            new = s >= fresh
+            inner &= new[:-1] | new[1:]
+        where = np.flatnonzero(inner)
+        keys = (s[where] << np.uint32(16) | s[where + 1]) if narrow else s[where].astype(np.uint64) << np.uint64(32) | s[where + 1]
+        ordered = np.sort(keys)
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -55,11 +64,11 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         slot = lambda k: (k * k.dtype.type(0x9E3779B1) >> k.dtype.type(16)).astype(np.uint16) if k.dtype == np.uint32 else ((k ^ k >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
         with np.errstate(over="ignore"):
             sieve[slot(chosen)] = True
-            at = np.flatnonzero(sieve[slot(keys)] & inner)
-        place = np.searchsorted(chosen, keys[at])
+            maybe = np.flatnonzero(sieve[slot(keys)])
+        place = np.searchsorted(chosen, keys[maybe])
         place[place == len(chosen)] = 0
-        hit = chosen[place] == keys[at]
-        at, place = at[hit], place[hit]
+        hit = chosen[place] == keys[maybe]
+        at, place = where[maybe[hit]], place[hit]
         # of overlapping pairs every second one is replaced, from the left
         start = np.concatenate(([True], np.diff(at) != 1))
         run = at[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
@@ -72,6 +81,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         pair = np.zeros((len(chosen), 2), np.uint32)
         pair[place, 0], pair[place, 1] = left, right
         all_lengths = np.concatenate((np.ones(base, np.uint32), lengths))
+        fresh = base + len(rules)
         rules, lengths = np.concatenate((rules, pair[used])), np.concatenate((lengths, all_lengths[pair[used, 0]] + all_lengths[pair[used, 1]]))
         s[at] = number[place]
         s = np.delete(s, at + 1)
