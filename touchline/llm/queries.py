@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact, jaccard, licenses, packing, quality, repair, substrings, toxicity, warc
+from touchline.llm import collocations, decontam, exact, fingerprints, interactions, jaccard, licenses, packing, quality, repair, substrings, toxicity, warc
 from touchline.llm.common import documents, shared_dir
 from touchline.llm.labelled import held_out
 
@@ -131,6 +131,58 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, k AS component_id FROM (SELECT doc_
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, g, count(*) AS f FROM (
+        SELECT lang, 1 AS m, unnest(w) AS g FROM w
+        UNION ALL SELECT lang, 2, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+        UNION ALL SELECT lang, 3, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w) GROUP BY ALL),
+c AS (SELECT lang, m, g AS phrase, f AS a, string_split(g, ' ') AS v FROM g WHERE m > 1 AND f >= 10),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(v[1 : k], ' ') AS head, array_to_string(v[k + 1 : m], ' ') AS rest FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+s AS (SELECT k.lang, phrase, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM k JOIN g x ON x.lang = k.lang AND x.g = head JOIN g y ON y.lang = k.lang AND y.g = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, sub, max(a) AS longer FROM (SELECT lang, a, unnest([v[1] || ' ' || v[2], v[2] || ' ' || v[3]]) AS sub FROM c WHERE m = 3) GROUP BY lang, sub),
+f AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.sub = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM f JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interactions.failures(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return interactions.audit(rows, {x: f"fails_{x}" for x in "ABCDE"})
+
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+        regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM w),
+l AS (SELECT f.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM f LEFT JOIN labels USING (doc_id)),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM l GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT a.i AS o1, b.i AS o2, c.i AS o3, d.i AS o4, e.i AS o5 FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform([o1, o2, o3, o4, o5], lambda i: 'ABCDE'[i]), '') AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, [o1, o2, o3, o4, o5] AS o FROM o),
+p AS (SELECT part, filter_order, step, o[step] AS i, n, good, toxic, fails[o[step]] AS fails_here, fails,
+        len(list_filter(o[1 : step - 1], lambda j: fails[j])) > 0 AS before FROM c, s),
+r AS (SELECT part, filter_order, step, i, CAST(coalesce(sum(n) FILTER (NOT before AND NOT fails_here), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT before AND fails_here), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (before AND fails_here), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails_here AND len(list_filter(fails, lambda z: z)) = 1), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(n) FILTER (NOT before AND fails_here AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (NOT before AND fails_here AND toxic), 0) AS BIGINT) AS toxic_lost
+      FROM p GROUP BY part, filter_order, step, i)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_distances(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -142,5 +194,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op3_warc_fixity": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op3_warc_fixity": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
