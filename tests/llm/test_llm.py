@@ -139,6 +139,23 @@ def test_substrings_match_brute_force(spark, window, minimiser, seed):
     assert got == brute_substrings(texts, window)
 
 
+def test_frequent_minimisers_rank_last(spark, monkeypatch):
+    """A phrase in every text: no bucket of its own, and the same removed words."""
+    monkeypatch.setattr(substrings, "FREQUENT", 20)
+    rng = random.Random(8)
+    texts = [" ".join([rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(30)] + "one two three four five".split() + [str(rng.randint(0, 10**6)) for _ in range(30)]) for _ in range(120)]
+    texts += texts[:15]
+    frequent = substrings.frequent_minimisers(docs(spark, texts).select("doc_id", "text"), 20, 5)
+    h = text.words(pa.array(texts, pa.large_string()), substrings._WORD, lower=False)
+    phrase = text.grams(text.words(pa.array(["one two three four five"], pa.large_string()), substrings._WORD, lower=False).hash, 5) >> np.uint64(1)
+    plain, spread = (substrings.super_kmers(h.hash, h.row, 20, 5, f)[2] for f in (None, frequent))
+    if (plain == phrase[0]).sum() >= 20:
+        assert phrase[0] in frequent
+    assert np.unique(spread, return_counts=True)[1].max() <= np.unique(plain, return_counts=True)[1].max()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs(spark, texts)).collect()}
+    assert got == brute_substrings(dict(enumerate(texts)), 20)
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substrings, "grams", lambda h, k: np.zeros(len(h) - k + 1, np.uint64))
     strings = [b"a b c d", b"a b c e", b"x a b c"]
@@ -219,7 +236,6 @@ def test_drop_toxic_keeps_columns_and_rows(spark):
 
 def test_encoder_equals_the_library():
     own, lib, rng = Encoder(BPE), Tokenizer.from_file(BPE), random.Random(2)
-    lib.encode_special_tokens = True
     parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "½", "_", " ", "ß", "日", "\x1d", "!", "ab", "<|endoftext|>", "́", "\r", " word", "?!\n", "\x85", "\xa0", "²", "ǆ", "’", "“", "—", "€", "'ll", "'D", "\u3000", "\x1c", "ª9", "'"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [t or "" for t in soup(3, 30)]
     want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
@@ -243,6 +259,8 @@ def test_grammar_compression_round_trip(seed):
 
 def test_files_hold_documents_in_order(spark, tmp_path):
     texts = dict(zip(random.Random(1).sample(range(10**6), 64), soup(5, 60), strict=True))
+    texts[4] = "a <|endoftext|> b<|endoftext|>"  # the library's token, not ordinary text
+    assert Tokenizer.from_file(BPE).encode(texts[4], add_special_tokens=False).ids.count(50256) == 2
     texts[3] = "!!" * 4000 + "! ! !"  # an id 0 inside a text
     repair.encode(docs(spark, texts), BPE, shard_tokens=700).write.parquet(str(tmp_path / "f"))
     files, lib = repair.read(spark, str(tmp_path / "f")), Tokenizer.from_file(BPE)
@@ -409,6 +427,14 @@ def test_long_expressions_take_linear_time():
     assert len(long) == 79_999
 
 
+def test_every_tag_of_a_line_counts(spark):
+    text = "SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only license-expression: (Apache-2.0 OR GPL-2.0-only)\nSPDX-License-Identifier:SPDX-License-Identifier: ISC"
+    found = licenses.scan_text(text.encode(), licenses.automaton(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES, licenses.TAGS))[2]
+    assert [(e["licences"], e["permissive"]) for e in found] == [(["mit"], True), (["gpl-2.0-only"], False), (["apache-2.0", "gpl-2.0-only"], True), ([], False), (["isc"], True)]
+    got = licenses.digest(licenses.scan(docs(spark, [text]))).first()
+    assert (got["labels"], got["n_expressions"]) == ("apache-2.0,gpl-2.0-only,isc,mit", 5)
+
+
 def test_scan_matches_brute_force(spark):
     rng = random.Random(4)
     phrases = [p.split() for p in licenses.BASE_PHRASES]

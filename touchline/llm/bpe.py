@@ -46,10 +46,12 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        # the library gives the strings of added tokens their own ids, special or not: texts that hold one are left to it
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or () if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         step, every = self.dtype.itemsize, np.arange(self.vocabulary, dtype=self.dtype).tobytes()
@@ -65,7 +67,7 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; no special tokens are added."""
-        cut = [None if not self.by_piece or _UNSURE.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [None if not self.by_piece or _UNSURE.search(t) or (self.added and self.added.search(t)) else _PIECE.findall(t) for t in texts]
         known, young, by_id = self.known, self.young, self.id_bytes
         batch: dict[str, bytes] = dict.fromkeys(set().union(*filter(None, cut)), b"")
         model, letters = self.tokenizer.model, self.letters

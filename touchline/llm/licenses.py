@@ -42,7 +42,9 @@ NOTICE_PHRASES = {
 }
 # Identifier tags; an expression follows.
 TAGS = ("spdx license identifier", "license expression")
-TAG_TEXT = re.compile(rb"(?:spdx-license-identifier|license-expression)\s*:\s*([^\r\n]*)", re.I)
+_TAG = r"(?:spdx-license-identifier|license-expression)\s*:"
+#: What stands behind a tag, up to the next tag or the end of the line.
+TAG_TEXT = re.compile(rf"{_TAG}\s*((?:(?!{_TAG})[^\r\n])*)".encode(), re.I)
 TOKEN = re.compile(rb"\(|\)|[A-Za-z0-9.+-]+")
 #: Binding strength: with over and over or.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
