@@ -1,11 +1,11 @@
 """Exact dedup by an extendible-hash index on shared files (native: DataFrame functions only).
 
-Every text has a 64-bit key hash. Equal texts are put together by their bytes (they are grouping keys), counted by task
-before the shuffle, so a text that a third of all rows hold reaches its place as one row per task. Each distinct text is
-an index entry. A directory of hash prefixes starts with one bucket and doubles while a bucket holds more entries than
-its capacity; only overfull buckets split, so a bucket is a range of keys. Entries are dealt to their buckets' owner
-tasks, which chain the entries of one key hash by slots and write the bucket's files. A document is looked up in the
-bucket that the directory names for its key, along the chain, by the digest of its bytes.
+Every text has a 64-bit key hash. A directory of hash prefixes starts with one bucket and doubles while a bucket holds more
+distinct keys than its capacity; only overfull buckets split, so a bucket is a range of keys. Rows are entered into the bucket
+that the directory names for their key: equal bytes of a bucket are one entry, counted by task before the shuffle, so a
+text that a third of all rows hold reaches its place as one row per task. Owner tasks, each of a range of buckets, chain the
+entries that share a key and write the buckets' files. A document is looked up in its bucket by its key: the chain there
+is a single entry, which is then its own, or has several, and their bytes are compared with its own.
 """
 
 from __future__ import annotations
@@ -70,22 +70,35 @@ def in_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
     return rows.withColumn("slot", prefix_bits(F.col("key"), depth)).join(F.broadcast(slots), "slot").drop("slot")
 
 
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
-    """The index (bucket, key, chain, text_sha256, keep_id, keep_key, group_size) and its directory. rows: doc_id, text_key, norm."""
-    entries = rows.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.max(F.struct("doc_id", "text_key")).alias("keep"), F.count("*").alias("group_size"))
-    entries = stored(entries.select("key", F.sha2("norm", 256).alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), "group_size"), "entries")
-    n = entries.count()
-    depth = depth_for(n, capacity)
-    capacity = max(capacity, math.ceil(n / (1 << MOST_DEPTH)))
-    counts = {r["p"]: r["n"] for r in entries.groupBy(prefix_bits(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n")).collect()}
-    slots, depth = slots_of(rows.sparkSession, directory(counts, capacity, depth))
-    owned = in_bucket(entries, slots, depth).repartition("bucket")
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")))
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64("norm"))
+
+
+def build_index(rows: DataFrame, capacity: int = CAPACITY, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The index (bucket, key, chain, links, text_sha256, keep_id, keep_key, group_size) and its directory.
+
+    rows: doc_id, text_key, norm; keys: their keys, where they are at hand. links: entries of the key's chain.
+    """
+    keys = keyed(rows).select("key") if keys is None else keys
+    depth = depth_for(rows.count(), capacity)
+    counts = {r["p"]: r["n"] for r in keys.distinct().groupBy(prefix_bits(F.col("key"), depth).alias("p")).agg(F.count("*").alias("n")).collect()}
+    slots, depth = slots_of(rows.sparkSession, directory(counts, max(capacity, math.ceil(sum(counts.values()) / (1 << MOST_DEPTH))), depth))
+    found = stored(entries(in_bucket(keyed(rows), slots, depth)).drop("norm"), "entries")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chain = Window.partitionBy("bucket", "key")
+    owned = found.repartitionByRange(n, "bucket")
+    chained = owned.withColumns({"chain": F.row_number().over(chain.orderBy("text_sha256")), "links": F.count("*").over(chain)})
     index = stored(chained.sortWithinPartitions("bucket", "key"), "exact-index")
-    discard(entries)
+    discard(found)
     return index, slots, depth
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """Of rows in their buckets, one entry for all of equal bytes: bucket, key, norm, text_sha256, keep_id, keep_key, group_size."""
+    made = rows.groupBy("bucket", "key", "norm").agg(F.max(F.struct("doc_id", "text_key")).alias("keep"), F.count("*").alias("group_size"))
+    return made.select("bucket", "key", "norm", F.sha2("norm", 256).alias("text_sha256"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_key").alias("keep_key"), "group_size")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_key: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id (largest doc_id of its group), group_size, kept, text_sha256.
 
@@ -96,11 +109,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Very long texts are taken whole. An empty table gives an empty result. with_key adds text_key.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), normalised(F.col(text_col)).alias("norm"))
-    index, slots, depth = build_index(rows, capacity)
-    members = rows.select("doc_id", "text_key", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
-    found = in_bucket(members, slots, depth).join(index.hint("merge"), ["bucket", "key", "text_sha256"])
+    members = stored(keyed(rows).drop("norm"), "exact-rows")
+    index, slots, depth = build_index(rows, capacity, members.select("key"))
+    held = index.drop("chain")
+    found = in_bucket(members, slots, depth).join(held.where("links = 1").hint("merge"), ["bucket", "key"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["text_key"] if with_key else []))
+    columns = ["doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["text_key"] if with_key else [])]
+    chains = index.where("links > 1").select("key").distinct()
+    if chains.isEmpty():
+        return found.select(columns)
+    # different texts of one 64-bit key, a rarity: these rows are read again, and their bytes decide
+    again = in_bucket(keyed(rows).join(chains.hint("merge"), "key", "left_semi"), slots, depth)
+    same = again.join(entries(again).hint("merge"), ["bucket", "key", "norm"])
+    return found.select(columns).unionByName(same.select(columns))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
