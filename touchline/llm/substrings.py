@@ -5,6 +5,10 @@ with the same minimiser form a super-k-mer and travel as one packed string of wo
 windows always meet in one bucket. There their words are numbered exactly, windows are sorted, and every window that is
 not the first of its kind (least document, then position) is reported as a span of removed words.
 
+A minimiser that many windows share would make one bucket long, so the most frequent ones, found in a bounded draw of the
+texts, rank behind all others: windows that have another gram go by that, and those that have none are much alike. Equal
+windows still have equal minimisers, whatever the draw finds.
+
 Before the shuffle each task keeps one copy of equal super-k-mers: of the others every window starts earlier in the
 first one, so their spans are known at once. A passage that a third of all documents hold so reaches its bucket as one
 string a task. Strings of one bucket and task are packed together, compressed. Spans that are already known travel
@@ -29,6 +33,8 @@ from touchline.llm.text import grams, mix, white_space_words, words
 WINDOW, MINIMISER = 20, 5
 #: Buckets by shuffle partition, and bytes of text after which a task hands over what it has packed.
 BUCKETS_BY_PARTITION, FLUSH_BYTES = 4, 24 << 20
+#: Bytes of text that are drawn to find frequent minimisers, how often one must occur there, and how many are set back at most.
+DRAWN_BYTES, FREQUENT, MOST_FREQUENT = 16 << 20, 64, 2000
 _WORD = white_space_words()
 SPANS = "doc_id bigint, first int, last int"
 
@@ -43,12 +49,17 @@ def _sliding_least(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def super_kmers(h: np.ndarray, row: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, end of windows, and minimiser of each super-k-mer, over word hashes h of rows."""
+def super_kmers(h: np.ndarray, row: np.ndarray, window: int, minimiser: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, end of windows, and minimiser of each super-k-mer, over word hashes h of rows. frequent: hashes, ascending,
+    of grams that rank behind all others."""
     n = len(h) - window + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    least = _sliding_least(grams(h, minimiser), window - minimiser + 1)
+    ranked = grams(h, minimiser) >> np.uint64(1)
+    if frequent is not None and len(frequent):
+        at = np.searchsorted(frequent, ranked)
+        ranked |= (frequent[np.minimum(at, len(frequent) - 1)] == ranked).astype(np.uint64) << np.uint64(63)
+    least = _sliding_least(ranked, window - minimiser + 1)
     whole = row[:n] == row[window - 1 :]
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1])))
     first = np.flatnonzero(new)
@@ -103,14 +114,29 @@ class _Packer:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "kind", "packed"])
 
 
-def pack(docs: DataFrame, buckets: int, window: int, minimiser: int) -> DataFrame:
+def frequent_minimisers(docs: DataFrame, window: int, minimiser: int) -> np.ndarray:
+    """Minimisers, ascending, that many super-k-mers of a bounded draw of the texts have. docs: doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=4 << 20):
+            w = words(batch.column(1), _WORD, lower=False)
+            key, n = np.unique(super_kmers(w.hash, w.row, window, minimiser)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["key", "n"])
+
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    drawn = docs.sample(min(1.0, DRAWN_BYTES / max(total, 1)), seed=5).mapInArrow(run, "key bigint, n bigint")
+    found = drawn.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["key"] for r in found.collect()], np.int64).astype(np.uint64))
+
+
+def pack(docs: DataFrame, buckets: int, window: int, minimiser: int, frequent: np.ndarray | None = None) -> DataFrame:
     """bucket, kind (0: strings with their places, 1: spans that are known), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets, window, TaskContext.get().partitionId() * 7919)
         for batch in slices(batches):
             w = words(batch.column(1), _WORD, lower=False)
-            begin, end, least = super_kmers(w.hash, w.row, window, minimiser)
+            begin, end, least = super_kmers(w.hash, w.row, window, minimiser, frequent)
             bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
             docs_, rows, data = batch.column(0).to_pylist(), w.row, w.data.tobytes()
             # single spaces between words: only then is a string a plain piece of the text
@@ -204,7 +230,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
         out = np.concatenate(known)
         return pa.table({"doc_id": out[:, 0], "first": out[:, 1].astype(np.int32), "last": out[:, 2].astype(np.int32)})
 
-    return pack(rows, buckets, window, minimiser).groupBy("bucket").applyInArrow(run, SPANS)
+    frequent = frequent_minimisers(rows, window, minimiser)
+    return pack(rows, buckets, window, minimiser, frequent).groupBy("bucket").applyInArrow(run, SPANS)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
