@@ -58,6 +58,41 @@ def manifest(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select("match_id", "identified", "exported", F.to_json(F.struct("match_id", "identified", "exported", "frames")).alias("document"))
 
 
+def manifest_frames(manifests: DataFrame) -> DataFrame:
+    """match_id, frame, predicted_bbox: the frames of nested manifests (match_id, frames), the last entry of a frame that repeats.
+
+    A null or empty list of frames has none; an entry without frame_index is left out.
+    """
+    rows = manifests.select("match_id", F.posexplode("frames").alias("at", "f")).where("f.frame_index IS NOT NULL")
+    last = rows.groupBy("match_id", F.col("f.frame_index").alias("frame")).agg(F.max_by(F.struct("f.predicted_bbox"), "at").alias("m"))
+    return last.select("match_id", "frame", "m.predicted_bbox")
+
+
+def exported_frames(images: DataFrame) -> DataFrame:
+    """images (match_id, image: a file name) with frame, the number in a name like frame_000012.jpg; other files are left out."""
+    number = F.regexp_extract("image", r"^frame_(\d+)(?:_.*)?\.jpg$", 1)
+    return images.withColumn("frame", F.when(number != "", number).cast("long")).where("frame IS NOT NULL")
+
+
+def import_tasks(images: DataFrame, manifests: DataFrame, root: str = "/data/labeling", width: float = 1920.0, height: float = 960.0) -> DataFrame:
+    """match_id, frame, image, task: one JSON task for each exported frame of a listing (match_id, image).
+
+    Every frame has a task, whether or not the match's manifest (match_id, frames) knows it; where that has a predicted box,
+    the box is the task's prediction, in percent of the picture. Frames of a manifest that weren't exported have no task.
+    """
+    rows = exported_frames(images).join(manifest_frames(manifests).hint("merge"), ["match_id", "frame"], "left")
+    box, pct = F.col("predicted_bbox"), lambda v, whole: F.round(v / whole * 100.0, 2)
+    value = F.struct(
+        pct(box[0], width).alias("x"), pct(box[1], height).alias("y"), pct(box[2] - box[0], width).alias("width"), pct(box[3] - box[1], height).alias("height"),
+        F.array(F.lit("ball")).alias("rectanglelabels"),
+    )
+    result = F.struct(F.lit("label").alias("from_name"), F.lit("image").alias("to_name"), F.lit("rectanglelabels").alias("type"), value.alias("value"))
+    predictions = F.when(box.isNotNull(), F.array(F.struct(F.lit("ball_detector").alias("model_version"), F.array(result).alias("result"))))
+    name = F.col("match_id").cast("string")
+    data = F.struct(F.concat_ws("/", F.lit(root), name, F.lit("frames"), "image").alias("image"), F.col("frame").alias("frame_index"), name.alias("match_name"))
+    return rows.select("match_id", "frame", "image", F.to_json(F.struct(data.alias("data"), predictions.alias("predictions"))).alias("task"))
+
+
 def labeled_pairs(frames: DataFrame, labels: DataFrame) -> DataFrame:
     """Frames (match_id, stem, ...) that have a label file, each once."""
     return frames.join(labels.select("match_id", "stem").distinct().hint("merge"), ["match_id", "stem"])

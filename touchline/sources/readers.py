@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.sources.schemas import CAMERA_ITEM, DETECTION_LINE, PROBE, TRACK_LINE, struct
+from touchline.sources.schemas import CAMERA_ITEM, DETECTION_LINE, MANIFEST, PROBE, TRACK_LINE, struct
 
 
 def to_v1_schema(lines: DataFrame, fps: float = 30.0) -> DataFrame:
@@ -73,6 +73,28 @@ def read_yolo_labels(spark: SparkSession, root: str) -> DataFrame:
     return yolo_rows(lines.withColumn("path", F.col("_metadata.file_path")))
 
 
+def read_arrays(spark: SparkSession, root: str, item: str, key_type: str = "string") -> DataFrame:
+    """match_id and the fields of item (DDL) of the arrays that writers.write_arrays() wrote, a row an element; a broken line fails the job."""
+    lines = spark.read.schema(f"value string, match_id {key_type}, block string").option("basePath", root).text(root)
+    element = F.regexp_replace(F.regexp_replace("value", r"^\[", ""), r"[,\]]$", "")
+    return lines.select("match_id", F.from_json(element, item, {"mode": "FAILFAST"}).alias("e")).select("match_id", "e.*")
+
+
+def read_manifests(spark: SparkSession, root: str, match_type: str = "string", files: str = "hard_frames.json") -> DataFrame:
+    """match_id, match_name, frames of root/match_id=*/hard_frames.json, each one nested document; a broken one fails the job."""
+    schema = struct(f"{MANIFEST}, match_id {match_type}")
+    files = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("basePath", root).option("pathGlobFilter", files)
+    return files.json(root).select("match_id", "match_name", "frames")
+
+
+def list_images(spark: SparkSession, root: str) -> DataFrame:
+    """match_id (as text), image (file name) of root/match_id=*/frames/*.jpg; the pictures are never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(root)
+    place = r"/match_id=([^/]+)/frames/([^/]+)$"
+    parts = F.regexp_extract("path", place, 1), F.regexp_extract("path", place, 2)
+    return files.select(parts[0].alias("match_id"), parts[1].alias("image")).where("match_id <> ''")
+
+
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path, size, mtime of files; their contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)

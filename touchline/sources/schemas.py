@@ -13,6 +13,7 @@ BALL = "struct<x:double,y:double,bbox:array<double>,confidence:double,track_id:b
 TRACK_LINE = f"frame bigint, ball {BALL}, status string, reason string, raw_det struct<bbox:array<double>,conf:double>"
 CAMERA_ITEM = "array<struct<yaw:double,pitch:double,fov:double>>"
 LEDGER = "path string, size bigint, mtime_ns bigint, ctime_ns bigint, ino bigint, dev bigint, processed_at timestamp, job_path string"
+MANIFEST = "match_name string, frames array<struct<frame_index:bigint,time_sec:double,predicted_bbox:array<double>>>"
 PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,duration:string>>, format struct<duration:string>"
 
 
