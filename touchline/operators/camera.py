@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.config import Camera
 from touchline.functions.geometry import angle_diff, pitch_of, wrap_deg_half_open, yaw_of
-from touchline.operators.detections import FRAME
+from touchline.operators.detections import FRAME, dealt
 
 PATH = "match_id bigint, frame bigint, yaw double, pitch double, speed double, lost_count bigint"
 
@@ -82,7 +82,7 @@ def camera_path(angles: DataFrame, cfg: Camera = Camera(), fps: float = 30.0) ->
         rows = list(_follow(g, cfg, fps)) or [(f, cfg.center_yaw, cfg.center_pitch, 0.0, i + 1) for i, f in enumerate(g["frame"])]
         return pd.DataFrame(rows, columns=["frame", "yaw", "pitch", "speed", "lost_count"]).assign(match_id=key[0])[["match_id", "frame", "yaw", "pitch", "speed", "lost_count"]]
 
-    path = angles.select(*FRAME, "yaw", "pitch").groupBy("match_id").applyInPandas(run, PATH)
+    path = dealt(angles.select(*FRAME, "yaw", "pitch"), "match_id").groupBy("match_id").applyInPandas(run, PATH)
     moving = cfg.fov_min + (cfg.fov_max - cfg.fov_min) * F.least(F.col("speed") / 5.0, F.lit(1.0))
     lost = F.lit(cfg.fov_max) if cfg.widen else F.when(F.col("lost_count") > cfg.coast, F.lit(cfg.fov)).otherwise(moving)
     return path.select(

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import Detection, FieldOfInterest
 from touchline.functions.geometry import iou, pitch_of, with_bbox_geometry, wrap_deg, yaw_of
 
 FRAME = ["match_id", "frame"]
+#: Tasks of a fold by core, at least: groups are unlike in length.
+TASKS_PER_CORE = 3
+
+
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """rows with each group of keys in one task, for a fold by group in Python.
+
+    A group's rows are few bytes but long work. The number of tasks is given, so adaptive execution doesn't merge them by bytes
+    as it merges other shuffles: at least TASKS_PER_CORE by core, and spark.sql.shuffle.partitions where that is more.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
 
 
 def detection_gate(dets: DataFrame, cfg: Detection = Detection()) -> DataFrame:
@@ -141,7 +154,7 @@ def nms(dets: DataFrame, max_iou: float = Detection.nms_iou) -> DataFrame:
 
     # frames are independent, so a long match is dealt out by blocks of frames
     blocks = dets.withColumn("__block", F.floor(F.col("frame") / 1024))
-    return blocks.groupBy("match_id", "__block").applyInPandas(by_match, blocks.schema).drop("__block")
+    return dealt(blocks, "match_id", "__block").groupBy("match_id", "__block").applyInPandas(by_match, blocks.schema).drop("__block")
 
 
 def centers_of(dets: DataFrame) -> DataFrame:

@@ -6,15 +6,15 @@ applyInPandas. Keys are sessions where a gap is long enough that no state crosse
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import BallSelection, ByteTrack, Stabilizer
-from touchline.operators.detections import FRAME
+from touchline.operators.detections import FRAME, dealt
 
 
 def frame_spine(rows: DataFrame, extra: int = 0, totals: DataFrame | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def sessions(rows: DataFrame, gap: int, when: Column | None = None) -> DataFrame
 
 
 #: Sessions that one call of a fold takes.
-SESSIONS = 64
+SESSIONS = 16
 STABLE = "match_id bigint, frame bigint, status string, reason string, x double, y double, confidence double, bbox array<double>, distance_px double, speed_px_s double"
 
 
@@ -57,7 +57,7 @@ def _stabilize(rows: pd.DataFrame, cfg: Stabilizer, fps: float) -> pd.DataFrame:
         if len(recent) < cfg.required:
             reason = "persistence"
         elif last is not None:
-            gap = float(np.sqrt((dx - x) * (dx - x) + (dy - y) * (dy - y)))
+            gap = float(math.sqrt((dx - x) * (dx - x) + (dy - y) * (dy - y)))
             rate = gap / ((frame - last) / fps)
             if gap > cfg.max_jump:
                 reason, distance = "jump", gap
@@ -87,8 +87,8 @@ def stabilize_rows(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float =
     rows = best.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}).select("match_id", "frame", "det_id", "x", "y", "x1", "y1", "x2", "y2", "confidence")
     rows = sessions(rows, cfg.max_gap) if cfg.window - 1 <= cfg.max_gap else rows.withColumn("session", F.lit(0))
     # a block of whole sessions at a time: the fold starts anew at each gap by itself
-    block = F.floor(F.col("session") / SESSIONS).alias("block")
-    return rows.groupBy("match_id", block).applyInPandas(lambda g: _stabilize(g, cfg, fps), STABLE)
+    rows = rows.withColumn("block", F.floor(F.col("session") / SESSIONS)).drop("session")
+    return dealt(rows, "match_id", "block").groupBy("match_id", "block").applyInPandas(lambda g: _stabilize(g, cfg, fps), STABLE)
 
 
 def stabilize_ball(best: DataFrame, cfg: Stabilizer = Stabilizer(), fps: float = 30.0, extra: int = 0, totals: DataFrame | None = None, stable: DataFrame | None = None) -> DataFrame:
@@ -121,105 +121,104 @@ def persistence_gate(best: DataFrame, cfg: Stabilizer = Stabilizer()) -> DataFra
     return best.withColumn("hits", F.count("*").over(order)).withColumn("persistent", F.col("hits") >= cfg.required)
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+def assign(cost: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, as many as the shorter side has: shortest augmenting paths."""
-    n, m = cost.shape
-    if 1 in (n, m):
-        at = int(cost.argmin())
-        return [(at // m, at % m)]
+    n, m = len(cost), len(cost[0])
     if n > m:
-        return sorted((r, c) for c, r in assign(cost.T))
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, int)
+        return sorted((r, c) for c, r in assign(list(zip(*cost, strict=True))))
+    if n == 1:
+        return [(0, min(range(m), key=cost[0].__getitem__))]
+    u, v, match, columns = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), range(1, m + 1)
     for i in range(1, n + 1):
         match[0], at = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        least, way, used = [math.inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
         while match[at]:
             used[at] = True
-            row = match[at]
-            slack = np.concatenate(([np.inf], cost[row - 1] - u[row] - v[1:]))
-            better = ~used & (slack < least)
-            least[better], way[better] = slack[better], at
-            free = np.where(used, np.inf, least)
-            to = int(free[1:].argmin()) + 1
-            step = free[to]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
+            row, to = match[at], 0
+            costs, base = cost[row - 1], u[row]
+            for j in columns:
+                if not used[j]:
+                    slack = costs[j - 1] - base - v[j]
+                    if slack < least[j]:
+                        least[j], way[j] = slack, at
+                    if not to or least[j] < least[to]:
+                        to = j
+            step = least[to]
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
             at = to
         while at:
             match[at], at = match[way[at]], way[at]
-    return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
+    return sorted((match[j] - 1, j - 1) for j in columns if match[j])
 
 
-class _Tracks:
-    """State of the live tracks as arrays: value and rate of centre x, centre y, area and aspect, with the shared covariances."""
+Box = tuple[float, float, float, float]
 
-    def __init__(self) -> None:
-        self.value, self.rate = np.empty((0, 4)), np.empty((0, 4))
-        self.cov = np.empty((0, 3))  # of value, of both, of rate: the same for the four parts
-        self.id, self.idle, self.streak = (np.empty(0, int) for _ in range(3))
-        self.conf = np.empty(0)
 
-    FIELDS = ("value", "rate", "cov", "id", "idle", "streak", "conf")
+def measured(box: Box) -> Box:
+    """Centre, area and aspect."""
+    x1, y1, x2, y2 = box
+    w, h = x2 - x1, y2 - y1
+    return x1 + w / 2, y1 + h / 2, w * h, w / (h + 1e-6)
 
-    def take(self, at: np.ndarray) -> None:
-        for f in self.FIELDS:
-            setattr(self, f, getattr(self, f)[at])
 
-    def predict(self) -> None:
-        self.rate[self.rate[:, 2] + self.value[:, 2] <= 0, 2] = 0.0
-        self.value = self.value + self.rate
-        a, b, c = self.cov.T
-        self.cov = np.stack((a + 2 * b + c + 1.0, b + c, c + 0.01), 1)
-        self.streak[self.idle > 0] = 0
-        self.idle += 1
+def box_iou(a: Box, b: Box) -> float:
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = wide * high if wide > 0 and high > 0 else 0.0
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both + 1e-6)
 
-    def update(self, at: int, box: np.ndarray, conf: float) -> None:
-        a, b, c = self.cov[at]
-        k, g = a / (a + 1.0), b / (a + 1.0)
-        gap = measured(box) - self.value[at]
-        self.value[at] += k * gap
-        self.rate[at] += g * gap
-        self.cov[at] = ((1 - k) * a, (1 - k) * b, c - g * b)
-        self.idle[at] = 0
-        self.streak[at] += 1
-        self.conf[at] = conf
-
-    def add(self, box: np.ndarray, conf: float, number: int) -> None:
-        new = {"value": [measured(box)], "rate": np.zeros((1, 4)), "cov": [[10.0, 0.0, 10000.0]], "id": [number], "idle": [0], "streak": [1], "conf": [conf]}
-        for f in self.FIELDS:
-            setattr(self, f, np.concatenate((getattr(self, f), new[f])))
-
-    def boxes(self) -> np.ndarray:
-        area, aspect = self.value[:, 2], self.value[:, 3]
-        w = np.sqrt(np.maximum(area * aspect, 1e-6))
-        h = area / (w + 1e-6)
-        x, y = self.value[:, 0], self.value[:, 1]
-        return np.stack((x - w / 2, y - h / 2, x + w / 2, y + h / 2), 1)
 
+class _Track:
+    """A live track: value and rate of centre x, centre y, area and aspect, with the covariances that the four parts share
+    (of value, of both, of rate). Frames have a few tracks, so plain numbers beat arrays by far."""
 
-def measured(box: np.ndarray) -> np.ndarray:
-    w, h = box[2] - box[0], box[3] - box[1]
-    return np.array([box[0] + w / 2, box[1] + h / 2, w * h, w / (h + 1e-6)])
+    __slots__ = ("conf", "cov", "id", "idle", "rate", "streak", "value")
 
+    def __init__(self, box: Box, conf: float, number: int) -> None:
+        self.value, self.rate, self.cov = measured(box), (0.0, 0.0, 0.0, 0.0), (10.0, 0.0, 10000.0)
+        self.id, self.idle, self.streak, self.conf = number, 0, 1, conf
 
-def box_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = (high - low).clip(min=0).prod(2)
-    size = lambda q: (q[:, 2] - q[:, 0]) * (q[:, 3] - q[:, 1])
-    return both / (size(a)[:, None] + size(b)[None, :] - both + 1e-6)
+    def predict(self) -> None:
+        (x, y, area, aspect), (dx, dy, da, dr), (a, b, c) = self.value, self.rate, self.cov
+        if da + area <= 0:
+            da = 0.0
+        self.rate, self.value = (dx, dy, da, dr), (x + dx, y + dy, area + da, aspect + dr)
+        self.cov = (a + 2 * b + c + 1.0, b + c, c + 0.01)
+        if self.idle > 0:
+            self.streak = 0
+        self.idle += 1
+
+    def update(self, box: Box, conf: float) -> None:
+        a, b, c = self.cov
+        k, g = a / (a + 1.0), b / (a + 1.0)
+        gap = [m - v for m, v in zip(measured(box), self.value, strict=True)]
+        self.value = tuple([v + k * e for v, e in zip(self.value, gap, strict=True)])
+        self.rate = tuple([d + g * e for d, e in zip(self.rate, gap, strict=True)])
+        self.cov = ((1 - k) * a, (1 - k) * b, c - g * b)
+        self.idle, self.conf = 0, conf
+        self.streak += 1
+
+    def box(self) -> Box:
+        x, y, area, aspect = self.value
+        w = math.sqrt(max(area * aspect, 1e-6))
+        h = area / (w + 1e-6)
+        return x - w / 2, y - h / 2, x + w / 2, y + h / 2
 
 
-def _matched(live: _Tracks, at: list[int], boxes: np.ndarray, conf: np.ndarray, cfg: ByteTrack) -> tuple[set[int], set[int]]:
-    """Update the tracks `at` by their boxes; the tracks and boxes that found each other."""
-    if not at or not len(boxes):
+def _matched(live: list[_Track], found: list[tuple[Box, float]], cfg: ByteTrack) -> tuple[set[int], set[int]]:
+    """Update tracks by the boxes they overlap; the places of the tracks and boxes that found each other."""
+    if not live or not found:
         return set(), set()
-    overlap = box_ious(live.boxes()[at], boxes)
-    pairs = [(at[r], c) for r, c in assign(1.0 - overlap) if overlap[r, c] >= cfg.match]
-    for t, c in pairs:
-        live.update(t, boxes[c], float(conf[c]))
-    return {t for t, _ in pairs}, {c for _, c in pairs}
+    places = [t.box() for t in live]
+    overlap = [[box_iou(p, b) for b, _ in found] for p in places]
+    pairs = [(r, c) for r, c in assign([[1.0 - x for x in row] for row in overlap]) if overlap[r][c] >= cfg.match]
+    for r, c in pairs:
+        live[r].update(*found[c])
+    return {r for r, _ in pairs}, {c for _, c in pairs}
 
 
 CANDIDATES = "match_id bigint, session int, frame bigint, track_id bigint, bbox array<double>, score double"
@@ -227,28 +226,29 @@ CANDIDATES = "match_id bigint, session int, frame bigint, track_id bigint, bbox
 
 def _bytetrack(rows: pd.DataFrame, cfg: ByteTrack) -> Iterator[tuple]:
     rows = rows.sort_values(["frame", "det_id"])
-    live, made = _Tracks(), 0
-    frames = {f: g[["x1", "y1", "x2", "y2", "confidence"]].to_numpy(float) for f, g in rows.groupby("frame")}
-    first, last = min(frames), max(frames)
-    nothing = np.empty((0, 5))
-    for frame in range(first, last + 1):
-        if not len(live.id) and frame not in frames:
+    frames: dict[int, list[tuple[Box, float]]] = {}
+    for frame, *box, conf in zip(*(rows[c].tolist() for c in ("frame", "x1", "y1", "x2", "y2", "confidence")), strict=True):
+        frames.setdefault(frame, []).append((tuple(map(float, box)), conf))
+    live: list[_Track] = []
+    made = 0
+    for frame in range(min(frames), max(frames) + 1):
+        if not live and frame not in frames:
             continue  # without live tracks an empty frame changes nothing
-        live.predict()
-        d = frames.get(frame, nothing)
-        high, low = d[d[:, 4] >= cfg.high], d[(d[:, 4] >= cfg.low) & (d[:, 4] < cfg.high)]
-        everyone = list(range(len(live.id)))
-        hit, used = _matched(live, everyone, high[:, :4], high[:, 4], cfg)
-        _matched(live, [i for i in everyone if i not in hit], low[:, :4], low[:, 4], cfg)
-        for i in range(len(high)):
-            if i not in used and high[i, 4] >= cfg.new:
+        for t in live:
+            t.predict()
+        found = frames.get(frame, ())
+        high, low = [d for d in found if d[1] >= cfg.high], [d for d in found if cfg.low <= d[1] < cfg.high]
+        hit, used = _matched(live, high, cfg)
+        _matched([t for i, t in enumerate(live) if i not in hit], low, cfg)
+        for i, (box, conf) in enumerate(high):
+            if i not in used and conf >= cfg.new:
                 made += 1
-                live.add(high[i, :4], float(high[i, 4]), made)
+                live.append(_Track(box, conf, made))
         # tracks seen in this frame come first, then the lost ones
-        live.take(np.concatenate((np.flatnonzero(live.idle == 0), np.flatnonzero((live.idle > 0) & (live.idle <= cfg.buffer)))).astype(int))
-        boxes = live.boxes()
-        for i in np.flatnonzero(live.idle == 0):
-            yield frame, int(live.id[i]), boxes[i].tolist(), 0.7 * live.conf[i] + 0.3 * min(live.streak[i] / 5.0, 1.0)
+        seen = [t for t in live if t.idle == 0]
+        live = seen + [t for t in live if 0 < t.idle <= cfg.buffer]
+        for t in seen:
+            yield frame, t.id, list(t.box()), 0.7 * t.conf + 0.3 * min(t.streak / 5.0, 1.0)
 
 
 def bytetrack(dets: DataFrame, cfg: ByteTrack = ByteTrack()) -> DataFrame:
@@ -264,7 +264,8 @@ def bytetrack(dets: DataFrame, cfg: ByteTrack = ByteTrack()) -> DataFrame:
         out = [(int(key[0]), int(session), *row) for session, part in g.groupby("session") for row in _bytetrack(part, cfg)]
         return pd.DataFrame(out, columns=["match_id", "session", "frame", "track_id", "bbox", "score"])
 
-    found = split.groupBy("match_id", F.floor(F.col("session") / SESSIONS).alias("block")).applyInPandas(run, CANDIDATES)
+    split = split.withColumn("block", F.floor(F.col("session") / SESSIONS))
+    found = dealt(split, "match_id", "block").groupBy("match_id", "block").applyInPandas(run, CANDIDATES)
     last = Window.partitionBy("match_id").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     made = found.groupBy("match_id", "session").agg(F.max("track_id").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(last), F.lit(0))).drop("n")
     return found.join(made.hint("merge"), ["match_id", "session"]).select("match_id", "frame", (F.col("track_id") + F.col("before")).alias("track_id"), "bbox", "score")
@@ -292,7 +293,7 @@ def _select(rows: pd.DataFrame, cfg: BallSelection) -> Iterator[tuple]:
                 continue
             cx, cy, near = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, 1.0
             if x is not None and (cfg.expiry is None or frame - at <= cfg.expiry):
-                moved = float(np.sqrt((cx - x) ** 2 + (cy - y) ** 2))
+                moved = float(math.sqrt((cx - x) ** 2 + (cy - y) ** 2))
                 if moved > cfg.max_displacement:
                     continue
                 near = max(0.0, 1.0 - moved / cfg.max_speed)
@@ -316,7 +317,7 @@ def select_ball(candidates: DataFrame, cfg: BallSelection = BallSelection()) ->
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_select(g, cfg)), columns=["frame", "x", "y", "bbox", "confidence", "track_id"]).assign(match_id=key[0])[["match_id", "frame", "x", "y", "bbox", "confidence", "track_id"]]
 
-    return rows.groupBy("match_id").applyInPandas(run, SELECTED)
+    return dealt(rows, "match_id").groupBy("match_id").applyInPandas(run, SELECTED)
 
 
 def legacy_tracks(dets: DataFrame, track: ByteTrack = ByteTrack(), ball: BallSelection = BallSelection()) -> DataFrame:
