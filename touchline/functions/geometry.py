@@ -56,8 +56,8 @@ def with_box_measurement(df: DataFrame) -> DataFrame:
 
 
 def box_from_measurement(cx: Column, cy: Column, area: Column, aspect: Column) -> list[Column]:
-    """x1, y1, x2, y2 of a measured box; negative areas and aspects count as 0."""
-    w = F.sqrt(F.greatest(area * aspect, F.lit(0.0)))
+    """x1, y1, x2, y2 of a measured box; area times aspect counts as EPS at least."""
+    w = F.sqrt(F.greatest(area * aspect, F.lit(EPS)))
     h = area / (w + EPS)
     return [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2]
 

@@ -20,10 +20,10 @@ def ball_velocity(rows: DataFrame, fps: float = 30.0, adjacent: bool = True) ->
     """
     order = Window.partitionBy("match_id").orderBy("frame")
     before = {k: F.lag(k).over(order) for k in ("x", "y", "frame")}
-    dt = F.lit(1.0 / fps) if adjacent else (F.col("frame") - F.col("p_frame")) / fps
+    per_second = lambda gone: gone * fps if adjacent else gone / ((F.col("frame") - F.col("p_frame")) / fps)
     both = F.col("x").isNotNull() & F.col("p_x").isNotNull()
     moved = rows.withColumns({f"p_{k}": v for k, v in before.items()})
-    rate = lambda k: F.when(both, (F.col(k) - F.col(f"p_{k}")) / dt).otherwise(0.0)
+    rate = lambda k: F.when(both, per_second(F.col(k) - F.col(f"p_{k}"))).otherwise(0.0)
     return moved.withColumns({"vx": rate("x"), "vy": rate("y")}).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).drop("p_x", "p_y", "p_frame")
 
 
@@ -48,17 +48,39 @@ def goal_box_events(rows: DataFrame, cfg: Highlights = Highlights(), width: floa
     return _event(rows.where(inside), "goal_box", F.lit(1.0), fps)
 
 
-def region_events(rows: DataFrame, regions: DataFrame, width: float = 1920.0, height: float = 960.0, most: int = 100_000) -> DataFrame:
-    """rows whose ball lies in any rectangle of a table (x1, y1, x2, y2): a semi join, broadcast if the table has at most `most` rows."""
-    cells = 16
-    x, y = F.col("x") / width, F.col("y") / height
-    if regions.count() <= most:
-        hit = regions.select(*(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))
-        return rows.join(F.broadcast(hit), x.between(F.col("r_x1"), F.col("r_x2")) & y.between(F.col("r_y1"), F.col("r_y2")), "left_semi")
-    # many rectangles: both sides meet in columns of a grid
-    spread = regions.select(*(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")), F.explode(F.sequence(F.floor(F.col("x1") * cells), F.floor(F.col("x2") * cells))).alias("r_cell"))
-    on = (F.floor(x * cells) == F.col("r_cell")) & x.between(F.col("r_x1"), F.col("r_x2")) & y.between(F.col("r_y1"), F.col("r_y2"))
-    return rows.join(spread.hint("merge"), on, "left_semi")
+#: Rectangles of a cell beyond which it is split among several tasks.
+CELL_RECTANGLES = 256
+
+
+def region_events(rows: DataFrame, regions: DataFrame, width: float = 1920.0, height: float = 960.0, most: int = CELL_RECTANGLES) -> DataFrame:
+    """rows whose ball lies in any rectangle of a table (x1, y1, x2, y2 of the unit square, ends included), once each.
+
+    Grids of 2**level cells an axis: a rectangle lies in the grid whose cells are just larger than it, so in four cells at
+    most. Distinct places look into their cell of each grid that is in use; all joins are by cell. The rectangles of a
+    cell that holds more than `most` are dealt out, and its places with them. Rectangles with a null or turned side hold nothing.
+    """
+    sides = {c: F.col(c).cast("double").alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")}
+    boxes = regions.select(*sides.values()).where("r_x1 <= r_x2 AND r_y1 <= r_y2").distinct()
+    longest = F.greatest(F.col("r_x2") - F.col("r_x1"), F.col("r_y2") - F.col("r_y1"), F.lit(2.0**-24))
+    boxes = boxes.withColumn("level", F.floor(-F.log2(longest)).cast("int"))
+    cell = lambda v: F.floor(v * F.pow(F.lit(2.0), F.col("level")))
+    span = lambda a, b: F.explode(F.sequence(cell(F.col(f"r_{a}")), cell(F.col(f"r_{b}"))))
+    boxes = boxes.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
+    cells = boxes.groupBy("level", "cx", "cy").agg(F.floor(F.count("*") / (most + 1)).cast("int").alias("shares"))
+    full = cells.where("shares > 0")
+    of_cell = ["level", "cx", "cy"]
+    boxes = boxes.join(full.hint("merge"), of_cell, "left").withColumn("share", F.pmod(F.hash("r_x1", "r_y1", "r_x2", "r_y2"), F.coalesce("shares", F.lit(0)) + 1)).drop("shares")
+    levels = [r["level"] for r in cells.select("level").distinct().collect()]  # some 30 at most, between the largest and least side
+    places = rows.select((F.col("x") / width).alias("px"), (F.col("y") / height).alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct()
+    looks = places.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    looks = looks.withColumns({"cx": cell(F.col("px")), "cy": cell(F.col("py"))}).join(full.hint("merge"), of_cell, "left")
+    looks = looks.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(0))))).drop("shares")
+    held = F.col("px").between(F.col("r_x1"), F.col("r_x2")) & F.col("py").between(F.col("r_y1"), F.col("r_y2"))
+    names = {c: f"b_{c}" for c in (*of_cell, "share")}
+    there = boxes.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(n) for c, n in names.items()))
+    hits = looks.join(there.hint("merge"), same & held, "left_semi").select("px", "py").distinct()
+    return rows.join(hits.hint("merge"), (F.col("x") / width == F.col("px")) & (F.col("y") / height == F.col("py")), "left_semi")
 
 
 def direction_events(velocity: DataFrame, cfg: Highlights = Highlights(), fps: float = 30.0) -> DataFrame:

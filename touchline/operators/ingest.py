@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -94,18 +95,85 @@ def normal_path(name: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
 
 
-def first_free(asked: DataFrame, taken: DataFrame, family: Callable[[Column], Column], numbered: Callable[[str, int], str], column: str) -> DataFrame:
+#: Rows of a group that are ranked by one task, and ranks of a group that meet their free numbers in one place.
+RANKED, BLOCK = 50_000, 256
+
+
+def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with rank (from 0) within key, by order: a long group is cut into bins of its first order column, which are
+    counted and then ranked apart, so no task orders a whole group. That column is a number or a time."""
+    by = F.col(order[0]).cast("double")
+    span = rows.groupBy(key).agg(F.min(by).alias("__lo"), F.max(by).alias("__hi"), F.ceil(F.count("*") / RANKED).alias("__bins"))
+    share = (by - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    place = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * F.col("__bins")), F.col("__bins") - 1)).otherwise(0)
+    marked = rows.join(span.hint("merge"), key).withColumn("__bin", place).drop("__lo", "__hi", "__bins")
+    sizes = marked.groupBy(key, "__bin").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__bin")) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy(key, "__bin").orderBy(*order)) - 1
+    return marked.join(before.hint("merge"), [key, "__bin"]).withColumn("rank", (F.col("__before") + within).cast("long")).drop("__bin", "__before")
+
+
+def free_numbers(asked: DataFrame, taken: DataFrame) -> DataFrame:
+    """asked (name, rank, ...) with number: the rank-th (from 0) of the numbers 0, 1, ... that taken (name, number) leaves to the name.
+
+    Sorted taken numbers leave intervals of ranks, each moved by the taken numbers below; intervals and ranks meet by blocks.
+    """
+    held = ranked(taken.select("name", "number").distinct(), "name", ["number"]).select("name", (F.col("number") - F.col("rank")).alias("low"), (F.col("rank") + 1).alias("shift"))
+    first = held.select("name").distinct().select("name", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("shift"))
+    steps = held.unionByName(first)
+    ends = steps.select("name", F.col("low").alias("high"), (F.col("shift") - 1).alias("shift"))
+    most = asked.groupBy("name").agg((F.max("rank") + 1).alias("n"))
+    spans = steps.join(ends.hint("merge"), ["name", "shift"], "left").join(most.hint("merge"), "name").withColumn("high", F.least(F.coalesce("high", "n"), F.col("n"))).where("low < high")
+    spans = spans.select("name", "low", "high", "shift", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK))).alias("block"))
+    rows = asked.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    inside = (rows["name"] == spans["name"]) & (rows["block"] == spans["block"]) & (rows["rank"] >= spans["low"]) & (rows["rank"] < spans["high"])
+    met = rows.join(spans.hint("merge"), inside, "left")
+    return met.select(*(rows[c] for c in asked.columns), (rows["rank"] + F.coalesce(spans["shift"], F.lit(0))).alias("number"))
+
+
+@dataclass(frozen=True)
+class Numbering:
+    """How names are numbered: family (the name without numbers), numbered (name, i), and both ways as columns:
+    with_number(name, i) for i of 1 or more, and without(name): the name it is a number of (null for none) and the number."""
+
+    family: Callable[[Column], Column]
+    numbered: Callable[[str, int], str]
+    with_number: Callable[[Column, Column], Column]
+    without: Callable[[Column], tuple[Column, Column]]
+
+
+def first_free(asked: DataFrame, taken: DataFrame, how: Numbering, column: str, hand_over: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """asked (name, arrival, ...) with column: the name if it is free at its arrival, else the first free numbered one.
 
-    taken: name. What an arrival takes isn't free for later ones. Names that differ only by their numbers form a family
-    and are dealt with in order of arrival; families don't touch each other. Rows of a family are read in one task, its
-    names (one short text a row) are held in memory.
+    taken: name. What an arrival takes isn't free for later ones. Names that differ only by their numbers form a family;
+    families don't touch each other. Where all of a family ask for one name, the i-th arrival meets the i-th free number, by
+    joins: any number of arrivals is dealt out to tasks. Where a family asks for several names, they may take each other's
+    numbers and are dealt with in order of arrival, in one task with its names (one short text a row) in memory. hand_over
+    writes a table and reads it back: names that several joins read are then made once.
     """
-    schema = asked.withColumn(column, F.lit(None).cast("string")).schema
+    asked, taken = hand_over(asked), hand_over(taken)
+    order = ["arrival", *(c for c in ("src",) if c in asked.columns)]
+    rows = asked.withColumn("family", how.family(F.col("name")))
+    held = taken.select("name").distinct()
+    crossing = rows.groupBy("family").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("family")
+    crossing = hand_over(crossing)
+    alone = rows.join(crossing.hint("merge"), "family", "left_anti").drop("family")
+    base, number = how.without(F.col("name"))
+    slots = held.select("name", F.lit(0).cast("long").alias("number")).unionByName(held.select(base.alias("name"), number.cast("long").alias("number")).where("name IS NOT NULL"))
+    slots = slots.join(alone.select("name").distinct().hint("merge"), "name", "left_semi")
+    placed = free_numbers(hand_over(ranked(alone, "name", order)), hand_over(slots))
+    got = F.when(F.col("number") == 0, F.col("name")).otherwise(how.with_number(F.col("name"), F.col("number")))
+    alone = placed.withColumn(column, got).select(*asked.columns, column)
+    mixed = rows.join(crossing.hint("merge"), "family", "left_semi")
+    return alone.unionByName(_in_order(mixed, held.withColumn("family", how.family(F.col("name"))), how.numbered, order, column).select(*asked.columns, column))
+
+
+def _in_order(asked: DataFrame, taken: DataFrame, numbered: Callable[[str, int], str], order: list[str], column: str) -> DataFrame:
+    schema = asked.drop("family").withColumn(column, F.lit(None).cast("string")).schema
 
     def run(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         used, at, out = set(held["name"]), {}, []
-        mine = mine.drop(columns="family").sort_values(["arrival", *(c for c in ("src",) if c in mine.columns)], kind="stable")
+        mine = mine.drop(columns="family").sort_values(order, kind="stable")
         for name in mine["name"]:
             got, i = name, at.get(name, 1)
             while got in used:
@@ -115,11 +183,10 @@ def first_free(asked: DataFrame, taken: DataFrame, family: Callable[[Column], Co
             out.append(got)
         return mine.assign(**{column: pd.Series(out, index=mine.index, dtype=object)})[schema.names]
 
-    groups = [df.withColumn("family", family(F.col("name"))).groupBy("family") for df in (asked, taken.select("name").distinct())]
-    return groups[0].cogroup(groups[1]).applyInPandas(run, schema)
+    return asked.groupBy("family").cogroup(taken.groupBy("family")).applyInPandas(run, schema)
 
 
-def archive_plan(arrivals: DataFrame, existing: DataFrame, cfg: Ingest = Ingest()) -> DataFrame:
+def archive_plan(arrivals: DataFrame, existing: DataFrame, cfg: Ingest = Ingest(), hand_over: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """arrivals (src, match, job_id, arrival) with dest, status (ok, skip or reject) and reason.
 
     A name is rejected if it is empty, absolute or leaves the archive; '.' and '..' inside it are resolved. If it is
@@ -135,8 +202,7 @@ def archive_plan(arrivals: DataFrame, existing: DataFrame, cfg: Ingest = Ingest(
     good = rows.where("reason IS NULL")
     taken = existing.select(normal_path(F.col("name")).alias("name")).distinct()
     if cfg.collision == "suffix":
-        base = lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - F.length(base_name(n))), F.regexp_replace(stem(base_name(n)), r"(_\d\d+)+$", ""), F.lit("/"), all_suffixes(base_name(n)))
-        done = first_free(good, taken, base, numbered_file, "dest").withColumn("status", F.lit("ok"))
+        done = first_free(good, taken, FILES, "dest", hand_over).withColumn("status", F.lit("ok"))
     else:
         ranked = good.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("arrival", "src")))
         there = ranked.join(taken.withColumn("held", F.lit(True)).hint("merge"), "name", "left")
@@ -157,12 +223,51 @@ def numbered_file(name: str, i: int) -> str:
     return f"{folder}/{base[:at]}_{i:02d}{base[at:]}" if folder else f"{base[:at]}_{i:02d}{base[at:]}"
 
 
+def _folder(name: Column) -> Column:
+    return F.substring(name, F.lit(1), F.length(name) - F.length(base_name(name)))
+
+
+def _number(text: Column, digits: str) -> Column:
+    """The number that a text ends in after '_', spelled as numbered names are, else null."""
+    found = F.regexp_extract(text, digits, 1)
+    return F.when(found != "", found.try_cast("long"))
+
+
+#: A name that ends in a dot has no suffixes, and its number follows the dot: such names are a family of their folder.
+_DOTTED = r"\.(_\d\d+)*$"
+
+
+def _file_family(name: Column) -> Column:
+    own = base_name(name)
+    return F.concat(_folder(name), F.when(own.rlike(_DOTTED), "//").otherwise(F.concat(F.regexp_replace(stem(own), r"(_\d\d+)+$", ""), F.lit("/"), all_suffixes(own))))
+
+
+def _file_without(name: Column) -> tuple[Column, Column]:
+    own = base_name(name)
+    dotted = own.rlike(r"\._\d\d+$")
+    head = F.when(dotted, own).otherwise(stem(own))
+    number = _number(head, r"_(0[1-9]|[1-9]\d+)$")
+    return F.when(number.isNotNull(), F.concat(_folder(name), F.regexp_replace(head, r"_\d+$", ""), F.when(dotted, "").otherwise(all_suffixes(own)))), number
+
+
+def _directory_without(name: Column) -> tuple[Column, Column]:
+    number = _number(name, r"_run([1-9]\d*)$")
+    return F.when(number.isNotNull(), F.regexp_replace(name, r"_run\d+$", "")), number
+
+
+FILES = Numbering(
+    _file_family, numbered_file,
+    lambda n, i: F.concat(_folder(n), stem(base_name(n)), F.format_string("_%02d", i), all_suffixes(base_name(n))), _file_without,
+)
+DIRECTORIES = Numbering(lambda n: F.regexp_replace(n, r"(_run\d+)+$", ""), lambda name, i: f"{name}_run{i}", lambda n, i: F.concat(n, F.lit("_run"), i.cast("string")), _directory_without)
+
+
 def _step(s: Column, part: Column) -> Column:
     """Depth below the archive after one part of a path, and the least depth so far."""
     at = s["at"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
     return F.struct(at.alias("at"), F.least(s["low"], at).alias("low"))
 
 
-def unique_directories(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+def unique_directories(wanted: DataFrame, existing: DataFrame, hand_over: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """wanted (name, arrival) with directory: the name, or the first name_runN that is free at its arrival."""
-    return first_free(wanted, existing, lambda n: F.regexp_replace(n, r"(_run\d+)+$", ""), lambda name, i: f"{name}_run{i}", "directory")
+    return first_free(wanted, existing, DIRECTORIES, "directory", hand_over)

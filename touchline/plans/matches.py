@@ -14,6 +14,7 @@ from touchline.operators.hardframes import labeling_candidates
 from touchline.operators.highlights import highlight_clips
 from touchline.operators.selection import select_for_labeling
 from touchline.operators.tracking import stabilize_ball, stabilize_rows, stabilizer_events
+from touchline.sources.writers import artifact_plan, overwrite_matches, run_summary, write_runs
 
 
 def run_matches(
@@ -45,6 +46,35 @@ def run_matches(
     }
 
 
+def pending(matches: DataFrame, runs: str) -> DataFrame:
+    """The matches that the runs table (a folder by match) doesn't hold."""
+    spark = matches.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(runs)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return matches
+    done = spark.read.schema(f"match_id {matches.schema['match_id'].dataType.simpleString()}").parquet(runs)
+    return matches.join(done.distinct().hint("merge"), "match_id", "left_anti")
+
+
+def save_tables(build: Callable[[DataFrame], dict[str, DataFrame]], matches: DataFrame, root: str) -> None:
+    """root/<table>/match_id=... of the matches that are not complete yet, then root/runs, which makes them complete.
+
+    build(matches) gives the tables of some matches. A run that is killed leaves tables without a row in runs; the next run
+    makes these matches anew and replaces what lies there, and leaves the complete ones alone, so each ends up once.
+    """
+    todo = pending(matches, f"{root}/runs")
+    if todo.isEmpty():
+        return
+    for name, df in build(todo).items():
+        overwrite_matches(df, f"{root}/{name}")
+    write_runs(run_summary(todo, artifact_plan(todo)), f"{root}/runs")
+
+
+def save_matches(dets: DataFrame, matches: DataFrame, root: str, **how) -> None:
+    """run_matches() into folders, restartable; how: its configurations and hand_over."""
+    save_tables(lambda todo: run_matches(dets.join(todo.select("match_id").hint("merge"), "match_id", "left_semi"), todo, **how), matches, root)
+
+
 def overview(tables: dict[str, DataFrame], matches: DataFrame) -> DataFrame:
     """match_id, mode and the number of rows of each table."""
     out = matches.select("match_id", "mode")
