@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.config import Ingest
@@ -129,7 +131,7 @@ def test_readers_round_trip(spark, tmp_path):
     assert [(r["stem"], r["cx"]) for r in readers.read_yolo_labels(spark, root).collect()] == [("frame_000001", 0.5)]
     assert readers.list_files(spark, root).count() == 5
     writers.write_documents(writers.documents_of(readers.read_camera_path(spark, root)), str(tmp_path / "out"))
-    writers.append_runs(writers.run_summary(spark.createDataFrame([("1", "normal")], "match_id string, mode string"), writers.artifact_plan(spark.createDataFrame([("1", "normal")], "match_id string, mode string"))), str(tmp_path / "runs"))
+    writers.write_runs(writers.run_summary(spark.createDataFrame([("1", "normal")], "match_id string, mode string"), writers.artifact_plan(spark.createDataFrame([("1", "normal")], "match_id string, mode string"))), str(tmp_path / "runs"))
     assert spark.read.parquet(str(tmp_path / "runs")).first()["n_artifacts"] == 5
 
 
@@ -199,3 +201,51 @@ def test_repeats_in_flight_count_once(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
     run_stream(without_repeats(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), tmp_path)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def plain_plan(names, existing, numbered):
+    used, out = set(existing), []
+    for name in names:
+        got, i = name, 1
+        while got in used:
+            got, i = numbered(name, i), i + 1
+        used.add(got)
+        out.append(got)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "ranked", "block"), [(1, 50_000, 256), (2, 7, 4), (3, 3, 1)])
+def test_one_name_meets_its_free_numbers_over_tasks(spark, monkeypatch, seed, ranked, block):
+    monkeypatch.setattr(ingest, "RANKED", ranked)
+    monkeypatch.setattr(ingest, "BLOCK", block)
+    rng = random.Random(seed)
+    names = [rng.choice(["m", "m", "m", "q/m", "lonely"]) for _ in range(120)]
+    existing = ["m_j.mp4", "m_j_1.mp4", "m_j_001.mp4", "m_j_00.mp4", "m_j_x.mp4", "other_01.mp4", "q/m_j_02.mp4"] + [f"m_j_{i:02d}.mp4" for i in rng.sample(range(1, 160), 60)]
+    got = [d for d, _, _ in plan(spark, names, existing)]
+    assert got == plain_plan([f"{n}_j.mp4" for n in names], existing, ingest.numbered_file)
+    wanted = spark.createDataFrame([("a", i) for i in range(40)], "name string, arrival bigint")
+    held = [("a_run3",), ("a_run03",), ("a_run0",), ("a_run4",), ("a_run9",)]
+    dirs = ingest.unique_directories(wanted, spark.createDataFrame(held, "name string")).orderBy("arrival").collect()
+    assert [r["directory"] for r in dirs] == plain_plan(["a"] * 40, [h for (h,) in held], lambda n, i: f"{n}_run{i}")
+
+
+def test_numbered_columns_equal_the_plain_form(spark):
+    names = ["a.mp4", "q/a.tar.gz", ".hid", "q/.hid.x", "dot.", "a_01.mp4", "no", "q.r/no", "a b.mov", "..x.y"]
+    df = spark.createDataFrame([(n, i) for n in names for i in (1, 9, 10, 123)], "name string, i bigint")
+    for r in df.select("name", "i", ingest.FILES.with_number(F.col("name"), F.col("i")).alias("got")).collect():
+        assert r["got"] == ingest.numbered_file(r["name"], r["i"])
+    back = df.select("name", "i", ingest.FILES.with_number(F.col("name"), F.col("i")).alias("made"))
+    for r in back.select("name", "i", *(c.alias(k) for k, c in zip(("base", "number"), ingest.FILES.without(F.col("made")), strict=True))).collect():
+        assert (r["base"], r["number"]) == (r["name"], r["i"])
+
+
+def test_arrivals_of_one_family_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "RANKED", 2000)
+    n = 20_000
+    rows = spark.range(n).select(F.concat(F.lit("/in/"), "id", F.lit(".mp4")).alias("src"), F.lit("m").alias("match"), F.lit("j").alias("job_id"), F.col("id").alias("arrival"))
+    taken = spark.createDataFrame([("m_j_02.mp4",)], "name string")
+    bins = ingest.ranked(rows.withColumn("name", F.lit("m")), "name", ["arrival", "src"])
+    assert bins.where("rank <> arrival").isEmpty()
+    got = ingest.archive_plan(rows, taken)
+    assert got.select("dest").distinct().count() == n and got.agg(F.max("dest")).first()[0] == "m_j_9999.mp4"
+    assert got.where("arrival = 2").first()["dest"] == "m_j_03.mp4"

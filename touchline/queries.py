@@ -14,8 +14,9 @@ from touchline.functions import naming
 from touchline.operators import camera, hardframes, highlights, ingest, render, selection, tracking
 from touchline.operators import detections as d
 from touchline.plans import inputs
-from touchline.plans.matches import overview, run_matches
+from touchline.plans.matches import overview, run_matches, save_tables
 from touchline.sources import readers, writers
+from touchline.streaming import ingest as ingest_streams
 from touchline.streaming.live import live_clips, live_stabilizer
 
 QUERIES: dict = {}
@@ -109,6 +110,12 @@ def detection_gate(spark, sf):
     return d.detection_gate(inputs.detections(spark, sf)).select("match_id", "frame", "det_id")
 
 
+@query(_sql("SELECT match_id, frame, det_id FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame ORDER BY confidence DESC, det_id) AS r FROM det WHERE class_id = 32 AND confidence >= 0.25e0) WHERE r <= 2"))
+def detection_gate_of_few(spark, sf):
+    """Frames hold more boxes than the gate lets through."""
+    return d.detection_gate(inputs.detections(spark, sf), Detection(max_per_frame=2)).select("match_id", "frame", "det_id")
+
+
 @query(_sql("SELECT match_id, frame, det_id FROM det WHERE frame % 3 = 0"))
 def sample_frames(spark, sf):
     return d.sample_frames(inputs.detections(spark, sf), 3).select("match_id", "frame", "det_id")
@@ -180,10 +187,18 @@ def pairwise_iou(spark, sf):
     return d.pairwise_iou(inputs.detections(spark, sf)).withColumn("iou", F.round("iou", 6))
 
 
-@query(_sql("SELECT match_id, frame, det_id FROM det WHERE NOT EXISTS (SELECT 1 FROM iou i WHERE i.match_id = det.match_id AND i.frame = det.frame AND i.iou > 0.001e0 AND det.det_id = CASE WHEN ca >= cb THEN b ELSE a END)", _IOU))
+_NMS = """rk AS (SELECT *, row_number() OVER (PARTITION BY match_id, frame ORDER BY confidence DESC, det_id) AS r FROM det),
+nm AS (SELECT match_id, frame, r, det_id, true AS stays, [{'a': x1, 'b': y1, 'c': x2, 'd': y2}] AS held FROM rk WHERE r = 1
+ UNION ALL SELECT match_id, frame, r, det_id, stays, CASE WHEN stays THEN list_append(held, {'a': x1, 'b': y1, 'c': x2, 'd': y2}) ELSE held END FROM (SELECT rk.*, nm.held, len(list_filter(nm.held, lambda k:
+   greatest(least(k.c, x2) - greatest(k.a, x1), 0.0e0) * greatest(least(k.d, y2) - greatest(k.b, y1), 0.0e0) / ((k.c - k.a) * (k.d - k.b) + (x2 - x1) * (y2 - y1)
+     - greatest(least(k.c, x2) - greatest(k.a, x1), 0.0e0) * greatest(least(k.d, y2) - greatest(k.b, y1), 0.0e0) + 1e-6) > 0.25e0)) = 0 AS stays
+   FROM nm JOIN rk ON rk.match_id = nm.match_id AND rk.frame = nm.frame AND rk.r = nm.r + 1))"""
+
+
+@query(_sql("SELECT match_id, frame, det_id FROM nm WHERE stays", _NMS, recursive=True))
 def nms(spark, sf):
-    """A frame holds two candidates at most here, so one comparison settles it."""
-    return d.nms(inputs.detections(spark, sf), 0.001).select("match_id", "frame", "det_id")
+    """Frames of many boxes have chains: a box that is suppressed suppresses none."""
+    return d.nms(inputs.detections(spark, sf), 0.25).select("match_id", "frame", "det_id")
 
 
 # ---- tracks
@@ -346,6 +361,32 @@ def highlight_clips(spark, sf):
     return found.select("match_id", "clip_id", _r("start_sec"), _r("end_sec"), _r("duration"), "event_count", F.array_join("event_types", ",").alias("event_types"))
 
 
+_NEXT = """vel AS (SELECT match_id, frame, x, y, vx, vy, sqrt(vx * vx + vy * vy) AS speed FROM (SELECT match_id, frame, x, y, coalesce((x - lag(x) OVER w) * 30.0e0, 0.0e0) AS vx, coalesce((y - lag(y) OVER w) * 30.0e0, 0.0e0) AS vy
+  FROM fr WINDOW w AS (PARTITION BY match_id ORDER BY frame)))"""
+_TO_NEXT = (*_TO_DENSE, _NEXT, _EV)
+
+
+def _next(spark: SparkSession, sf: str) -> DataFrame:
+    """The ball on every frame of the match, null where there is none: velocities are between frames that follow each other."""
+    return tracking.dense(_ball(spark, sf).select("match_id", "frame", "x", "y"))
+
+
+@query(_sql("SELECT match_id, frame, round(vx, 6) AS vx, round(vy, 6) AS vy, round(speed, 6) AS speed FROM vel", *_TO_NEXT))
+def ball_velocity_adjacent(spark, sf):
+    return highlights.ball_velocity(_next(spark, sf)).select("match_id", "frame", _r("vx"), _r("vy"), _r("speed"))
+
+
+@query(_sql("SELECT match_id, frame, type, round(value, 6) AS value FROM ev", *_TO_NEXT))
+def highlight_events_adjacent(spark, sf):
+    return highlights.highlight_events(_next(spark, sf)).select("match_id", "frame", "type", _r("value"))
+
+
+@query(ORACLE_SQL["highlight_clips"].replace(_VEL, f"{_SPINE}, {_DENSE}, {_NEXT}"))
+def highlight_clips_adjacent(spark, sf):
+    found = highlights.highlight_clips(_next(spark, sf))
+    return found.select("match_id", "clip_id", _r("start_sec"), _r("end_sec"), _r("duration"), "event_count", F.array_join("event_types", ",").alias("event_types"))
+
+
 # ---- hard frames and labeling
 
 _RUNS = "runs AS (SELECT match_id, frame, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS island FROM fr WHERE x IS NULL)"
@@ -461,6 +502,21 @@ def label_tasks(spark, sf):
     return selection.label_tasks(rows).drop("task")
 
 
+@query(_sql("""SELECT match_id, frame, 'frame_' || lpad(CAST(frame AS VARCHAR), 6, '0') || '.jpg' AS image, '{"data":{"image":"/data/labeling/' || match_id || '/frames/frame_' || lpad(CAST(frame AS VARCHAR), 6, '0') || '.jpg","frame_index":' || frame || ',"match_name":"' || match_id || '"}'
+  || CASE WHEN confidence < 0.5e0 AND frame % 3 <> 0 THEN ',"predictions":[{"model_version":"ball_detector","result":[{"from_name":"label","to_name":"image","type":"rectanglelabels","value":{"x":' || round(x1 / 1920.0e0 * 100.0e0, 2) || ',"y":' || round(y1 / 960.0e0 * 100.0e0, 2)
+  || ',"width":' || round((x2 - x1) / 1920.0e0 * 100.0e0, 2) || ',"height":' || round((y2 - y1) / 960.0e0 * 100.0e0, 2) || ',"rectanglelabels":["ball"]}}]}]' ELSE '' END || '}' AS task FROM best WHERE frame % 5 <> 0""", *_TO_BEST))
+def import_tasks(spark, sf):
+    """Manifests of the unsure frames, written and read as nested documents, some entries without a box; the listing of exported
+    frames has others too and lacks those whose export failed."""
+    best, path = _best(spark, sf), _folder(spark)
+    box = F.when(F.col("frame") % 3 != 0, F.array("x1", "y1", "x2", "y2"))
+    entries = best.where("confidence < 0.5").groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(F.col("frame").alias("frame_index"), box.alias("predicted_bbox")))).alias("frames"))
+    writers.write_manifests(entries.withColumn("match_name", F.col("match_id").cast("string")), path)
+    images = best.where("frame % 5 <> 0").select("match_id", naming.frame_file(F.col("frame")).alias("image"))
+    others = best.where("frame % 5 = 0").select("match_id", F.concat(F.lit("mask_"), F.col("frame").cast("string"), F.lit(".jpg")).alias("image"))
+    return selection.import_tasks(images.unionByName(others), readers.read_manifests(spark, path, "bigint", "part-*.json"))
+
+
 # ---- render plans
 
 _SEG = """seg AS (SELECT match_id, segment, start, stop, CASE WHEN segment > 0 THEN greatest(0, start - 15) ELSE start END AS warm_start FROM (
@@ -577,7 +633,19 @@ def archive_plan(spark, sf):
     path = F.when(e % 13 == 0, F.concat(match, F.lit("/../../x"))).when(e % 11 == 0, F.concat(F.lit("y/../"), match)).otherwise(match)
     rows = events.select("event_id", F.concat(F.lit("/in/f"), e.cast("string"), F.lit(".mp4")).alias("src"), path.alias("match"), F.concat(job, F.when(e % 7 == 0, "_01").otherwise("")).alias("job_id"), e.alias("arrival"))
     held = lambda every, end: events.where(e % every == 0).select(F.concat(match, F.lit("_"), job, F.lit(end)).alias("name"))
-    return ingest.archive_plan(rows, held(50, ".mp4").unionByName(held(75, "_02.mp4"))).select("event_id", "dest", "status", "reason")
+    return ingest.archive_plan(rows, held(50, ".mp4").unionByName(held(75, "_02.mp4")), hand_over=_written).select("event_id", "dest", "status", "reason")
+
+
+@query(f"""WITH a AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events), t AS (SELECT event_id % 4001 AS i FROM events WHERE event_id % 9 = 0 UNION SELECT event_id FROM events WHERE event_id % 2 = 0),
+ f AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT unnest(generate_series(0, (SELECT count(*) * 2 + 1 FROM events))) AS i EXCEPT SELECT i FROM t))
+ SELECT event_id, CASE WHEN i = 0 THEN 'final_cam.tar.gz' ELSE 'final_cam_' || {_NUMBERED} || '.tar.gz' END AS dest FROM a JOIN f USING (k)""")
+def archive_one_family(spark, sf):
+    """Every event is a file that asks for one and the same name, many of whose numbers are taken."""
+    events, name = inputs.events(spark, sf), lambda i: F.when(i == 0, "final_cam.tar.gz").otherwise(F.format_string("final_cam_%02d.tar.gz", i))
+    rows = events.select("event_id", F.concat(F.lit("/in/f"), F.col("event_id").cast("string"), F.lit(".tar.gz")).alias("src"), F.lit("final").alias("match"), F.lit("cam").alias("job_id"), F.col("event_id").alias("arrival"))
+    e = F.col("event_id")
+    held = events.where(e % 9 == 0).select(name(e % 4001).alias("name")).unionByName(events.where(e % 2 == 0).select(name(e).alias("name")))
+    return ingest.archive_plan(rows, held, hand_over=_written).select("event_id", "dest")
 
 
 @query("""WITH RECURSIVE a AS (SELECT event_id, 'job' || user_id AS fam, 'job' || user_id || CASE WHEN event_id % 5 = 0 THEN '_run1' ELSE '' END AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
@@ -590,7 +658,7 @@ def unique_directories(spark, sf):
     """Every event wants a directory of its user; every fifth asks for a numbered one, and one of each user exists."""
     events, job = inputs.events(spark, sf), F.concat(F.lit("job"), F.col("user_id").cast("string"))
     rows = events.select("event_id", F.concat(job, F.when(F.col("event_id") % 5 == 0, "_run1").otherwise("")).alias("name"), F.col("event_id").alias("arrival"))
-    return ingest.unique_directories(rows, events.select(F.concat(job, F.lit("_run2")).alias("name")).distinct()).select("event_id", "directory")
+    return ingest.unique_directories(rows, events.select(F.concat(job, F.lit("_run2")).alias("name")).distinct(), _written).select("event_id", "directory")
 
 
 @query("SELECT count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 7 <> 0) AS valid, count(*) FILTER (WHERE event_id % 10 = 0 OR event_id % 7 = 0) AS quarantined FROM events")
@@ -641,6 +709,14 @@ def read_camera_path(spark, sf):
     return readers.camera_frames(documents)
 
 
+@query(_sql("SELECT match_id, frame, x1, y1, confidence FROM best", *_TO_BEST))
+def array_documents(spark, sf):
+    """A JSON array for each match, written by several tasks and read again by line."""
+    path = _folder(spark)
+    writers.write_arrays(_best(spark, sf).select("match_id", "frame", "x1", "y1", "confidence"), path, per_file=400)
+    return readers.read_arrays(spark, path, "frame bigint, x1 double, y1 double, confidence double", "bigint")
+
+
 @query("SELECT user_id AS match_id, 1920 AS width, 960 AS height, 30000 / 1001.0e0 AS fps, CAST(count(*) AS DOUBLE) AS duration, CAST(round_even(30000 / 1001.0e0 * count(*), 0) AS BIGINT) AS total_frames, 'h264' AS codec FROM events GROUP BY user_id")
 def read_matches(spark, sf):
     """A probe document per user whose duration is the number of events."""
@@ -671,6 +747,21 @@ def run_all_matches(spark, sf):
     return overview(run_matches(rows, m, hand_over=_written), m)
 
 
+@query(_sql("SELECT match_id, mode, n_artifacts, n FROM (SELECT match_id, CASE WHEN match_id % 3 = 2 THEN 'no_detect' ELSE 'normal' END AS mode, CASE WHEN match_id % 3 = 2 THEN 1 ELSE 5 END AS n_artifacts FROM mat) JOIN (SELECT match_id, count(*) AS n FROM best GROUP BY match_id) USING (match_id)", _MAT, *_TO_BEST))
+def restarted_runs(spark, sf):
+    """Matches saved in three runs: the first does a third of them, the second leaves its tables half-way, the last does what is
+    left. Each match is complete once, with the rows of one run."""
+    rows, root = _best(spark, sf), _folder(spark)
+    m = inputs.matches(inputs.detections(spark, sf))
+    build = lambda todo: {"best": rows.join(todo.select("match_id").hint("merge"), "match_id", "left_semi")}
+    save_tables(build, m.where("match_id % 3 = 0"), root)
+    writers.overwrite_matches(build(m.where("match_id % 3 = 1"))["best"].where("frame % 2 = 0"), f"{root}/best")
+    save_tables(build, m, root)
+    saved = spark.read.schema("match_id bigint").parquet(f"{root}/best").groupBy("match_id").agg(F.count("*").alias("n"))
+    runs = spark.read.schema("mode string, n_artifacts bigint, match_id bigint").parquet(f"{root}/runs")
+    return runs.join(saved.hint("merge"), "match_id").select("match_id", "mode", "n_artifacts", "n")
+
+
 # ---- streaming
 
 
@@ -691,6 +782,70 @@ def live_stabilization(spark, sf):
     return out.select("match_id", "frame", "status", "reason", _r("x"))
 
 
+def _triggers(spark: SparkSession, parts: list[DataFrame], schema: str, start) -> str:
+    """The parts as a file stream, one trigger each: start(stream, path) is a writer. A folder for the stream's output."""
+    path = _folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(schema).parquet(f"{path}/in"), path).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+def _to_table(run):
+    def start(stream: DataFrame, path: str):
+        out = run(stream)
+        start.schema = out.schema
+        return out.writeStream.format("parquet").option("path", f"{path}/out")
+
+    return start
+
+
+_REORDERED = _DENSE.replace("LEFT JOIN best b", "LEFT JOIN (SELECT * FROM best JOIN (SELECT match_id, max(frame) AS newest FROM best GROUP BY match_id) USING (match_id) WHERE NOT (frame % 101 = 5 AND frame < newest - 1600)) b")
+
+
+@query(_sql("""SELECT match_id, frame, status, reason, round(CASE WHEN status = 'accepted' THEN ex END, 6) AS x FROM st WHERE frame >= 0
+ UNION ALL SELECT match_id, frame, 'late', NULL, NULL FROM best JOIN (SELECT match_id, max(frame) AS newest FROM best GROUP BY match_id) USING (match_id) WHERE frame % 101 = 5 AND frame < newest - 1600""", _BAND, _BEST, _SPINE, _REORDERED, _STAB, recursive=True))
+def live_reordered(spark, sf):
+    """Frames that come up to two triggers late are put in order; the few that come after all others are reported as late."""
+    rows = d.centers_of(_best(spark, sf)).select("match_id", "frame", "x", "y")
+    newest = rows.groupBy("match_id").agg(F.max("frame").alias("newest"))
+    last = (F.col("frame") % 101 == 5) & (F.col("frame") < F.col("newest") - 1600)
+    turn = F.when(last, 5).otherwise(F.floor(F.col("frame") * 4 / (F.col("newest") + 1)).cast("int") + F.when(F.col("frame") % 7 == 3, 1).otherwise(0))
+    placed = _written(rows.join(newest.hint("merge"), "match_id").select("match_id", "frame", "x", "y", F.timestamp_seconds(F.col("frame") / 30.0 + 86400).alias("time"), turn.alias("turn"), "newest"))
+    hold = 1 + placed.agg(F.max(F.ceil((F.col("newest") + 1) / 2))).first()[0]
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("match_id"), F.lit(0).cast("long").alias("frame"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.timestamp_seconds(F.lit(10**9)).alias("time"))
+    parts = [placed.where(F.col("turn") == k).drop("turn", "newest").repartition("match_id") for k in range(6)] + [end]
+    run = _to_table(lambda stream: live_stabilizer(stream, time="time", delay="1 day", hold=hold, late=True))
+    path = _triggers(spark, parts, "match_id bigint, frame bigint, x double, y double, time timestamp", run)
+    out = spark.read.schema(run.schema).parquet(f"{path}/out").where("match_id >= 0")
+    return out.select("match_id", "frame", "status", "reason", _r("x"))
+
+
+@query(ORACLE_SQL["stable_files"])
+def stable_file_stream(spark, sf):
+    """The polls of stable_files in three triggers; the state of a path is carried from one to the next."""
+    rows = inputs.snapshots(spark, sf)
+    parts = [rows.where(F.col("poll_no").between(a, b)).repartition("path") for a, b in ((1, 7), (8, 15), (16, 1 << 40))]
+    run = _to_table(lambda stream: ingest_streams.stable_stream(stream, Ingest(checks=2)))
+    path = _triggers(spark, parts, "path string, poll_no bigint, size bigint", run)
+    return spark.read.schema(run.schema).parquet(f"{path}/out")
+
+
+@query("""WITH f AS (SELECT user_id, event_id % 3 AS batch, CAST(floor(arg_max(value, event_id) / 100) AS BIGINT) AS size FROM events WHERE event_id % 7 <> 0 GROUP BY ALL)
+ SELECT '/in/m' || user_id || '.mp4' AS path, size, batch FROM (SELECT *, lag(size) OVER (PARTITION BY user_id ORDER BY batch) AS held FROM f) WHERE held IS NULL OR held <> size""")
+def processed_files(spark, sf):
+    """Files as three batches see them, dotfiles among them: those that are new or have changed since the ledger's last
+    version of their path are processed, once."""
+    e = F.col("event_id")
+    seen = inputs.events(spark, sf).groupBy("user_id", (e % 3).alias("batch"), (e % 7 == 0).alias("dot")).agg(F.floor(F.max_by("value", e) / 100).cast("long").alias("size"))
+    path = F.concat(F.lit("/in/"), F.when(F.col("dot"), ".").otherwise(""), F.lit("m"), F.col("user_id").cast("string"), F.lit(".mp4"))
+    rows = seen.select("batch", path.alias("path"), "size", F.lit(1).cast("long").alias("mtime_ns"))
+    process = ingest_streams.process_once(lambda files: files.select("path", "size"), ledger := _folder(spark))
+    parts = [rows.where(F.col("batch") == k).drop("batch") for k in range(3)]
+    _triggers(spark, parts, "path string, size bigint, mtime_ns bigint", lambda stream, _: stream.writeStream.foreachBatch(process))
+    return ingest_streams.read_results(spark, ledger, "path string, size bigint")
+
+
 @query(_sql("""SELECT match_id, round(greatest(0.0e0, a - 5), 3) AS start_sec, round(b + 3, 3) AS end_sec, event_count FROM (SELECT match_id, cluster, min(frame) / 30.0e0 AS a, max(frame) / 30.0e0 AS b, count(*) AS event_count FROM clu WHERE frame < 1000000000 GROUP BY match_id, cluster)""", *_TO_EV, _CLU))
 def live_highlight_clips(spark, sf):
     """Events as a stream; a last event far ahead lets the watermark pass all sessions."""
