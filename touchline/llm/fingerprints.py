@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import slices, small_batches, stored, tidy
 from touchline.llm.text import grams, mix, white_space_words, words
 
-#: Samples of a fingerprint, hexadecimal digits of a sample, words of a term, terms worked on at once.
+#: Samples of a fingerprint (two bytes each, four hexadecimal digits in a column), words of a term, terms worked on at once.
 SAMPLES, DIGITS, TERM_WORDS, CHUNK = 128, 4, 2, 1 << 15
 #: Bytes of text of a range of documents; beyond so many ranges they get longer (they are sorted by Spark and streamed).
 RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
@@ -109,34 +109,36 @@ def weighted_terms(texts: pa.LargeStringArray, size: int) -> tuple[np.ndarray, n
     return term[head], np.diff(np.append(head, len(term))), row[head]
 
 
-def signatures(texts: pa.LargeStringArray, samples: int, size: int) -> list[str]:
-    """A fingerprint per text: DIGITS hexadecimal digits a sample; empty for a text without words."""
+def signatures(texts: pa.LargeStringArray, samples: int, size: int) -> list[bytes]:
+    """A fingerprint per text: the low 16 bits of each sample; empty for a text without words."""
     term, weight, row = weighted_terms(texts, size)
-    out = [""] * len(texts)
+    out = [b""] * len(texts)
     head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
     ends, lo = np.append(head[1:], len(row)), 0
     while lo < len(head):
         hi = max(lo + 1, int(np.searchsorted(ends, head[lo] + CHUNK, side="right")))
         s = slice(int(head[lo]), int(ends[hi - 1]))
-        found = sampler(samples).least(term[s], weight[s], head[lo:hi] - head[lo])
-        digits = (found & np.uint32(16**DIGITS - 1)).astype(">u4").tobytes().hex()
+        found = sampler(samples).least(term[s], weight[s], head[lo:hi] - head[lo]).astype(">u2")
         for i, r in enumerate(row[head[lo:hi]].tolist()):
-            mine = digits[8 * samples * i : 8 * samples * (i + 1)]
-            out[r] = "".join([mine[k : k + DIGITS] for k in range(8 - DIGITS, len(mine), 8)])
+            out[r] = found[i].tobytes()
         lo = hi
     return out
 
 
-def alike(a: str, b: str) -> float:
+def alike(a: bytes, b: bytes) -> float:
     """Share of samples that two fingerprints have in common; two empty ones are alike, an empty one is like no other."""
     if not a or not b:
         return float(a == b)
-    x, y = (np.frombuffer(bytes.fromhex(s), ">u2") for s in (a, b))
+    x, y = np.frombuffer(a, ">u2"), np.frombuffer(b, ">u2")
     return float(np.count_nonzero(x == y)) / len(x)
 
 
+def as_digits(column: str) -> Column:
+    return F.lower(F.hex(column)).alias(column)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """alike() of two columns of fingerprints of equal length, in built-in functions."""
+    """alike() of two columns of fingerprints (hexadecimal digits) of equal length, in built-in functions."""
     places = F.sequence(F.lit(0), (F.length(a) / DIGITS).cast("int") - 1)
     same = F.size(F.filter(places, lambda i: F.substring(a, i * DIGITS + 1, F.lit(DIGITS)) == F.substring(b, i * DIGITS + 1, F.lit(DIGITS))))
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(same / (F.length(a) / DIGITS))
@@ -153,17 +155,18 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, size: int = TERM_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(batch.column(1), samples, size), pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(batch.column(1), samples, size), pa.binary())], names=["doc_id", "fingerprint"])
         tidy()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint binary")
+    return made.select("doc_id", as_digits("fingerprint"))
 
 
 FIELDS = (
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
     ("near_next", pa.float64()), ("range", pa.int32()), ("edge", pa.int32()), ("text", pa.string()),
 )
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, range int, edge int, text string"
+SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, range int, edge int, text string"
 #: edge: 0 a whole row, 1 the first document of a range with its text, 2 the last one, which hasn't met its next.
 WHOLE, FIRST, LAST = 0, 1, 2
 
@@ -174,11 +177,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def _edits(ids: list, texts: list[str], prints: list[str], following: list[str], next_prints: list[str], samples: int, size: int) -> dict[str, list]:
+def _edits(ids: list, texts: list[str], prints: list[bytes], following: list[str], next_prints: list[bytes], samples: int, size: int) -> dict[str, list]:
     new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     marks = signatures(pa.array(new, pa.large_string()), samples, size)
     return {
-        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new], "fingerprint": prints, "edited_fingerprint": marks,
+        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).digest() for t in new], "fingerprint": prints, "edited_fingerprint": marks,
         "near_edited": [alike(a, b) for a, b in zip(prints, marks, strict=True)], "near_next": [alike(a, b) for a, b in zip(prints, next_prints, strict=True)],
     }
 
@@ -235,5 +238,5 @@ def edit_distances(docs: DataFrame, samples: int = SAMPLES, size: int = TERM_WOR
         for batch in batches:
             yield _batch(_edits(*(c.to_pylist() for c in batch.columns), samples, size))
 
-    columns = [name for name, _ in FIELDS[:7]]
+    columns = [as_digits(name) if kind == pa.binary() else F.col(name) for name, kind in FIELDS[:7]]
     return found.where(F.col("edge") == WHOLE).select(columns).unionByName(met.mapInArrow(meet, SCHEMA).select(columns))
