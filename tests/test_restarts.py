@@ -345,3 +345,19 @@ def test_arrays_are_written_by_several_tasks(spark, tmp_path):
     (tmp_path / "out" / "match_id=1" / "block=000000099" / "part-0.txt").write_text("[{broken\n")
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         readers.read_arrays(spark, f"{tmp_path}/out", "frame bigint", "bigint").collect()
+
+
+# ---- percentiles by bins
+
+
+@pytest.mark.parametrize("bins", [1, 7, 1024])
+def test_percentile_by_bins_is_exact(spark, bins):
+    from touchline.operators.highlights import percentile_by_bins
+
+    rng = random.Random(bins)
+    groups = {1: [4.5], 2: [1.0, 1.0, 1.0], 3: [rng.random() ** 8 * 1e6 for _ in range(500)], 4: [float(rng.randint(0, 3)) for _ in range(301)], 5: [0.1, 1e9], 6: [5.0] * 40 + [1e-3]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(7, None), (3, None)], "k bigint, x double").repartition(3)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r["k"]: r["percentile"] for r in percentile_by_bins(rows, "k", "x", share, bins).collect()}
+        want = {r["k"]: r["p"] for r in rows.groupBy("k").agg(F.percentile("x", F.lit(share)).alias("p")).where("p IS NOT NULL").collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)

@@ -27,9 +27,34 @@ def ball_velocity(rows: DataFrame, fps: float = 30.0, adjacent: bool = True) ->
     return moved.withColumns({"vx": rate("x"), "vy": rate("y")}).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))).drop("p_x", "p_y", "p_frame")
 
 
-def speed_thresholds(velocity: DataFrame, cfg: Highlights = Highlights()) -> DataFrame:
-    """match_id, threshold: exact percentile of the speeds above 0."""
-    return velocity.where("speed > 0").groupBy("match_id").agg(F.percentile("speed", F.lit(cfg.percentile)).alias("threshold"))
+def percentile_by_bins(rows: DataFrame, key: str, value: str, share: float, bins: int = 1024) -> DataFrame:
+    """key, percentile: the exact percentile of the values of each key, between neighbours in proportion, as percentile() gives it.
+
+    No task holds the values of a key: they are counted in bins of equal width, a count a task and bin, and then only the
+    distinct values of the one or two bins that hold the wanted ranks are counted and ranked. Nulls don't count.
+    """
+    v = rows.select(key, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    span = v.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = v.join(span.hint("merge"), key).withColumn("bin", place).withColumn("at", (F.col("n") - 1) * F.lit(float(share)))
+    counts = binned.groupBy(key, "bin").agg(F.count("*").alias("m"), F.first("at").alias("at"))
+    before = counts.withColumn("before", F.sum("m").over(Window.partitionBy(key).orderBy("bin")) - F.col("m"))
+    wanted = before.where((F.col("before") <= F.ceil("at")) & (F.floor("at") < F.col("before") + F.col("m"))).select(key, "bin", "before")
+    kept = binned.join(wanted.hint("merge"), [key, "bin"]).groupBy(key, "bin", "before", "at", "v").agg(F.count("*").alias("m"))
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy(key, "bin").orderBy("v"))
+    ranked = kept.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("m"))
+    holds = lambda rank: F.max(F.when((F.col("since") <= rank) & (rank < F.col("upto")), F.col("v")))
+    ends = ranked.groupBy(key).agg(F.first("at").alias("at"), holds(F.floor("at")).alias("low"), holds(F.ceil("at")).alias("high"))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    return ends.select(key, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("percentile"))
+
+
+def speed_thresholds(velocity: DataFrame, cfg: Highlights = Highlights(), bins: int | None = None) -> DataFrame:
+    """match_id, threshold: exact percentile of the speeds above 0; with bins, without all distinct speeds of a match in one task."""
+    moving = velocity.where("speed > 0")
+    if bins:
+        return percentile_by_bins(moving, "match_id", "speed", cfg.percentile, bins).withColumnRenamed("percentile", "threshold")
+    return moving.groupBy("match_id").agg(F.percentile("speed", F.lit(cfg.percentile)).alias("threshold"))
 
 
 def _event(rows: DataFrame, kind: str, value: Column, fps: float) -> DataFrame:

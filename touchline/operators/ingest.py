@@ -95,8 +95,8 @@ def normal_path(name: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
 
 
-#: Rows of a group that are ranked by one task, and ranks of a group that meet their free numbers in one place.
-RANKED, BLOCK = 50_000, 256
+#: Rows of a group that one task takes in order, and ranks of a group that meet their free numbers in one place.
+RANKED, BLOCK = 5000, 256
 
 
 def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -146,26 +146,26 @@ def first_free(asked: DataFrame, taken: DataFrame, how: Numbering, column: str,
     """asked (name, arrival, ...) with column: the name if it is free at its arrival, else the first free numbered one.
 
     taken: name. What an arrival takes isn't free for later ones. Names that differ only by their numbers form a family;
-    families don't touch each other. Where all of a family ask for one name, the i-th arrival meets the i-th free number, by
-    joins: any number of arrivals is dealt out to tasks. Where a family asks for several names, they may take each other's
-    numbers and are dealt with in order of arrival, in one task with its names (one short text a row) in memory. hand_over
-    writes a table and reads it back: names that several joins read are then made once.
+    families don't touch each other. A family of up to RANKED arrivals is dealt with in order by one task, with its names in
+    memory. Of a larger one that asks for one name, the i-th arrival meets the i-th free number, by joins, so any number of
+    arrivals is dealt out to tasks; a larger one whose names may take each other's numbers stays with one task. hand_over
+    writes a table and reads it back: what several joins read is then made once.
     """
-    asked, taken = hand_over(asked), hand_over(taken)
     order = ["arrival", *(c for c in ("src",) if c in asked.columns)]
-    rows = asked.withColumn("family", how.family(F.col("name")))
-    held = taken.select("name").distinct()
-    crossing = rows.groupBy("family").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("family")
-    crossing = hand_over(crossing)
-    alone = rows.join(crossing.hint("merge"), "family", "left_anti").drop("family")
+    rows, held = hand_over(asked.withColumn("family", how.family(F.col("name")))), hand_over(taken.select("name").distinct())
+    sizes = rows.groupBy("family").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi"))
+    large = hand_over(sizes.where((F.col("n") > RANKED) & (F.col("lo") == F.col("hi"))).select("family"))
+    with_family = held.withColumn("family", how.family(F.col("name")))
+    if large.isEmpty():
+        return _in_order(rows, with_family, how.numbered, order, column).select(*asked.columns, column)
+    few = _in_order(rows.join(large.hint("merge"), "family", "left_anti"), with_family, how.numbered, order, column)
+    alone = rows.join(large.hint("merge"), "family", "left_semi").drop("family")
     base, number = how.without(F.col("name"))
     slots = held.select("name", F.lit(0).cast("long").alias("number")).unionByName(held.select(base.alias("name"), number.cast("long").alias("number")).where("name IS NOT NULL"))
     slots = slots.join(alone.select("name").distinct().hint("merge"), "name", "left_semi")
     placed = free_numbers(hand_over(ranked(alone, "name", order)), hand_over(slots))
     got = F.when(F.col("number") == 0, F.col("name")).otherwise(how.with_number(F.col("name"), F.col("number")))
-    alone = placed.withColumn(column, got).select(*asked.columns, column)
-    mixed = rows.join(crossing.hint("merge"), "family", "left_semi")
-    return alone.unionByName(_in_order(mixed, held.withColumn("family", how.family(F.col("name"))), how.numbered, order, column).select(*asked.columns, column))
+    return placed.withColumn(column, got).select(*asked.columns, column).unionByName(few.select(*asked.columns, column))
 
 
 def _in_order(asked: DataFrame, taken: DataFrame, numbered: Callable[[str, int], str], order: list[str], column: str) -> DataFrame:

@@ -332,6 +332,12 @@ def goal_box_events(spark, sf):
     return highlights.goal_box_events(_ball(spark, sf)).select("match_id", "frame")
 
 
+@query(_sql("SELECT match_id, round(quantile_cont(speed, 0.95), 6) AS threshold FROM vel WHERE speed > 0 GROUP BY match_id", *_TO_EV))
+def speed_thresholds_by_bins(spark, sf):
+    velocity = _written(highlights.ball_velocity(_ball(spark, sf), adjacent=False).select("match_id", "speed"))
+    return highlights.speed_thresholds(velocity, bins=256).withColumn("threshold", F.round("threshold", 6))
+
+
 @query(_sql("SELECT match_id, frame FROM ev WHERE type = 'goal_box'", *_TO_EV))
 def region_events(spark, sf):
     """The same rectangles as a table."""
@@ -473,6 +479,15 @@ def labeling_manifest(spark, sf):
     return selection.manifest(selection.select_for_labeling(found, Labeling(cap=120)), found).select("match_id", "identified", "exported")
 
 
+@query(_sql("""SELECT match_id, '{"match_id":' || match_id || ',"identified":' || identified || ',"exported":' || coalesce(exported, 0) || coalesce(',"frames":[' || frames || ']', '') || '}' AS document
+ FROM (SELECT match_id, count(*) AS identified FROM cnd GROUP BY 1) LEFT JOIN (SELECT match_id, count(*) AS exported,
+  string_agg('{"frame":' || frame || ',"image":"frame_' || lpad(CAST(frame AS VARCHAR), 6, '0') || '.jpg","triggers":["' || replace(triggers, ',', '","') || '"]}', ',' ORDER BY frame) AS frames
+  FROM pick JOIN cnd USING (match_id, frame) GROUP BY 1) USING (match_id)""", *_TO_STAB, _CAND, _PICK, recursive=True))
+def manifest_documents(spark, sf):
+    found = _written(_candidates(spark, sf).select("match_id", "frame", "triggers"))
+    return selection.manifest(selection.select_for_labeling(found, Labeling(cap=120)), found).select("match_id", "document")
+
+
 @query(_sql("SELECT match_id, frame FROM (SELECT match_id, frame, row_number() OVER (PARTITION BY match_id ORDER BY frame) - 1 AS r, count(*) OVER (PARTITION BY match_id) AS n FROM best) WHERE r IN (SELECT ((2 * i + 1) * n) // 74 FROM generate_series(0, 36) s(i))", *_TO_BEST))
 def evenly_sample(spark, sf):
     return selection.evenly_sample(_best(spark, sf).select("match_id", "frame"), 37)
@@ -534,6 +549,16 @@ def render_plan(spark, sf):
     return render.render_plan(camera.static_camera_path(m), render.render_segments(m)).withColumn("vfov", F.round("vfov", 6))
 
 
+@query(_sql("""SELECT match_id, segment, frame, frame < start AS warm_up, CAST((greatest(frame, start) * 7 + match_id) % 360 - 180 AS DOUBLE) AS yaw, CAST(-(greatest(frame, start) % 31) AS DOUBLE) AS pitch, CAST(60 + greatest(frame, start) % 41 AS DOUBLE) AS fov,
+  round(degrees(2 * atan(tan(radians(CAST(60 + greatest(frame, start) % 41 AS DOUBLE)) / 2) * (1080 / 1920.0e0))), 6) AS vfov FROM (SELECT *, CAST(unnest(generate_series(warm_start, stop - 1)) AS BIGINT) AS frame FROM seg)""", _MAT, _SEG))
+def render_plan_moving(spark, sf):
+    """A camera that moves at every frame: warm-up frames look where their segment starts."""
+    m = inputs.matches(inputs.detections(spark, sf))
+    f = F.col("frame")
+    path = camera.static_camera_path(m).select("match_id", "frame", ((f * 7 + F.col("match_id")) % 360 - 180).cast("double").alias("yaw"), (-(f % 31)).cast("double").alias("pitch"), (60 + f % 41).cast("double").alias("fov"))
+    return render.render_plan(path, render.render_segments(m)).withColumn("vfov", F.round("vfov", 6))
+
+
 @query(_sql("SELECT match_id, segment, count(*) AS frames, max(fov) AS fov, round(max(degrees(2 * atan(tan(radians(fov) / 2) * (1080 / 1920.0e0)))), 6) AS vfov FROM (SELECT match_id, segment, 120.0e0 AS fov, unnest(generate_series(warm_start, stop - 1)) AS frame FROM seg) GROUP BY match_id, segment", _MAT, _SEG))
 def tactical_plan(spark, sf):
     plan = render.tactical_plan(inputs.matches(inputs.detections(spark, sf)))
@@ -582,6 +607,16 @@ def stable_files(spark, sf):
     return ingest.stable_files(inputs.snapshots(spark, sf), Ingest(checks=2))
 
 
+@query("""SELECT event_id, CASE WHEN mtime_ns >= 0 THEN 'size=' || size || ',mtime_ns=' || mtime_ns || CASE WHEN ino > 0 THEN ',ino=' || ino ELSE '' END || CASE WHEN dev > 0 THEN ',dev=' || dev ELSE '' END END AS fp_key,
+  CASE WHEN mtime_ns >= 0 AND ctime_ns > 0 THEN ctime_ns END AS ctime_ns, CASE WHEN mtime_ns >= 0 AND ino > 0 THEN ino END AS ino, CASE WHEN mtime_ns >= 0 AND dev > 0 THEN dev END AS dev
+ FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS size, event_id % 4 - 1 AS mtime_ns, event_id % 3 AS ctime_ns, event_id % 5 - 1 AS ino, event_id % 2 AS dev FROM events)""")
+def file_fingerprints(spark, sf):
+    """Fingerprints with change times, inodes and devices, some of them missing, some times invalid."""
+    e = F.col("event_id")
+    rows = inputs.events(spark, sf).select(e, F.floor("value").cast("long").alias("size"), (e % 4 - 1).alias("mtime_ns"), (e % 3).alias("ctime_ns"), (e % 5 - 1).alias("ino"), (e % 2).alias("dev"))
+    return ingest.with_fingerprint(rows).select("event_id", "fp_key", "fp.ctime_ns", "fp.ino", "fp.dev")
+
+
 @query(f"WITH {_FILES} SELECT event_id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.event_id % 4 = 0 AND g.path = f.path AND g.size = f.size AND g.mtime_ns = f.mtime_ns)")
 def unprocessed(spark, sf):
     """Each fourth event has been processed."""
@@ -739,6 +774,16 @@ def run_summary(spark, sf):
     return writers.run_summary(m, writers.artifact_plan(m)).select("match_id", "mode", "n_artifacts")
 
 
+@query(_sql("""SELECT match_id, mode, n_artifacts, artifacts, '{"fps":30.0,"version":1}' AS config_json FROM (SELECT match_id, CASE WHEN match_id % 3 = 2 THEN 'no_detect' ELSE 'normal' END AS mode, CASE WHEN match_id % 3 = 2 THEN 1 ELSE 5 END AS n_artifacts,
+  CASE WHEN match_id % 3 = 2 THEN 'camera_path.json' ELSE 'ffprobe_meta.json,detections.jsonl,tracks.json,camera_path.json,foi_meta.json' END AS artifacts FROM mat)""", _MAT))
+def run_documents(spark, sf):
+    """The runs table with its lists of artifacts and the configuration, written by match and read again."""
+    m, path = inputs.matches(inputs.detections(spark, sf)), _folder(spark)
+    writers.write_runs(writers.run_summary(m, writers.artifact_plan(m), '{"fps":30.0,"version":1}'), path)
+    back = spark.read.schema("mode string, n_artifacts bigint, artifacts array<string>, config_json string, match_id bigint").parquet(path)
+    return back.select("match_id", "mode", "n_artifacts", F.array_join("artifacts", ",").alias("artifacts"), "config_json")
+
+
 @query()
 def run_all_matches(spark, sf):
     """All matches end to end: rows of each table by match."""
