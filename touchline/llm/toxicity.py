@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from touchline.llm.common import slices, tidy
 from touchline.llm.labelled import FIT_ROWS, fit_sample, logistic
 
-# Words of the closed classes (English, French, German, Spanish).
+# Chosen words of the closed classes (English, French, German, Spanish): a starting lexicon, not values to match.
 THREATS = "kill hurt destroy shoot stab burn crush smash tuer tuerai töten umbringen matar matare".split()
 TARGETS = "you your youre u he she they him her them tu toi vous du dich dir ihr tú te usted ustedes".split()
 NEGATIONS = "not no never isnt arent wasnt dont doesnt cannot ne pas jamais nicht kein keine nie nunca jamás".split()
 REPORTS = "said says wrote called calls quoted claims reported according dit sagte dijo laut selon según".split()
-# Insults that are known beforehand.
+# Chosen insults that are known before labels are seen.
 INSULTS = "idiot moron stupid clown loser trash scum pathetic disgusting worthless".split()
 CLAUSE_END = ".!?;:"
 STRIP = ".,!?;:\"'()[]{}*&%$#|-_<>«»“”‘’"
@@ -35,10 +35,9 @@ STRIP = ".,!?;:\"'()[]{}*&%$#|-_<>«»“”‘’"
 INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
 #: Weight of a known insult before labels are seen, factors of the clause grammar, reach of a negation in words.
 PRIOR, BY_TARGET, NEGATED, REPORTED, REACH = 3.0, 1.5, 0.3, 0.5, 3
-#: Stems are prefixes of these lengths. A stem needs so many toxic texts, and so large a share of toxic ones.
-STEM, SUPPORT, SHARE = range(3, 8), 4, 0.6
-#: Stems kept at most, by evidence: a limit of the model's size.
-MAX_STEMS = 2000
+#: Stems are prefixes of these lengths. A stem needs so many different toxic texts, and so large a share of toxic ones; all
+#: that the bounded sample has are kept.
+STEM, SUPPORT, SHARE = range(3, 13), 4, 0.6
 #: Words whose class a worker remembers before it forgets them all.
 MEMO = 100_000
 
@@ -160,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = F
     """Fit on at most limit labelled rows outside of the held-out fold; stems, and two numbers a row, reach the driver."""
     sample = fit_sample(docs, labels, label, limit)
     toxic, clean = (sum(r["n"] for r in rows if r["label"] == k) for rows in [sample.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()] for k in (1, 0))
-    odds = F.col("t") * F.col("t") / F.col("n")
-    counted = count_stems(sample).where((F.col("t") >= SUPPORT) & (F.col("t") >= SHARE * F.col("n"))).orderBy(odds.desc(), "stem").limit(MAX_STEMS).collect()
+    counted = count_stems(sample.select("text", "label").distinct()).where((F.col("t") >= SUPPORT) & (F.col("t") >= SHARE * F.col("n"))).collect()
     grammar = Grammar(choose_stems([tuple(r) for r in counted], toxic, clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
