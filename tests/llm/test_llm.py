@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from touchline.llm import decontam, exact, jaccard, labelled, licenses, packing, quality, queries, repair, substrings, text, toxicity, warc
+from touchline.llm import bpe, decontam, exact, jaccard, labelled, licenses, packing, quality, queries, repair, substrings, text, toxicity, warc
 from touchline.llm.bpe import Encoder
 from touchline.llm.graph import components
 
@@ -247,6 +247,30 @@ def test_encoder_equals_the_library():
     assert own.known and own.encode("").tolist() == []
 
 
+def test_pieces_are_cut_as_the_library_cuts_them():
+    lib, rng = Tokenizer.from_file(BPE), random.Random(5)
+    parts = ["'re", "'s", "'", "'ve", "'l", "l", " ", "  ", "\n", "\xa0", "\x85", "é", "ß9", "½", "_", "a", "B", "’", "“", "€", "!", "e"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    data, at = bpe._bytes_of(pa.array(texts, pa.large_string()))
+    begin = set(bpe.piece_starts(data, bpe.classes_of(data), at).tolist())
+    for first, text in zip(at[:-1].tolist(), texts, strict=True):
+        # the library's own cuts, as code points
+        cuts = [len(text[:a].encode()) for _, (a, _) in lib.pre_tokenizer.pre_tokenize_str(text)]
+        assert sorted(b - first for b in begin if first <= b < first + len(text.encode())) == cuts, text
+
+
+def test_many_texts_are_encoded_without_work_by_piece():
+    """Known pieces take no Python step each: a batch of 20,000 copies asks the library for its distinct pieces alone."""
+    own = Encoder(BPE)
+    text = " ".join(f"wort{i % 7} Straße, it's 9½ €" for i in range(20))
+    found = own.encode_many(pa.array([text] * 20_000, pa.large_string()))
+    assert len(own.known) < 30 and len({x.tobytes() for x in found}) == 1
+    bpe._encoders["x"] = own
+    bpe.forget()
+    del bpe._encoders["x"]
+    assert not own.known
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_compression_round_trip(seed):
     rng = np.random.default_rng(seed)

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.bpe import encoder, without_collection
-from touchline.llm.common import slices
+from touchline.llm.bpe import SLICE, encoder, forget, without_collection
+from touchline.llm.common import slices, tidy
 
 END = 0
 #: Ids of a shard (one longer document has a shard of its own).
@@ -128,6 +128,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_collection():
             yield from shards(batches)
+        tidy()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, shard = encoder(path), TaskContext.get().partitionId(), 0
@@ -138,8 +139,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             row = _shard(part, shard, code.vocabulary, doc_ids, ids)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in slices(batches):
-            for doc, found in zip(batch.column(0).to_pylist(), code.encode_many(batch.column(1).to_pylist()), strict=True):
+        for batch in slices(batches, size=SLICE):
+            for doc, found in zip(batch.column(0).to_pylist(), code.encode_many(batch.column(1)), strict=True):
                 x = np.concatenate((found, end))
                 if size and size + len(x) > shard_tokens:
                     yield close()
@@ -187,6 +188,8 @@ def documents(shards: DataFrame, ids: bool = False) -> DataFrame:
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
+        forget()
+        tidy()
 
     placed = shards.join(starts(shards).hint("merge"), ["part", "shard"]).select("base", "doc_ids", "doc_tokens", "rules", "symbols", "start")
     out = placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>")
