@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,28 +134,28 @@ def pairwise_iou(dets: DataFrame) -> DataFrame:
     return pairs.select(*FRAME, F.col("det_id_a").alias("a"), F.col("det_id_b").alias("b"), iou(box("a"), box("b")).alias("iou"))
 
 
-def nms(dets: DataFrame, max_iou: float = Detection.nms_iou) -> DataFrame:
-    """Greedy suppression in each frame: by falling confidence (then det_id) a box stays unless it overlaps a kept one by more."""
+def kept_boxes(rows: pd.DataFrame, max_iou: float) -> pd.DataFrame:
+    """nms() of the rows of some frames of a match, in all frames at once."""
+    rows = rows[rows["frame"].notna()].sort_values(["frame", "confidence", "det_id"], ascending=[True, False, True])
+    frame, box = rows["frame"].to_numpy(), rows[["x1", "y1", "x2", "y2"]].to_numpy()
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    stays, left = np.zeros(len(rows), bool), np.arange(len(rows))
+    while len(left):
+        # the first box left of each frame stays, and the boxes it suppresses leave, in all frames at once
+        first = np.concatenate(([True], frame[left][1:] != frame[left][:-1]))
+        head = left[first][first.cumsum() - 1]
+        stays[left[first]] = True
+        w = (np.minimum(box[head, 2], box[left, 2]) - np.maximum(box[head, 0], box[left, 0])).clip(min=0)
+        h = (np.minimum(box[head, 3], box[left, 3]) - np.maximum(box[head, 1], box[left, 1])).clip(min=0)
+        left = left[~first & ~(w * h / (size[head] + size[left] - w * h + 1e-6) > max_iou)]
+    return rows[stays]
 
-    def keep(frames: pd.DataFrame) -> pd.DataFrame:
-        rows = frames.sort_values(["confidence", "det_id"], ascending=[False, True])
-        box = rows[["x1", "y1", "x2", "y2"]].to_numpy()
-        size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        kept: list[int] = []
-        for i in range(len(rows)):
-            k = box[kept]
-            w = (k[:, 2].clip(max=box[i, 2]) - k[:, 0].clip(min=box[i, 0])).clip(min=0)
-            h = (k[:, 3].clip(max=box[i, 3]) - k[:, 1].clip(min=box[i, 1])).clip(min=0)
-            if not (w * h / (size[kept] + size[i] - w * h + 1e-6) > max_iou).any():
-                kept.append(i)
-        return rows.iloc[kept]
-
-    def by_match(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([keep(g) for _, g in rows.groupby("frame")]) if len(rows) else rows
 
+def nms(dets: DataFrame, max_iou: float = Detection.nms_iou) -> DataFrame:
+    """Greedy suppression in each frame: by falling confidence (then det_id) a box stays unless it overlaps a kept one by more."""
     # frames are independent, so a long match is dealt out by blocks of frames
     blocks = dets.withColumn("__block", F.floor(F.col("frame") / 1024))
-    return dealt(blocks, "match_id", "__block").groupBy("match_id", "__block").applyInPandas(by_match, blocks.schema).drop("__block")
+    return dealt(blocks, "match_id", "__block").groupBy("match_id", "__block").applyInPandas(lambda block: kept_boxes(block, max_iou), blocks.schema).drop("__block")
 
 
 def centers_of(dets: DataFrame) -> DataFrame:
