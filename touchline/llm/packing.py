@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.bpe import encoder, without_collection
-from touchline.llm.common import discard, slices, stored
+from touchline.llm.bpe import SLICE, encoder, forget, without_collection
+from touchline.llm.common import discard, slices, stored, tidy
 
 WINDOW, END = 1024, 0
 K1, B = 1.2, 0.75
@@ -36,10 +36,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_collection():
             code = encoder(path)
-            for batch in slices(batches):
+            for batch in slices(batches, size=SLICE):
                 end = np.array([END], code.dtype).tobytes()
-                ids = [x.tobytes() + end for x in code.encode_many(batch.column(1).to_pylist())]
+                ids = [x.tobytes() + end for x in code.encode_many(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        tidy()
 
     return docs.mapInArrow(run, ENCODED)
 
@@ -70,6 +71,8 @@ def statistics(docs: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[np.nd
         at = np.flatnonzero(df)
         # terms -1 and -2 hold the number of documents and of ids
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], at))), pa.array(np.concatenate(([n, total], df[at])))], names=["term", "n"])
+        forget()
+        tidy()
 
     rows = docs.select("ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     found = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
@@ -185,6 +188,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             if batch.num_rows:
                 two = foremost(_arrays(batch.column(1), dtype), *shared.value, mean)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["doc_id", "ids", "t1", "t2"])
+        forget()
+        tidy()
 
     # the document's hash parts documents that have both terms in common, however many
     placed = stored(whole.mapInArrow(keyed, f"{ENCODED}, t1 bigint, t2 bigint").withColumn("h", F.xxhash64("doc_id", "ids")), "keyed")
@@ -216,5 +221,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     offset += n
                 sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        forget()
+        tidy()
 
     return dealt.mapInArrow(run, SCHEMA)
