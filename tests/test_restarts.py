@@ -361,3 +361,21 @@ def test_percentile_by_bins_is_exact(spark, bins):
         got = {r["k"]: r["percentile"] for r in percentile_by_bins(rows, "k", "x", share, bins).collect()}
         want = {r["k"]: r["p"] for r in rows.groupBy("k").agg(F.percentile("x", F.lit(share)).alias("p")).where("p IS NOT NULL").collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_matches_to_do_are_looked_for_once(spark, tmp_path):
+    matches = spark.createDataFrame([(i, "normal") for i in range(4)], "match_id long, mode string")
+    handed, built = [], []
+
+    def hand_over(df):
+        handed.append(spark.createDataFrame(df.collect(), df.schema))
+        return handed[-1]
+
+    def build(todo):
+        built.append(todo)
+        return {"t": todo.select("match_id", F.lit(1).alias("v"))}
+
+    save_tables(build, matches.where("match_id < 2"), str(tmp_path), hand_over)
+    save_tables(build, matches, str(tmp_path), hand_over)
+    assert built == handed and [sorted(r["match_id"] for r in t.collect()) for t in built] == [[0, 1], [2, 3]]
+    assert sorted(r["match_id"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [0, 1, 2, 3]

@@ -56,13 +56,14 @@ def pending(matches: DataFrame, runs: str) -> DataFrame:
     return matches.join(done.distinct().hint("merge"), "match_id", "left_anti")
 
 
-def save_tables(build: Callable[[DataFrame], dict[str, DataFrame]], matches: DataFrame, root: str) -> None:
+def save_tables(build: Callable[[DataFrame], dict[str, DataFrame]], matches: DataFrame, root: str, hand_over: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """root/<table>/match_id=... of the matches that are not complete yet, then root/runs, which makes them complete.
 
     build(matches) gives the tables of some matches. A run that is killed leaves tables without a row in runs; the next run
-    makes these matches anew and replaces what lies there, and leaves the complete ones alone, so each ends up once.
+    makes these matches anew and replaces what lies there, and leaves the complete ones alone, so each ends up once. hand_over
+    writes a table and reads it back: the matches to do are then looked for once, not for every table.
     """
-    todo = pending(matches, f"{root}/runs")
+    todo = hand_over(pending(matches, f"{root}/runs"))
     if todo.isEmpty():
         return
     for name, df in build(todo).items():

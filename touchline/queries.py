@@ -796,12 +796,12 @@ def run_all_matches(spark, sf):
 def restarted_runs(spark, sf):
     """Matches saved in three runs: the first does a third of them, the second leaves its tables half-way, the last does what is
     left. Each match is complete once, with the rows of one run."""
-    rows, root = _best(spark, sf), _folder(spark)
-    m = inputs.matches(inputs.detections(spark, sf))
+    rows, root = _written(_best(spark, sf)), _folder(spark)
+    m = _written(inputs.matches(inputs.detections(spark, sf)))
     build = lambda todo: {"best": rows.join(todo.select("match_id").hint("merge"), "match_id", "left_semi")}
-    save_tables(build, m.where("match_id % 3 = 0"), root)
+    save_tables(build, m.where("match_id % 3 = 0"), root, _written)
     writers.overwrite_matches(build(m.where("match_id % 3 = 1"))["best"].where("frame % 2 = 0"), f"{root}/best")
-    save_tables(build, m, root)
+    save_tables(build, m, root, _written)
     saved = spark.read.schema("match_id bigint").parquet(f"{root}/best").groupBy("match_id").agg(F.count("*").alias("n"))
     runs = spark.read.schema("mode string, n_artifacts bigint, match_id bigint").parquet(f"{root}/runs")
     return runs.join(saved.hint("merge"), "match_id").select("match_id", "mode", "n_artifacts", "n")
