@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -271,6 +272,23 @@ def test_many_texts_are_encoded_without_work_by_piece():
     assert not own.known
 
 
+def test_remembered_pieces_are_bounded_in_bytes():
+    """Of a stream of pieces that never recur, a worker holds at most some 50 MB at once."""
+    own, most = Encoder(BPE), 0
+    for k in range(10):
+        texts = pa.array([" ".join(f"{x:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for x in range(at, at + 1000)) for at in range((1 + k) << 24, ((1 + k) << 24) + 50_000, 1000)], pa.large_string())
+        own.encode_many(texts)
+        most = max(most, sys.getsizeof(own.known) + sum(sys.getsizeof(p) for p in own.known) + sum({id(v): sys.getsizeof(v) for v in own.known.values()}.values()))
+    assert 5e6 < most < 50e6
+
+
+def test_small_tables_take_no_python_workers(spark):
+    slots, depth = exact.slots_of(spark, [(1, 0), (2, 2), (2, 3)])
+    assert (depth, sorted(map(tuple, slots.collect()))) == (2, [(0, 0), (1, 0), (2, 1), (3, 2)])
+    assert slots.dtypes == [("slot", "bigint"), ("bucket", "int")]
+    assert "LocalRelation" in slots._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_compression_round_trip(seed):
     rng = np.random.default_rng(seed)

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers (some 200 bytes each) before it forgets them all.
-MEMO = 400_000
+#: Pieces that a worker remembers (some 120 bytes each) before it forgets them all.
+MEMO = 256_000
 #: Bytes of text that are cut into pieces at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 # Classes of the characters below U+0250 (letters, numbers, white space), and other signs in use.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = range(5)
@@ -149,8 +149,8 @@ class Encoder:
         stand_in = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in visible)}
         #: The letter (code point) that byte-level BPE writes for each byte.
         self.letters = np.array([stand_in.get(b, b) for b in range(256)], "<u4")
-        #: Ids by piece, in such letters.
-        self.known: dict[str, bytes] = {}
+        #: Ids by piece, as bytes of its text (half the size of such letters).
+        self.known: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.id_bytes.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
@@ -180,24 +180,34 @@ class Encoder:
 
     def _ids_of_pieces(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces of data that begin at begin, one after another, and where each piece's end."""
-        ends = np.append(begin, len(data)).astype(np.int64)
+        ends = np.append(begin, len(data))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary
+        del ends
+        flat, size = self._ids_of_distinct(pieces.dictionary)
+        code, first = pieces.indices.to_numpy(), size.cumsum() - size
+        n = size[code]
+        last = n.cumsum()
+        # where each id stands in flat
+        at = np.repeat(first[code] - (last - n), n)
+        at += np.arange(len(at))
+        return flat[at], last
+
+    def _ids_of_distinct(self, distinct: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and the number of each one's."""
         bounds = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
-        spelled = self.letters[np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: bounds[-1]]].tobytes().decode("utf-32-le")
-        keys = [spelled[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        held = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+        whole = held.tobytes()
+        keys = [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         known, by_id, model = self.known, self.id_bytes, self.tokenizer.model
         if len(known) > MEMO:
             known.clear()
         found = list(map(known.get, keys))
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            found[i] = known[keys[i]] = b"".join([by_id[t.id] for t in model.tokenize(keys[i])])
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        code = pieces.indices.to_numpy()
-        n = size[code]
-        last = n.cumsum()
-        return flat[np.repeat((size.cumsum() - size)[code] - (last - n), n) + np.arange(n.sum())], last
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            spelled = self.letters[held].tobytes().decode("utf-32-le")
+            for i in missing:
+                found[i] = known[keys[i]] = b"".join([by_id[t.id] for t in model.tokenize(spelled[bounds[i] : bounds[i + 1]])])
+        return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]

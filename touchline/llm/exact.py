@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ def slots_of(spark: SparkSession, buckets: list[tuple[int, int]]) -> tuple[DataF
     """The directory as a table (slot, bucket) of 2**depth rows, and its depth: several slots may name one bucket."""
     depth = max(d for d, _ in buckets)
     rows = [i for i, (d, _) in enumerate(buckets) for _ in range(1 << (depth - d))]
-    return spark.createDataFrame(list(enumerate(rows)), "slot bigint, bucket int"), depth
+    # from Arrow: a list would go through Python workers, which stay in every executor behind this step
+    return spark.createDataFrame(pa.table({"slot": pa.array(range(len(rows)), pa.int64()), "bucket": pa.array(rows, pa.int32())})), depth
 
 
 def in_bucket(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:

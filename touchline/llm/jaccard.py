@@ -401,7 +401,7 @@ def join_classes(
     members = parted(members, threshold, task_members, pivots)
     members = stored(members.withColumn("comp", F.col("x")), "members")
     discard(regions, found)
-    links, budget = docs.sparkSession.createDataFrame([], "a bigint, b bigint"), first_pairs
+    links, budget = docs.sparkSession.createDataFrame(pa.table({k: pa.array([], pa.int64()) for k in "ab"})), first_pairs
     while True:
         sent = stored(region_pairs(members, threshold, budget, leaf, pivots), "candidates")
         if sent.isEmpty():
